@@ -156,8 +156,7 @@ def shingle_sets(texts: pa.Array, words: int = 5) -> Iterator[np.ndarray]:
         if b - a >= words:
             yield np.unique(runs[a : b - words + 1])
         elif b > a:
-            few = (h[a:b] * WORD_PLACE[: b - a]).sum(dtype=np.uint64) + WORD_PLACE[40 + b - a]
-            yield mixed(np.array([few], np.uint64))
+            yield mixed((h[a:b] * WORD_PLACE[: b - a]).sum(dtype=np.uint64, keepdims=True) + WORD_PLACE[40 + b - a])
         else:
             yield np.zeros(0, np.uint64)
 
