@@ -112,8 +112,9 @@ class Powers:
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(cls.up):
             size = 1 << int(n).bit_length()
-            cls.up = np.cumprod(np.concatenate([[1], np.full(size - 1, STEP, np.uint64)]).astype(np.uint64))
-            cls.down = np.cumprod(np.concatenate([[1], np.full(size - 1, STEP_BACK, np.uint64)]).astype(np.uint64))
+            one = np.ones(1, np.uint64)
+            cls.up = np.cumprod(np.concatenate([one, np.full(size - 1, STEP, np.uint64)]))
+            cls.down = np.cumprod(np.concatenate([one, np.full(size - 1, STEP_BACK, np.uint64)]))
         return cls.up, cls.down
 
 
