@@ -6,7 +6,9 @@ megabytes, so a worker's memory does not depend on the size of a partition or of
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -47,6 +49,14 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps, which nothing refers to any more."""
+    for _ in range(2):  # what the first round frees on this side, the second frees in the cluster
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is among ids; ids are broadcast only after their number has been checked."""
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

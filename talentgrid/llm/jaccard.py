@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentgrid.llm.common import discard, long_of, mixed, only, shingle_sets, slices, stored
+from talentgrid.llm.common import discard, long_of, mixed, only, release, shingle_sets, slices, stored
 from talentgrid.llm.components import components
 
 #: Similarity at which sets link, as a fraction.
@@ -40,6 +40,9 @@ MOST_BALLS = 48
 PIVOT_ROUNDS = 4
 #: Shingles that the recursive order may know to be common (8 bytes each, broadcast); others count as rare.
 COMMON_SHINGLES = 1_000_000
+#: Bytes of sets that one block of measured pairs moves: this much, or a share of all sets where that is more, so that
+#: the number of blocks doesn't grow with the table.
+BLOCK_BYTES, BLOCK_SHARE = 64 << 20, 6
 
 
 def set_name(s: np.ndarray) -> int:
@@ -108,7 +111,11 @@ class Join:
     def __init__(self, docs: DataFrame, text: str, key: str, words: int):
         self.docs, self.words = docs.select(F.col(key).alias("key"), F.col(text).alias("text")), words
         self.rows = stored(profiles(self.docs, "text", "key", words), "profiles")
-        self.sizes = stored(self.rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n")), "sets")
+        self.sizes = self._sizes()
+        self.block = max(BLOCK_BYTES, int(self.sizes.agg(F.sum("n")).first()[0] or 0) * 8 // BLOCK_SHARE)
+
+    def _sizes(self) -> DataFrame:
+        return stored(self.rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n")), "sets")
 
     def texts(self, sids: DataFrame) -> DataFrame:
         """One row (sid, text) for each of these sets; where keys repeat, one of them."""
@@ -131,8 +138,19 @@ class Join:
         return fits & (F.lit(OVER + UNDER) * (shared + rest) >= F.lit(OVER) * (na + nb))
 
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) with both, the size of the intersection, na, nb and the distance d."""
-        pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+        """Distinct pairs (a, b) with both, the size of the intersection, na, nb and the distance d; in blocks, so that
+        the sets of one block only are on the move."""
+        pairs = stored(self.sized(pairs.select("a", "b").distinct()), "pairs")
+        moved = int(pairs.agg(F.sum(8 * (F.col("na") + F.col("nb")))).first()[0] or 0)
+        count, out = 1 + moved // self.block, None
+        for k in range(count):
+            own = self._measured(pairs.where(F.pmod(F.xxhash64("a"), F.lit(count)) == k).select("a", "b"))
+            out = own if out is None else out.unionByName(own)
+            release(pairs.sparkSession)
+        discard(pairs)
+        return out
+
+    def _measured(self, pairs: DataFrame) -> DataFrame:
         sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
         words = self.words
 
@@ -155,7 +173,7 @@ class Join:
         joined = pairs.join(table.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(table.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b")
         out = joined.select("a", "b", "x", "y").mapInArrow(both, "a long, b long, both long, na long, nb long")
         out = stored(out.withColumn("d", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))), "measured")
-        discard(pairs, table)
+        discard(table)
         return out
 
     @staticmethod
@@ -200,12 +218,15 @@ class Join:
             places_small = places
         left, right = places_small.select("s", F.col("center").alias("a")), places_small.select("s", F.col("center").alias("b"))
         pairs = left.join(right, "s").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-        radius = balls.groupBy("center").agg(F.max("d").alias("r"))
+        radius = balls.join(self.sizes.select("sid", "n"), "sid").groupBy("center").agg(F.max("d").alias("r"), F.min("n").alias("lo"), F.max("n").alias("hi"))
         with_r = self.sized(pairs)
         for k in "ab":
-            with_r = with_r.join(radius.select(F.col("center").alias(k), F.col("r").alias(f"r{k}")), k, "left")
+            with_r = with_r.join(radius.select(F.col("center").alias(k), *(F.col(c).alias(c + k) for c in ("r", "lo", "hi"))), k, "left")
         single = F.col("ra").isNull() & F.col("rb").isNull()
-        likely = stored(with_r.where(F.when(single, self.may_link(F.col("shared"))).otherwise(F.lit(True))).select("a", "b", "ra", "rb"), "likely")
+        # members x, y share at most the balls' regions and 3/4 of the larger of them, and need 3/7 of both
+        lo, hi = F.least("na", "nb", "loa", "lob"), F.greatest("na", "nb", "hia", "hib")
+        balls_may = 28 * F.col("shared") >= 12 * F.greatest(lo, F.ceil(0.75 * hi)) - 9 * hi
+        likely = stored(with_r.where(F.when(single, self.may_link(F.col("shared"))).otherwise(balls_may)).select("a", "b", "ra", "rb"), "likely")
         found = self.measured(likely)
         links = [self.linked(found).select("a", "b")]
         # boundary members, where the balls of two pivots reach each other
@@ -227,6 +248,7 @@ class Join:
     def links(self) -> DataFrame:
         """All links that the classes need, as pairs of sets (a, b)."""
         members = stored(regions(memberships(self.docs, "text", self.words)), "regions")
+        release(members.sparkSession)
         balls, links = self.balls(members)
         more, crowded = self.across(balls, members, MOST_BALLS)
         links += more
