@@ -150,32 +150,37 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     starts = spark.sparkContext.broadcast(bounds(rows.withColumnRenamed("id", key), key, each))
     same = brief.where(F.col("n") >= smallest).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").select("sha", "first")
     known = brief.where(F.col("n") >= smallest).select("sha", "id").join(same, "sha").where("id is null or id <> first")
-    linked = rows.withColumn("sha", F.sha1("payload")).join(known.select(F.col("sha").alias("own_sha"), F.col("id").alias("own"), "first").distinct(), (F.col("id").eqNullSafe(F.col("own"))) & (F.col("sha") == F.col("own_sha")), "left")
+    # what a record refers to travels as a row of its own just before it, so that payloads are shuffled once
+    marks = known.select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "sha", "first").distinct()
+    both = rows.withColumn("sha", F.sha1("payload")).withColumn("first", F.lit(None).cast("long")).select("id", "url", "payload", "sha", "first").unionByName(marks)
 
     @F.pandas_udf("int")
     def shard_of(ids):
         return ids.map(lambda x: 0 if x is None or x != x else int(np.searchsorted(starts.value, int(x), side="right"))).astype("int32")
 
     shards = len(starts.value) + 1
-    dealt = linked.select("id", "url", "payload", "first", "sha", shard_of(F.col("id")).alias("shard")).repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("id"), "sha", "url")
+    dealt = both.withColumn("shard", shard_of(F.col("id"))).repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_first("id"), "sha", F.desc_nulls_last("first"), "url")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, done = None, []
+        own, done, mark = None, [], (None, None, None)
         for batch in batches:
-            for i, link, raw, first, shard in zip(*(batch.column(c) for c in ("id", "url", "payload", "first", "shard"))):
+            for i, link, raw, sha, first, shard in zip(*(batch.column(c) for c in ("id", "url", "payload", "sha", "first", "shard"))):
+                if first.is_valid:
+                    mark = (i.as_py(), sha.as_py(), first.as_py())
+                    continue
                 if own is None or own.shard != shard.as_py():
                     if own is not None:
                         own.close()
                         done += own.done
                     own = Shard(folder, shard.as_py(), file_bytes)
-                own.add(record(i.as_py(), link.as_py(), raw.as_py(), first.as_py()))
+                own.add(record(i.as_py(), link.as_py(), raw.as_py(), mark[2] if mark[:2] == (i.as_py(), sha.as_py()) else None))
         if own is not None:
             own.close()
             done += own.done
         cols = list(zip(*done)) or [(), (), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], ["file", "shard", "records", "n_bytes", "sha256"])
 
-    manifest = dealt.select("id", "url", "payload", "first", "shard").mapInArrow(put, "file string, shard int, records long, n_bytes long, sha256 string")
+    manifest = dealt.select("id", "url", "payload", "sha", "first", "shard").mapInArrow(put, "file string, shard int, records long, n_bytes long, sha256 string")
     manifest.write.mode("overwrite").parquet(f"{folder}/_manifest.tmp")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     path = spark._jvm.org.apache.hadoop.fs.Path
