@@ -7,8 +7,8 @@ the smallest hash is its anchor, so equal windows have equal anchors at equal pl
 1. Anchors that occur in one text only can't be part of a match; (anchor, text) pairs find the rest.
 2. Around each remaining anchor lies the segment of the windows that it anchors. Equal segments are
    counted once, with the smallest id that has them; copies need nothing more.
-3. Where an anchor has several different segments, their windows are matched with a suffix array of
-   the segments laid end to end. It is built by grouping: suffixes are grouped by their first
+3. Where an anchor has several different segments, those that may share a window, by its hash, are
+   matched with a suffix array of the segments laid end to end. It is built by grouping: suffixes are grouped by their first
    symbol; groups are processed in descending order, each suffix pointing at the nearest earlier
    suffix of a smaller group, and what is pointed at equally often moves into a group of its own just
    above its old one, until groups are the classes of equal Lyndon prefixes. Then the order of each
@@ -23,18 +23,17 @@ as the largest id; rows that share an id don't remove each other's bytes.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.llm.bpe import Powers
-from talentgrid.llm.common import _BYTE, discard, long_of, mixed, offsets_of, only, slices, stored
+from talentgrid.llm.common import _BYTE, discard, long_of, mixed, offsets_of, only, release, slices, stored
 
 LENGTH = 50
 GRAM = 25
@@ -43,6 +42,10 @@ MOST_SEGMENTS = 2000
 #: Bytes that are laid end to end for one suffix array; small anchors share one.
 ARRAY_BYTES = 8192
 LAST = (1 << 63) - 1
+#: The bits of a hash that order anchors.
+ORDER = np.uint64(2**64 - 2**28)
+#: Bytes of segments whose windows are compared by hash before any array is built.
+FILTER_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -128,6 +131,20 @@ def smallest_ids(segments: list[bytes], ids: list[int], length: int = LENGTH) ->
     return [id_at[b : b + w] for b, w in zip(begin.tolist(), windows.tolist())]
 
 
+def sharing(groups: np.ndarray, segments: list[bytes]) -> np.ndarray:
+    """Which segments have a window that another segment of their group may have, by hash."""
+    sizes = np.array([len(s) for s in segments])
+    raw = np.frombuffer(b"".join(segments), np.uint8)
+    up, down = Powers.of(len(raw) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * down[: len(raw)], dtype=np.uint64)])
+    n = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(sizes)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (np.cumsum(sizes) - sizes)[owner]
+    key = mixed((total[at + LENGTH] - total[at]) * up[at]) ^ mixed(groups.view(np.uint64))[owner]
+    _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+    return np.logical_or.reduceat(count[back] > 1, np.cumsum(n) - n)
+
+
 # ---------------------------------------------------------------- anchors
 def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: (row, anchor hash, first window's place in raw, windows, hash of the segment)."""
@@ -139,12 +156,13 @@ def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     up, down = Powers.of(len(raw) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * down[: len(raw)], dtype=np.uint64)])
     g = mixed((total[GRAM:] - total[:-GRAM]) * up[:grams])
-    best, reach = np.arange(grams, dtype=np.int32), 1
-    while reach < span:  # the place of the leftmost smallest hash of ever wider windows
+    # 36 bits of the hash before 28 of the place: the smallest hash, the leftmost among equals, by plain minima
+    best, reach = (g & ORDER) | np.arange(grams, dtype=np.uint64), 1
+    while reach < span:
         step = min(reach, span - reach)
-        a, b = best[:-step], best[step:]
-        best = np.where(g[a] <= g[b], a, b)
+        best = np.minimum(best[:-step], best[step:])
         reach += step
+    best = (best & ~ORDER).astype(np.int64)
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))[:windows]
     inside = np.arange(windows) + LENGTH <= off[1:][row]
     at = np.flatnonzero(inside)
@@ -158,12 +176,6 @@ def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], g[best[first]], first, count, segment
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps, which nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     spark = docs.sparkSession
@@ -229,22 +241,31 @@ def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     several = stored(distinct.join(kinds, "h"), "several")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-
-        def done() -> pa.RecordBatch:
-            best = smallest_ids([r[3] for r in rows], [r[2] for r in rows])
-            return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([b.tobytes() for b in best], pa.binary())], ["seg", "h", "best"])
-
-        held = 0
+        names = ("h", "seg", "doc", "body")
+
+        def arrays(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            keep = sharing(np.array([r[0] for r in rows], np.int64), [r[3] for r in rows])
+            rows = [r for r, k in zip(rows, keep.tolist()) if k]
+            first = held = 0
+            for k in range(len(rows) + 1):
+                if k and (k == len(rows) or held > ARRAY_BYTES and rows[k][0] != rows[k - 1][0]):
+                    part = rows[first:k]
+                    best = smallest_ids([r[3] for r in part], [r[2] for r in part])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in part], pa.int64()), pa.array([r[0] for r in part], pa.int64()), pa.array([b.tobytes() for b in best], pa.binary())], ["seg", "h", "best"])
+                    first, held = k, 0
+                if k < len(rows):
+                    held += len(rows[k][3])
+
+        rows, held = [], 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("h", "seg", "doc", "body"))):
-                if held > ARRAY_BYTES and r[0] != rows[-1][0]:
-                    yield done()
+            for r in zip(*(batch.column(c).to_pylist() for c in names)):
+                if held > FILTER_BYTES and r[0] != rows[-1][0]:
+                    yield from arrays(rows)
                     rows, held = [], 0
                 rows.append(r)
                 held += len(r[3])
         if rows:
-            yield done()
+            yield from arrays(rows)
 
     small = several.where(F.col("kinds") <= MOST_SEGMENTS).select("h", "seg", "doc", "body").repartition("h").sortWithinPartitions("h", "seg")
     best = small.mapInArrow(match, "seg long, h long, best binary")
