@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from talentgrid.functions.text import answer_key
 
@@ -22,7 +23,7 @@ def set_f1(wanted: Column, got: Column) -> Column:
     return F.when((F.size(w) == 0) & (F.size(g) == 0), 1.0).when((F.size(w) == 0) | (F.size(g) == 0), 0.0).otherwise(f1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def recall(wanted: pd.Series, got: pd.Series) -> pd.Series:
     """Share of wanted entries (normal forms) that are found, each found one used once: equal ones first, then containing ones."""
 
