@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.functions import vocabulary as V
@@ -79,9 +79,8 @@ def plain_title(c: Column) -> Column:
     return F.regexp_replace(lead, r"\s* (?:" + "|".join(V.TITLE_SUFFIXES) + ")$", "")
 
 
-def role_category(title: Column, for_role: bool) -> Column:
-    """The first category with a word in the title, else null."""
-    plain = plain_title(title)
+def role_category(plain: Column, for_role: bool) -> Column:
+    """The first category with a word in a plain title, else null."""
     out = F.when(F.lit(False), "")
     for name, words in V.ROLE_CATEGORIES.items():
         out = out.when(any_in(plain, words + (V.ROLE_ONLY_WORDS.get(name, ()) if for_role else ())), name)
@@ -92,24 +91,23 @@ def is_pair(a: Column, b: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
     return F.coalesce(reduce(lambda x, y: x | y, ((a == p) & (b == q) | (a == q) & (b == p) for p, q in pairs)), F.lit(False))
 
 
-def skill_penalty(score: Column, job_title: Column, position: Column) -> Column:
-    """The skill score, cut to three tenths between fields whose skills don't carry over."""
-    return F.when(is_pair(role_category(job_title, False), role_category(position, False), V.NEAR_PAIRS), score * 0.3).otherwise(score)
+def skill_penalty(score: Column, job: Column, own: Column) -> Column:
+    """The skill score, cut to three tenths between categories whose skills don't carry over."""
+    return F.when(is_pair(job, own, V.NEAR_PAIRS), score * 0.3).otherwise(score)
 
 
-def role_match(job_title: Column, position: Column, similarity: Column) -> Column:
-    """struct(score, base, relationship). ``similarity`` is the cosine of the titles' embeddings, null where there is none."""
+def role_match(job_title: Column, position: Column, similarity: Column, job: Column, own: Column) -> Column:
+    """struct(score, base, relationship) of two titles with their categories. ``similarity`` is the cosine of the titles'
+    embeddings, null where there is none."""
     missing = (F.coalesce(F.trim(job_title), F.lit("")) == "") | (F.coalesce(F.trim(position), F.lit("")) == "")
     base = F.when(missing, V.NO_SIGNAL).otherwise(F.coalesce(similarity * 100.0, F.lit(V.NO_SIGNAL)))
-    a, b = role_category(job_title, True), role_category(position, True)
+    far, near = ~missing & is_pair(job, own, V.FAR_PAIRS), ~missing & is_pair(job, own, V.NEAR_PAIRS)
+    same = ~missing & F.coalesce(job == own, F.lit(False))
     kind = (
-        F.when(missing, "missing").when(is_pair(a, b, V.FAR_PAIRS), "highly_incompatible").when(is_pair(a, b, V.NEAR_PAIRS), "moderately_incompatible")
-        .when(a == b, "same_category").when(a.isNotNull() & b.isNotNull(), "unrelated").otherwise("uncategorized")
-    )
-    score = (
-        F.when(kind == "highly_incompatible", F.least(base * 0.15, F.lit(12.0))).when(kind == "moderately_incompatible", F.least(base * 0.2, F.lit(20.0)))
-        .when(kind == "same_category", F.least(base * 1.3, F.lit(100.0))).otherwise(base)
+        F.when(missing, "missing").when(far, "highly_incompatible").when(near, "moderately_incompatible").when(same, "same_category")
+        .when(job.isNotNull() & own.isNotNull(), "unrelated").otherwise("uncategorized")
     )
+    score = F.when(far, F.least(base * 0.15, F.lit(12.0))).when(near, F.least(base * 0.2, F.lit(20.0))).when(same, F.least(base * 1.3, F.lit(100.0))).otherwise(base)
     return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("score"), base.alias("base"), kind.alias("relationship"))
 
 
@@ -142,21 +140,25 @@ def cap(missing: Column) -> Column:
     return out
 
 
-def pair_score(job_title: Column, job_text: Column, job_skills: Column, position: Column, skills: Column, similarity: Column, must: Column | None = None) -> Column:
-    """struct(match_score, skill, role, experience, tier, penalized, limit): the whole score of one pair with its parts."""
-    part = skill_match(job_skills, skills)
-    skill = skill_penalty(part["score"], job_title, position)
-    role = role_match(job_title, position, similarity)
-    experience = experience_match(seniority(F.concat_ws(" ", job_title, job_text)), seniority(position))
-    weights = tier(role["score"])
-    weighted = (skill * weights["skill"] + role["score"] * weights["role"] + experience["score"] * weights["experience"]) * weights["multiplier"]
-    both_weak = (role["score"] < 50) & (skill < 60)
-    score = weighted * F.when(both_weak, 0.4).otherwise(1.0)
-    limit = cap(F.size(skill_match(must, skills)["missing"])) if must is not None else F.lit(None).cast("double")
-    return F.struct(
-        F.least(score, limit).alias("match_score"), skill.alias("skill"), role.alias("role"), experience.alias("experience"),
-        weights["name"].alias("tier"), both_weak.alias("penalized"), limit.alias("limit"), part.alias("skills"),
+def scored(df: DataFrame, title: str, text: str, wanted: str, position: str, skills: str, similarity: str, must: str | None = None) -> DataFrame:
+    """Adds ``score``, a struct(match_score, skill, role, experience, tier, penalized, limit, skills): the whole score of each pair
+    with its parts. Each part is a column of its own on the way, so nothing is computed twice."""
+    c = F.col
+    df = df.withColumn("_part", skill_match(c(wanted), c(skills))).withColumn("_t", plain_title(c(title))).withColumn("_p", plain_title(c(position)))
+    for k, own in (("_t", False), ("_p", False), ("_t", True), ("_p", True)):
+        df = df.withColumn(f"{k}_{'role' if own else 'skill'}", role_category(c(k), own))
+    df = df.withColumn("_role", role_match(c(title), c(position), c(similarity), c("_t_role"), c("_p_role")))
+    df = df.withColumn("_job", seniority(F.concat_ws(" ", c(title), c(text)))).withColumn("_own", seniority(c(position)))
+    df = df.withColumn("_skill", skill_penalty(c("_part.score"), c("_t_skill"), c("_p_skill"))).withColumn("_experience", experience_match(c("_job"), c("_own"))).withColumn("_tier", tier(c("_role.score")))
+    df = df.withColumn("_missing", F.size(skill_match(c(must), c(skills))["missing"]) if must else F.lit(0))
+    weighted = (c("_skill") * c("_tier.skill") + c("_role.score") * c("_tier.role") + c("_experience.score") * c("_tier.experience")) * c("_tier.multiplier")
+    df = df.withColumn("_weak", (c("_role.score") < 50) & (c("_skill") < 60)).withColumn("_limit", cap(c("_missing"))).withColumn("_weighted", weighted)
+    total = F.least(c("_weighted") * F.when(c("_weak"), 0.4).otherwise(1.0), c("_limit"))
+    score = F.struct(
+        total.alias("match_score"), c("_skill").alias("skill"), c("_role").alias("role"), c("_experience").alias("experience"),
+        c("_tier.name").alias("tier"), c("_weak").alias("penalized"), c("_limit").alias("limit"), c("_part").alias("skills"),
     )
+    return df.withColumn("score", score).drop(*(k for k in df.columns if k.startswith("_")))
 
 
 def explanation(matching: Column, role: Column, skill: Column, experience: Column) -> Column:

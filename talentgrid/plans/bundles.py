@@ -44,9 +44,10 @@ def candidate_search(candidates: DataFrame, query_vector: Column, query: str, pl
 def candidates_for_job(job: DataFrame, candidates: DataFrame, least: float = 20.0, limit: int = 10) -> DataFrame:
     """The best candidates (id, position, skills) for one job (job_id, title, text, wanted, must), by score; the job is broadcast.
     A similarity column, where the candidates have one, is the cosine of the titles."""
-    similarity = F.col("similarity") if "similarity" in candidates.columns else F.lit(None).cast("double")
+    if "similarity" not in candidates.columns:
+        candidates = candidates.withColumn("similarity", F.lit(None).cast("double"))
     pairs = candidates.join(F.broadcast(job.limit(1)))
-    scored = pairs.withColumn("score", S.pair_score(F.col("title"), F.col("text"), F.col("wanted"), F.col("position"), F.col("skills"), similarity, F.col("must")))
+    scored = S.scored(pairs, "title", "text", "wanted", "position", "skills", "similarity", "must")
     return scored.where(F.col("score.match_score") >= least).orderBy(F.desc("score.match_score"), "id").limit(limit)
 
 
