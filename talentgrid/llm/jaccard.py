@@ -42,7 +42,7 @@ PIVOT_ROUNDS = 4
 COMMON_SHINGLES = 1_000_000
 #: Bytes of sets that one block of measured pairs moves: this much, or a share of all sets where that is more, so that
 #: the number of blocks doesn't grow with the table.
-BLOCK_BYTES, BLOCK_SHARE = 64 << 20, 6
+BLOCK_BYTES, BLOCK_SHARE = 128 << 20, 2
 
 
 def set_name(s: np.ndarray) -> int:
