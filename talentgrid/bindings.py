@@ -556,3 +556,61 @@ def stable_buckets(spark, d):
 def new_applications(spark, d):
     wanted = table(spark, d, "customer").select(((F.col("c_nationkey") + F.col("c_custkey") % 2) % 25).alias("job_id"), F.col("c_custkey").alias("candidate_id"), F.col("c_mktsegment").alias("source"))
     return transitions.added_applications(wanted, applications(spark, d)).select("job_id", "candidate_id", "status")
+
+
+@query("resume_parse")
+def resume_parse(spark, d):
+    from talentgrid.functions import resume
+
+    return table(spark, d, "documents").select("doc_id", resume.parsed(F.col("text")).alias("p")).select("doc_id", "p.email", "p.phone", F.size("p.skills").alias("n_skills"))
+
+
+@query("name_casing", "SELECT c_custkey, 'Customer#' || right(c_name, 9) AS name FROM customer")
+def name_casing(spark, d):
+    from talentgrid.functions import resume
+
+    return table(spark, d, "customer").select("c_custkey", resume.cased_name(F.col("c_name")).alias("name"))
+
+
+@query("event_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def event_props(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("conversation_threads", """
+    SELECT CAST(conv_id AS VARCHAR) AS thread, arg_min(text, turn) AS subject, max(turn) AS last_at, count(*) AS messages FROM conversations GROUP BY 1""")
+def conversation_threads(spark, d):
+    mails = table(spark, d, "conversations").select(F.col("turn").alias("id"), F.col("conv_id").cast("string").alias("thread_id"), F.col("text").alias("subject"), F.col("role").alias("sender"), F.col("turn").alias("at"), F.lit(True).alias("is_read"))
+    return ranking.threads(mails).select("thread", "subject", "last_at", "messages")
+
+
+@query("board", """
+    SELECT job_id, stage_key, min(position) AS position, count(CASE WHEN here THEN 1 END) AS n FROM (
+      SELECT c_nationkey AS job_id, l_returnflag AS stage_key, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS position, l_linestatus = 'O' AND o_orderstatus = 'O' AS here
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) GROUP BY 1, 2""")
+def board(spark, d):
+    return R.board(stage_rows(spark, d)).select("job_id", "stage_key", "position", "n")
+
+
+@query("expired_cache", "SELECT event_id FROM events WHERE epoch_us(TIMESTAMP '2024-01-31') - epoch_us(ts) <= 604800 * 1000000::BIGINT")
+def expired_cache(spark, d):
+    return governance.unexpired(table(spark, d, "events"), "ts", 604_800, datetime(2024, 1, 31)).select("event_id")
+
+
+@query("candidate_export", "SELECT vec_id, label FROM embeddings")
+def candidate_export(spark, d):
+    return governance.exportable(table(spark, d, "embeddings"))
+
+
+@query("upsert", "SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def upsert(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return governance.merged(c, c.where("c_custkey % 3 = 0").select("c_custkey", F.lit("NEW").alias("c_mktsegment")), "c_custkey")
+
+
+@query("skill_penalties", """
+    SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 24.0 ELSE 80.0 END AS score FROM part""")
+def skill_penalties(spark, d):
+    p = table(spark, d, "part")
+    own = F.when(F.col("p_size") % 2 == 0, "software_engineering").otherwise("data_science")
+    return p.select("p_partkey", F.round(S.skill_penalty(F.lit(80.0), F.lit("data_science"), own), 4).alias("score"))

@@ -112,3 +112,35 @@ def test_evaluation_and_pieces(spark):
     text = "word " * 700
     cut = pieces(text)
     assert all(len(p) <= 1000 for p in cut) and len(cut) > 3 and pieces("") == []
+
+
+RESUME = """Ada Lovelace
+London, UK | ada@engine.org | (415) 555-0142
+linkedin.com/in/ada
+
+Experience
+Senior Engineer at Analytical Engines, Boston, MA  Jan 2019 - Present
+- Built the first program
+Analyst | Numbers Ltd 03/2015 - 12/2018
+- Counted things
+
+Education
+Bachelor of Science, Mathematics
+University of London - 2010 - 2014
+
+Skills
+Python, SQL, k8s
+"""
+
+
+def test_resume(spark):
+    from talentgrid.functions import resume
+
+    r = spark.createDataFrame([(RESUME,), (None,)], "t string").select(resume.parsed(F.col("t")).alias("p")).collect()
+    p = r[0].p
+    assert (p.name, p.email, p.phone, p.linkedin) == ("Ada Lovelace", "ada@engine.org", "(415) 555-0142", "linkedin.com/in/ada")
+    assert [(j.title, j.start_date, j.end_date, j.description) for j in p.experience] == [("Senior Engineer", "2019-01", None, "Built the first program"), ("Analyst", "2015-03", "2018-12", "Counted things")]
+    assert p.education[0].institution.startswith("University of London") and p.skills == ["Kubernetes", "Python", "SQL"] and r[1].p.email is None
+    assert resume.json_object('x ```json\n{"a": [1, 2,], "b": "}"}\n``` {') == '{"a": [1, 2], "b": "}"}' and resume.json_object("no") is None
+    assert values(spark, ["MARY o'brien", "john mcdonald iii"], resume.cased_name) == ["Mary O'Brien", "John McDonald III"]
+    assert resume.skill_group("PostgreSQL") == "Data" and resume.skill_group("knitting") == "Other"
