@@ -368,7 +368,7 @@ def score_tiers(spark, d):
     k = F.col("c_custkey")
     df = table(spark, d, "customer").select(k, (k % 101 * 1.0).alias("s"), (k * 7 % 101 * 1.0).alias("r"), (k * 13 % 101 * 1.0).alias("x")).withColumn("t", S.tier(F.col("r")))
     weighted = (F.col("s") * F.col("t.skill") + F.col("r") * F.col("t.role") + F.col("x") * F.col("t.experience")) * F.col("t.multiplier")
-    return df.select(k, F.round(weighted * F.when((F.col("r") < 50) & (F.col("s") < 60), 0.4).otherwise(1.0), 6).alias("score"))
+    return df.select(k, F.round(weighted * F.when((F.col("r") < 50) & (F.col("s") < 60), 0.4).otherwise(1.0), 6).cast("decimal(18,6)").alias("score"))
 
 
 @query("pair_ranking")
