@@ -2,21 +2,22 @@
 
 The Jaccard distance d is a metric; two sets link if d <= 1/4. The join works on distinct sets.
 
-1. Shingles are the first pivots. A set lies at distance 1 from every shingle it lacks, so a shingle's
-   Voronoi region can only hold sets that contain it. Shingles are put in one global order, and a set
-   is replicated to the regions of its first n - ceil(3n/4) + 1 shingles: two sets at distance 1/4
-   or less share one of them.
-2. In every region the smallest set becomes a pivot set, and the exact distance of its members to it
-   is computed. Members within 1/4 link to the pivot and form its ball. This is repeated among the
-   members that are left, in regions that are still large.
-3. Between balls the triangle inequality decides: pivots p, q whose distance exceeds 1/4 + r(p) + r(q)
-   have no links between their balls. Otherwise the boundary members x with d(x, p) >= d(p, q) - 1/4 - r(q)
-   are replicated to q, and those close enough to q are compared with the members of q in their window.
-4. A region with too many balls is joined again, recursively, by itself: its sets are replicated
-   anew under an order that puts the shingles that many of them share last.
+1. A set that links with another shares three quarters of its shingles with it. Of the first shingles of
+   each set, in the order of their hashes, so many must occur in another set; where they don't, the
+   set links with nothing and goes. What is left is counted whole.
+2. Shingles are the first pivots: a set lies at distance 1 from every shingle it lacks, so a shingle's
+   Voronoi region holds only sets that contain it. Rare shingles come first in one global order, and a
+   set is replicated to the regions of its first n - ceil(3n/4) + 1 shingles: two sets at distance 1/4 or
+   less share one of them. Regions with the same members are joined once, with the number of their shingles.
+3. In every region a set becomes the pivot, and the exact distance of the members to it is computed.
+   Members within 1/4 link to it. A region whose members are all connected is done; of the others, what
+   isn't connected to the pivot is joined again, recursively, around a pivot of its own.
+4. Between members that are still apart the triangle inequality decides: |d(x, p) - d(y, p)| <= 1/4 for
+   any pivot p of their region. Members are dealt to windows of that width, and those at the boundary are
+   replicated to the next window; pairs that meet there and share enough regions are measured.
 
 Distances are compared in whole numbers. Sets are named by 64-bit hashes of their sorted 64-bit
-shingle hashes. Null, empty and word-free texts have no set and link with nothing; texts shorter
+shingle hashes. Null, empty and word-free texts have no set and link with nothing, nor do rows without a key; texts shorter
 than a shingle have one shingle. Repeated rows share a set, so copies are never paired.
 """
 
@@ -34,15 +35,10 @@ from talentgrid.llm.components import components
 
 #: Similarity at which sets link, as a fraction.
 OVER, UNDER = 3, 4
-#: Balls in a region that are paired with each other; a region with more is joined recursively.
-MOST_BALLS = 48
-#: Rounds of pivot sets in regions that are still large.
-PIVOT_ROUNDS = 4
-#: Shingles that the recursive order may know to be common (8 bytes each, broadcast); others count as rare.
-COMMON_SHINGLES = 1_000_000
-#: Bytes of sets that one block of measured pairs moves: this much, or a share of all sets where that is more, so that
-#: the number of blocks doesn't grow with the table.
-BLOCK_BYTES, BLOCK_SHARE = 128 << 20, 2
+#: Shingles beyond the prefix, of each hundred, in the first count: the longer, the fewer sets are counted whole.
+SLACK = 15
+#: Rounds of pivot sets in regions that are still apart.
+PIVOT_ROUNDS = 2
 
 
 def set_name(s: np.ndarray) -> int:
@@ -51,230 +47,168 @@ def set_name(s: np.ndarray) -> int:
     return int(mixed(np.array([(mixed(s + k) * (k | np.uint64(1))).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
 
 
-def prefix(n: Column | np.ndarray):
-    """How many of the n shingles, in order, lead to regions."""
-    return n - (OVER * n + UNDER - 1) // UNDER + 1
+def least_shared(n: int) -> int:
+    """The smallest intersection that a set of n shingles can have with a set it links to."""
+    return (OVER * n + UNDER - 1) // UNDER
 
 
-def profiles(docs: DataFrame, text: str, key: str, words: int) -> DataFrame:
+def counted(n: int) -> int:
+    """How many of n shingles, in the order of their hashes, are counted first."""
+    return min(n, n - least_shared(n) + n * SLACK // 100 + 1)
+
+
+def profiles(docs: DataFrame, words: int) -> DataFrame:
     """(key, n_shingles, sid) of every row; sid is null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
-                got = [(len(s), set_name(s) if len(s) else None) for s in shingle_sets(part.column(text), words)]
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["key", "n_shingles", "sid"])
+            for part in slices(batch, "text"):
+                got = [(len(s), set_name(s) if len(s) else None) for s in shingle_sets(part.column("text"), words)]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], ["key", "n_shingles", "sid"])
 
-    return docs.select(key, text).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, n_shingles long, sid long")
+    return docs.select("key", "text").mapInArrow(run, f"key {dict(docs.dtypes)['key']}, n_shingles long, sid long")
 
 
-def memberships(docs: DataFrame, text: str, words: int, last: np.ndarray | None = None, whole: bool = False) -> DataFrame:
-    """(s, sid): the regions that each set is replicated to, once for each set and task. ``last``: sorted shingles that come
-    last in the order. ``whole``: all shingles, as pairs to be counted."""
-    shared = docs.sparkSession.sparkContext.broadcast(last)
+def first_shingles(docs: DataFrame, words: int) -> DataFrame:
+    """(s, sid): the shingles of each set that are counted first, once for each set and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # eight bytes for each set of the task
         for batch in batches:
-            for part in slices(batch, text):
-                keys, sids, sizes = [], [], []
-                for s in shingle_sets(part.column(text), words):
-                    if not len(s) or (name := set_name(s)) in seen:
-                        continue
-                    seen.add(name)
-                    if not whole:
-                        p = int(prefix(len(s)))
-                        common = shared.value
-                        if common is not None and len(common):
-                            at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                            late = common[at] == s
-                            s = np.concatenate([s[~late], s[late]])
-                        s = s[:p]
-                    keys.append(s)
-                    sids.append(name)
-                    sizes.append(len(s))
+            for part in slices(batch, "text"):
+                keys, sids = [], []
+                for s in shingle_sets(part.column("text"), words):
+                    if len(s) and (name := set_name(s)) not in seen:
+                        seen.add(name)
+                        keys.append(s[: counted(len(s))])
+                        sids.append(name)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(long_of(np.concatenate(keys))), pa.array(np.repeat(np.array(sids, np.int64), sizes))], ["s", "sid"])
+                    yield pa.RecordBatch.from_arrays([pa.array(long_of(np.concatenate(keys))), pa.array(np.repeat(np.array(sids, np.int64), [len(k) for k in keys]))], ["s", "sid"])
 
-    return docs.select(text).mapInArrow(run, "s long, sid long")
+    return docs.select("text").mapInArrow(run, "s long, sid long")
 
 
-def regions(rows: DataFrame) -> DataFrame:
-    """The members of all regions with two different sets or more: (s, sid)."""
+def candidates(docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(sid, key, n) of the sets of which enough counted shingles occur in another set."""
     w = Window.partitionBy("s")
-    return rows.select("s", "sid", F.min("sid").over(w).alias("first"), F.max("sid").over(w).alias("last")).where("first < last").select("s", "sid").distinct()
-
-
-class Join:
-    """The join of one table; holds what its steps share."""
-
-    def __init__(self, docs: DataFrame, text: str, key: str, words: int):
-        self.docs, self.words = docs.select(F.col(key).alias("key"), F.col(text).alias("text")), words
-        self.rows = stored(profiles(self.docs, "text", "key", words), "profiles")
-        self.sizes = self._sizes()
-        self.block = max(BLOCK_BYTES, int(self.sizes.agg(F.sum("n")).first()[0] or 0) * 8 // BLOCK_SHARE)
-
-    def _sizes(self) -> DataFrame:
-        return stored(self.rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n")), "sets")
-
-    def texts(self, sids: DataFrame) -> DataFrame:
-        """One row (sid, text) for each of these sets; where keys repeat, one of them."""
-        ids = self.sizes.join(sids, "sid", "left_semi").select("key")
-        return only(self.docs, ids, "key")
-
-    def sized(self, pairs: DataFrame) -> DataFrame:
-        """Pairs with na and nb, whose sizes allow a link."""
-        a, b = (self.sizes.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-        return pairs.join(a, "a").join(b, "b")
-
-    @staticmethod
-    def may_link(shared: Column | None = None) -> Column:
-        """Sizes, and shared regions where these are all counted, allow a link."""
-        na, nb = F.col("na"), F.col("nb")
-        fits = (UNDER * F.least(na, nb) >= OVER * F.greatest(na, nb))
-        if shared is None:
-            return fits
-        rest = F.greatest(na - F.expr(f"na - ceil({OVER} * na / {UNDER}) + 1"), nb - F.expr(f"nb - ceil({OVER} * nb / {UNDER}) + 1"))
-        return fits & (F.lit(OVER + UNDER) * (shared + rest) >= F.lit(OVER) * (na + nb))
-
-    def measured(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) with both, the size of the intersection, na, nb and the distance d; in blocks, so that
-        the sets of one block only are on the move."""
-        pairs = stored(self.sized(pairs.select("a", "b").distinct()), "pairs")
-        moved = int(pairs.agg(F.sum(8 * (F.col("na") + F.col("nb")))).first()[0] or 0)
-        count, out = 1 + moved // self.block, None
-        for k in range(count):
-            own = self._measured(pairs.where(F.pmod(F.xxhash64("a"), F.lit(count)) == k).select("a", "b"))
-            out = own if out is None else out.unionByName(own)
-            release(pairs.sparkSession)
-        discard(pairs)
-        return out
-
-    def _measured(self, pairs: DataFrame) -> DataFrame:
-        sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-        words = self.words
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    got = [(set_name(s), s.tobytes()) for s in shingle_sets(part.column(0), words) if len(s)]
-                    yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], ["sid", "items"])
-
-        table = self.texts(sids).select("text").mapInArrow(sets, "sid long, items binary").dropDuplicates(["sid"])
-        table = stored(table, "items")
-
-        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("x", "y"))
-                same = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]
-                cols = [batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in (same, map(len, x), map(len, y)))]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) if isinstance(c, map) else c for c in cols], ["a", "b", "both", "na", "nb"])
-
-        joined = pairs.join(table.select(F.col("sid").alias("a"), F.col("items").alias("x")), "a").join(table.select(F.col("sid").alias("b"), F.col("items").alias("y")), "b")
-        out = joined.select("a", "b", "x", "y").mapInArrow(both, "a long, b long, both long, na long, nb long")
-        out = stored(out.withColumn("d", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))), "measured")
-        discard(table)
-        return out
-
-    @staticmethod
-    def linked(measured: DataFrame) -> DataFrame:
-        return measured.where(UNDER * F.col("both") >= OVER * (F.col("na") + F.col("nb") - F.col("both")))
-
-    # ------------------------------------------------------------ pivots and balls
-    def balls(self, members: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-        """((sid, center, d) of all sets in the balls of other sets, links found)."""
-        links, absorbed, left = [], None, members
-        for step in range(PIVOT_ROUNDS):
-            w = Window.partitionBy("s")
-            stars = left.select("s", "sid", F.min("sid").over(w).alias("pivot"), F.count("*").over(w).alias("members"))
-            if step:
-                stars = stars.where(F.col("members") > MOST_BALLS)
-            stars = stars.where("sid <> pivot").groupBy(F.col("pivot").alias("a"), F.col("sid").alias("b")).agg(F.count("*").alias("shared"))
-            found = self.linked(self.measured(self.sized(stars).where(self.may_link(F.col("shared")))))
-            if found.isEmpty():
-                break
-            links.append(found.select("a", "b"))
-            centers = found.join(found.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-            new = centers.groupBy(F.col("b").alias("sid")).agg(F.min_by(F.struct("a", "d"), F.struct("d", "a")).alias("c")).select("sid", F.col("c.a").alias("center"), F.col("c.d").alias("d"))
-            absorbed = new if absorbed is None else absorbed.unionByName(new)
-            gone = new.select("sid").unionByName(centers.select(F.col("a").alias("sid"))).distinct()
-            left = left.join(gone, "sid", "left_anti")
-        if absorbed is None:
-            absorbed = members.select("sid", F.col("sid").alias("center"), F.lit(0.0).alias("d")).limit(0)
-        return stored(absorbed, "balls"), links
-
-    def across(self, balls: DataFrame, members: DataFrame, most: int | None) -> tuple[list[DataFrame], DataFrame | None]:
-        """(links between different balls of the same regions, members of regions that hold more than ``most`` balls)."""
-        w = Window.partitionBy("s")
-        held = members.join(balls.select("sid", "center"), "sid", "left").withColumn("center", F.coalesce("center", "sid"))
-        places = held.select("s", "center").distinct().withColumn("n", F.count("*").over(w)).where("n > 1")
-        places = stored(places, "places")
-        crowded = None
-        if most is not None:
-            hot = places.where(F.col("n") > most).select("s").distinct()
-            crowded = stored(members.join(hot, "s", "left_semi").select("sid").distinct(), "crowded")
-            places_small = places.where(F.col("n") <= most)
-        else:
-            places_small = places
-        left, right = places_small.select("s", F.col("center").alias("a")), places_small.select("s", F.col("center").alias("b"))
-        pairs = left.join(right, "s").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-        radius = balls.join(self.sizes.select("sid", "n"), "sid").groupBy("center").agg(F.max("d").alias("r"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-        with_r = self.sized(pairs)
-        for k in "ab":
-            with_r = with_r.join(radius.select(F.col("center").alias(k), *(F.col(c).alias(c + k) for c in ("r", "lo", "hi"))), k, "left")
-        single = F.col("ra").isNull() & F.col("rb").isNull()
-        # members x, y share at most the balls' regions and 3/4 of the larger of them, and need 3/7 of both
-        lo, hi = F.least("na", "nb", "loa", "lob"), F.greatest("na", "nb", "hia", "hib")
-        balls_may = 28 * F.col("shared") >= 12 * F.greatest(lo, F.ceil(0.75 * hi)) - 9 * hi
-        likely = stored(with_r.where(F.when(single, self.may_link(F.col("shared"))).otherwise(balls_may)).select("a", "b", "ra", "rb"), "likely")
-        found = self.measured(likely)
-        links = [self.linked(found).select("a", "b")]
-        # boundary members, where the balls of two pivots reach each other
-        near = found.join(likely, ["a", "b"]).fillna(0.0, ["ra", "rb"]).where((F.col("ra") + F.col("rb") > 0) & (F.col("d") > 0.25) & (F.col("d") <= 0.25 + F.col("ra") + F.col("rb") + 1e-9))
-        near = stored(near.select("a", "b", F.col("d").alias("dab"), "rb"), "near")
-        if not near.isEmpty():
-            own = balls.select("center", "sid", "d").unionByName(balls.select("center", F.col("center").alias("sid"), F.lit(0.0).alias("d")).distinct())
-            lone = near.select(F.explode(F.array("a", "b")).alias("center")).distinct().join(balls.select("center").distinct(), "center", "left_anti")
-            own = own.unionByName(lone.select("center", F.col("center").alias("sid"), F.lit(0.0).alias("d")))
-            x = near.join(own.select(F.col("center").alias("a"), F.col("sid").alias("x"), F.col("d").alias("dx")), "a").where(F.col("dx") >= F.col("dab") - 0.25 - F.col("rb") - 1e-9)
-            x = stored(x.select("x", "b", "rb"), "boundary")
-            dx = self.measured(x.select(F.col("x").alias("a"), "b")).select(F.col("a").alias("x"), "b", "d")
-            x = x.join(dx, ["x", "b"]).where(F.col("d") <= 0.25 + F.col("rb") + 1e-9)
-            y = x.join(own.select(F.col("center").alias("b"), F.col("sid").alias("y"), F.col("d").alias("dy")), "b").where(F.col("dy") >= F.col("d") - 0.25 - 1e-9)
-            windowed = self.sized(y.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b").distinct()).where(self.may_link())
-            links.append(self.linked(self.measured(windowed)).select("a", "b"))
-        return links, crowded
-
-    def links(self) -> DataFrame:
-        """All links that the classes need, as pairs of sets (a, b)."""
-        members = stored(regions(memberships(self.docs, "text", self.words)), "regions")
+    met = first_shingles(docs, words).select("sid", F.min("sid").over(w).alias("first"), F.max("sid").over(w).alias("last")).where("first < last")
+    # a partner holds three quarters as many shingles at least, so this many of the counted ones are in both
+    least = F.expr(f"{SLACK} * (({OVER} * n + {UNDER - 1}) div {UNDER}) div 100 + 1")
+    return sets.join(met.groupBy("sid").agg(F.count("*").alias("met")), "sid").where(F.col("met") >= least).select("sid", "key", "n")
+
+
+def items(docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(sid, n, items) of these sets: their sorted shingle hashes as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                got = [(set_name(s), len(s), s.tobytes()) for s in shingle_sets(part.column("text"), words) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["sid", "n", "items"])
+
+    found = only(docs, sets.select("key"), "key").select("text").mapInArrow(run, "sid long, n long, items binary")
+    return found.join(sets.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
+
+
+def regions(held: DataFrame) -> DataFrame:
+    """(s, sid, weight): the regions of each set, where another set is. Regions with the same members are one, whose
+    weight is their number; s is then the smallest of their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "items"):
+                sizes = part.column("n").to_numpy()
+                all_items = np.frombuffer(b"".join(part.column("items").to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(all_items), pa.array(np.repeat(part.column("sid").to_numpy(), sizes))], ["s", "sid"])
+
+    single = held.select("sid", "n", "items").mapInArrow(run, "s long, sid long")
+    often = single.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    lists = single.join(often, "s").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("xs")).join(held.select("sid", "n"), "sid")
+    # shingles of one set only come first in the order; what is left of the prefix leads to regions
+    room = F.expr(f"cast(n - ({OVER} * n + {UNDER - 1}) div {UNDER} + 1 - (n - size(xs)) as int)")
+    members = stored(lists.where(room > 0).select("sid", F.explode(F.slice("xs", F.lit(1), room)).alias("x")).select("x.s", "sid"), "prefixes")
+    kinds = members.groupBy("s").agg(F.count("*").alias("k"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(7), "sid")).alias("x")).where("k > 1")
+    kept = kinds.groupBy("k", "h", "x").agg(F.min("s").alias("s"), F.count("*").alias("weight"))
+    return members.join(kept.select("s", "weight"), "s")
+
+
+def may_link(shared: Column | None = None) -> Column:
+    """Sizes, and the number of shared regions where it is given, allow a link."""
+    na, nb = F.col("na"), F.col("nb")
+    fits = UNDER * F.least(na, nb) >= OVER * F.greatest(na, nb)
+    if shared is None:
+        return fits
+    rest = F.greatest(*(F.expr(f"({OVER} * {n} + {UNDER - 1}) div {UNDER} - 1") for n in ("na", "nb")))
+    return fits & ((OVER + UNDER) * (shared + rest) >= OVER * (na + nb))
+
+
+def measured(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their distance d and whether they link."""
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "y", 1 << 20):
+                d, link = [], []
+                for p, q in zip(part.column("x"), part.column("y")):
+                    p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                    same = len(np.intersect1d(p, q, assume_unique=True))
+                    union = len(p) + len(q) - same
+                    d.append(1 - same / union)
+                    link.append(UNDER * same >= OVER * union)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(d, pa.float64()), pa.array(link, pa.bool_())], ["a", "b", "d", "link"])
+
+    x, y = (held.select(F.col("sid").alias(k), F.col("items").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(both, "a long, b long, d double, link boolean")
+
+
+def connected(members: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, component_id) of every set that links with another; components are named by their smallest sid."""
+    sizes, found, left, spans = held.select("sid", "n"), None, members, None
+    for step in range(PIVOT_ROUNDS):
+        pivots = left.groupBy("s").agg(F.min("sid").alias("pivot"))
+        stars = left.select("s", "sid").join(pivots, "s").where("sid <> pivot").select("s", F.col("pivot").alias("a"), F.col("sid").alias("b"))
+        got = stored(measured(stars.select("a", "b").distinct(), held), "measured")
+        if not step:  # the distances that the windows use
+            spans = stored(stars.join(got, ["a", "b"]).select("s", F.col("b").alias("sid"), "d").unionByName(pivots.select("s", F.col("pivot").alias("sid"), F.lit(0.0).alias("d"))), "spans")
+        new = got.where("link").select("a", "b")
+        found = components(new if found is None else found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(new))
+        comp = found.select(F.col("id").alias("sid"), F.col("component_id").alias("comp"))
+        label = stored(members.join(comp, "sid", "left").select("s", "sid", "weight", F.coalesce("comp", "sid").alias("comp")), "labels")
+        several = label.groupBy("s").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one < other")
+        apart = stored(label.join(several.select("s"), "s", "left_semi"), "apart")
+        discard(label)
         release(members.sparkSession)
-        balls, links = self.balls(members)
-        more, crowded = self.across(balls, members, MOST_BALLS)
-        links += more
-        if not crowded.isEmpty():
-            own = self.texts(crowded)
-            counts = memberships(own, "text", self.words, whole=True).groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > MOST_BALLS)
-            common = counts.orderBy(F.desc("n"), "s").limit(COMMON_SHINGLES).select("s").toArrow().column("s").to_numpy()
-            common = np.sort(common.view(np.uint64)) if len(common) else np.zeros(0, np.uint64)
-            again = stored(regions(memberships(own, "text", self.words, last=common)), "regions")
-            more_balls, more_links = self.balls(again.join(balls.select("sid"), "sid", "left_anti"))
-            more_balls = more_balls.join(balls.select(F.col("center").alias("sid")).distinct(), "sid", "left_anti")
-            more_balls = more_balls.join(balls.select(F.col("sid").alias("center")), "center", "left_anti").select("sid", "center", "d")
-            links += more_links + self.across(stored(balls.unionByName(more_balls), "balls"), again, None)[0]
-        out = links[0]
-        for one in links[1:]:
-            out = out.unionByName(one)
-        return out
+        if apart.isEmpty():
+            return found
+        if step + 1 < PIVOT_ROUNDS:
+            inside = apart.select("s", "sid", "comp").join(left.select("s", "sid"), ["s", "sid"], "left_semi")
+            cell = inside.join(pivots, "s").where("sid = pivot").select("s", F.col("comp").alias("own"))
+            rest = stored(inside.join(cell, "s").where("comp <> own").select("s", "sid"), "rest")
+            left = rest.join(rest.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "s", "left_semi")
+            if left.isEmpty():
+                break
+    # windows as wide as a link is long, by the distance to the first pivot of the region
+    placed = stored(apart.join(spans, ["s", "sid"]).join(sizes, "sid").withColumn("cell", F.floor(F.col("d") * UNDER / (UNDER - OVER))), "placed")
+    a, b = (placed.select("s", *(F.col(c).alias(t + k) for c, t in (("sid", ""), ("comp", "c"), ("d", "d"), ("n", "n"))), "weight", "cell") for k in "ab")
+    a = a.drop("weight").withColumn("cell", F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)))
+    met = a.join(b, ["s", "cell"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= 0.25 + 1e-9) & may_link())
+    likely = met.groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(may_link(F.col("shared")))
+    new = measured(likely, held).where("link").select("a", "b")
+    return components(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(new))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the size of its set and the smallest key reachable by links, its own included."""
-    join = Join(docs, text, key, words)
-    links = join.links()
-    names = join.sizes.select("sid", "key")
-    for k in "ab":
-        links = links.join(names.select(F.col("sid").alias(k), F.col("key").alias(f"key_{k}")), k)
-    found = components(links, "key_a", "key_b").select(F.col("id").alias("set_key"), "component_id")
-    of_set = names.select("sid", F.col("key").alias("set_key")).join(found, "set_key", "left").select("sid", F.coalesce("component_id", "set_key").alias("component_id"))
-    return join.rows.join(of_set, "sid", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+    spark = docs.sparkSession
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = stored(profiles(docs, words), "profiles")
+    sets = stored(rows.where("sid is not null and key is not null").groupBy("sid").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n")), "sets")
+    some = stored(candidates(docs, sets, words), "candidates")
+    release(spark)
+    held = stored(items(docs, some, words), "items")
+    members = stored(regions(held), "regions")
+    release(spark)
+    found = connected(members, held)
+    least = found.join(sets.select(F.col("sid").alias("id"), "key"), "id").groupBy("component_id").agg(F.min("key").alias("least"))
+    of_set = found.join(least, "component_id").select(F.col("id").alias("sid"), "least").unionByName(sets.join(found.select(F.col("id").alias("sid")), "sid", "left_anti").select("sid", F.col("key").alias("least")))
+    return rows.join(of_set, "sid", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("least", "key").alias("component_id"))
