@@ -8,13 +8,14 @@ The Jaccard distance d is a metric; two sets link if d <= 1/4. The join works on
 2. Shingles are the first pivots: a set lies at distance 1 from every shingle it lacks, so a shingle's
    Voronoi region holds only sets that contain it. Rare shingles come first in one global order, and a
    set is replicated to the regions of its first n - ceil(3n/4) + 1 shingles: two sets at distance 1/4 or
-   less share one of them. Regions with the same members are joined once, with the number of their shingles.
+   less share one of them. Regions with the same members are joined once.
 3. In every region a set becomes the pivot, and the exact distance of the members to it is computed.
-   Members within 1/4 link to it. A region whose members are all connected is done; of the others, what
-   isn't connected to the pivot is joined again, recursively, around a pivot of its own.
+   Members within 1/4 link to it. A region whose members are all connected is done; the others are
+   joined again, recursively, around other pivots.
 4. Between members that are still apart the triangle inequality decides: |d(x, p) - d(y, p)| <= 1/4 for
    any pivot p of their region. Members are dealt to windows of that width, and those at the boundary are
-   replicated to the next window; pairs that meet there and share enough regions are measured.
+   replicated to the next window; pairs of different components that meet there are measured, unless the
+   place of the region in their orders leaves too little for a link (the first region that they share does not).
 
 Distances are compared in whole numbers. Sets are named by 64-bit hashes of their sorted 64-bit
 shingle hashes. Null, empty and word-free texts have no set and link with nothing, nor do rows without a key; texts shorter
@@ -38,7 +39,7 @@ OVER, UNDER = 3, 4
 #: Shingles beyond the prefix, of each hundred, in the first count: the longer, the fewer sets are counted whole.
 SLACK = 15
 #: Rounds of pivot sets in regions that are still apart.
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
 
 
 def set_name(s: np.ndarray) -> int:
@@ -111,8 +112,8 @@ def items(docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
 
 
 def regions(held: DataFrame) -> DataFrame:
-    """(s, sid, weight): the regions of each set, where another set is. Regions with the same members are one, whose
-    weight is their number; s is then the smallest of their shingles."""
+    """(s, sid, n, place): the regions of each set where another set is, and their place in the order of its shingles.
+    Of regions with the same members the first in the order stands for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,21 +126,21 @@ def regions(held: DataFrame) -> DataFrame:
     often = single.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     lists = single.join(often, "s").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("xs")).join(held.select("sid", "n"), "sid")
     # shingles of one set only come first in the order; what is left of the prefix leads to regions
-    room = F.expr(f"cast(n - ({OVER} * n + {UNDER - 1}) div {UNDER} + 1 - (n - size(xs)) as int)")
-    members = stored(lists.where(room > 0).select("sid", F.explode(F.slice("xs", F.lit(1), room)).alias("x")).select("x.s", "sid"), "prefixes")
-    kinds = members.groupBy("s").agg(F.count("*").alias("k"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(7), "sid")).alias("x")).where("k > 1")
-    kept = kinds.groupBy("k", "h", "x").agg(F.min("s").alias("s"), F.count("*").alias("weight"))
-    return members.join(kept.select("s", "weight"), "s")
-
-
-def may_link(shared: Column | None = None) -> Column:
-    """Sizes, and the number of shared regions where it is given, allow a link."""
+    lists = lists.withColumn("alone", F.col("n") - F.size("xs"))
+    room = F.expr(f"cast(n - ({OVER} * n + {UNDER - 1}) div {UNDER} + 1 - alone as int)")
+    prefix = lists.where(room > 0).select("sid", "n", "alone", F.posexplode(F.slice("xs", F.lit(1), room)).alias("at", "x"))
+    prefix = stored(prefix.select("x.f", "x.s", "sid", "n", (F.col("alone") + F.col("at") + 1).alias("place")), "prefixes")
+    kinds = prefix.groupBy("f", "s").agg(F.count("*").alias("k"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("h"), F.bit_xor(F.xxhash64(F.lit(7), "sid")).alias("x")).where("k > 1")
+    kept = kinds.groupBy("k", "h", "x").agg(F.min(F.struct("f", "s")).alias("one")).select("one.s")
+    return prefix.drop("f").join(kept, "s")
+
+
+def may_link() -> Column:
+    """Sizes allow a link, and so does the place of this region in the orders of both: the first shingle that two sets
+    share leaves enough behind it in either."""
     na, nb = F.col("na"), F.col("nb")
-    fits = UNDER * F.least(na, nb) >= OVER * F.greatest(na, nb)
-    if shared is None:
-        return fits
-    rest = F.greatest(*(F.expr(f"({OVER} * {n} + {UNDER - 1}) div {UNDER} - 1") for n in ("na", "nb")))
-    return fits & ((OVER + UNDER) * (shared + rest) >= OVER * (na + nb))
+    enough = (OVER + UNDER) * (1 + F.least(na - F.col("pa"), nb - F.col("pb"))) >= OVER * (na + nb)
+    return (UNDER * F.least(na, nb) >= OVER * F.greatest(na, nb)) & enough
 
 
 def measured(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -163,37 +164,33 @@ def measured(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 def connected(members: DataFrame, held: DataFrame) -> DataFrame:
     """(id, component_id) of every set that links with another; components are named by their smallest sid."""
-    sizes, found, left, spans = held.select("sid", "n"), None, members, None
+    found, apart, spans = None, members.withColumn("comp", F.col("sid")), None
     for step in range(PIVOT_ROUNDS):
-        pivots = left.groupBy("s").agg(F.min("sid").alias("pivot"))
-        stars = left.select("s", "sid").join(pivots, "s").where("sid <> pivot").select("s", F.col("pivot").alias("a"), F.col("sid").alias("b"))
-        got = stored(measured(stars.select("a", "b").distinct(), held), "measured")
+        chance = F.xxhash64(F.lit(step), "s", "sid") if step else F.col("sid")  # each region has a pivot of its own later
+        pivots = apart.groupBy("s").agg(F.min_by(F.struct(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("comp").alias("ca")), chance).alias("p")).select("s", "p.*")
+        stars = apart.select("s", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("comp").alias("cb")).join(pivots, "s").where("ca <> cb")
+        pairs = (stars.where(may_link()) if step else stars).select("a", "b").distinct()
+        got = stored(measured(pairs, held), "measured")
         if not step:  # the distances that the windows use
-            spans = stored(stars.join(got, ["a", "b"]).select("s", F.col("b").alias("sid"), "d").unionByName(pivots.select("s", F.col("pivot").alias("sid"), F.lit(0.0).alias("d"))), "spans")
+            spans = stored(stars.join(got, ["a", "b"]).select("s", F.col("b").alias("sid"), "d").unionByName(pivots.select("s", F.col("a").alias("sid"), F.lit(0.0).alias("d"))), "spans")
         new = got.where("link").select("a", "b")
+        if step and new.isEmpty():
+            break
         found = components(new if found is None else found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(new))
         comp = found.select(F.col("id").alias("sid"), F.col("component_id").alias("comp"))
-        label = stored(members.join(comp, "sid", "left").select("s", "sid", "weight", F.coalesce("comp", "sid").alias("comp")), "labels")
+        label = stored(members.join(comp, "sid", "left").select("s", "sid", "n", "place", F.coalesce("comp", "sid").alias("comp")), "labels")
         several = label.groupBy("s").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one < other")
         apart = stored(label.join(several.select("s"), "s", "left_semi"), "apart")
         discard(label)
         release(members.sparkSession)
         if apart.isEmpty():
             return found
-        if step + 1 < PIVOT_ROUNDS:
-            inside = apart.select("s", "sid", "comp").join(left.select("s", "sid"), ["s", "sid"], "left_semi")
-            cell = inside.join(pivots, "s").where("sid = pivot").select("s", F.col("comp").alias("own"))
-            rest = stored(inside.join(cell, "s").where("comp <> own").select("s", "sid"), "rest")
-            left = rest.join(rest.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "s", "left_semi")
-            if left.isEmpty():
-                break
     # windows as wide as a link is long, by the distance to the first pivot of the region
-    placed = stored(apart.join(spans, ["s", "sid"]).join(sizes, "sid").withColumn("cell", F.floor(F.col("d") * UNDER / (UNDER - OVER))), "placed")
-    a, b = (placed.select("s", *(F.col(c).alias(t + k) for c, t in (("sid", ""), ("comp", "c"), ("d", "d"), ("n", "n"))), "weight", "cell") for k in "ab")
-    a = a.drop("weight").withColumn("cell", F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)))
+    placed = stored(apart.join(spans, ["s", "sid"]).withColumn("cell", F.floor(F.col("d") * UNDER / (UNDER - OVER))), "placed")
+    a, b = (placed.select("s", *(F.col(c).alias(t + k) for c, t in (("sid", ""), ("comp", "c"), ("d", "d"), ("n", "n"), ("place", "p"))), "cell") for k in "ab")
+    a = a.withColumn("cell", F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)))
     met = a.join(b, ["s", "cell"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= 0.25 + 1e-9) & may_link())
-    likely = met.groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(may_link(F.col("shared")))
-    new = measured(likely, held).where("link").select("a", "b")
+    new = measured(met.select("a", "b").distinct(), held).where("link").select("a", "b")
     return components(found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(new))
 
 

@@ -91,7 +91,7 @@ def brute_classes(texts):
     return {i: (len(sets[i]), root(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("rounds", [2, 1])
+@pytest.mark.parametrize("rounds", [3, 1])
 def test_jaccard_equals_brute_force(spark, monkeypatch, rounds):
     monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", rounds)  # one round leaves more to the windows
     texts = corpus() + ODD
