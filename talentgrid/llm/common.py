@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 #: Rows of 8-byte ids that may be broadcast (16 MB); above it the same join runs as a shuffle join.
 BROADCAST_ROWS = 2_000_000
+#: Rows of an Arrow batch that goes to a Python worker; texts and sets are long.
+BATCH_ROWS = 1000
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -57,6 +59,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def lean(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch to ``BATCH_ROWS`` for this session, so that neither side of a worker's pipe holds many texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def only(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is among ids; ids are broadcast only after their number has been checked."""
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -74,6 +83,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         stop = max(start + 1, int(np.searchsorted(ends, upto, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def offsets_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentgrid.llm.common import discard, long_of, mixed, only, release, shingle_sets, slices, stored
+from talentgrid.llm.common import discard, lean, long_of, mixed, only, release, shingle_sets, slices, stored
 from talentgrid.llm.components import components
 
 #: Similarity at which sets link, as a fraction.
@@ -197,6 +197,7 @@ def connected(members: DataFrame, held: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5) -> DataFrame:
     """(key, n_shingles, component_id) of every row: the size of its set and the smallest key reachable by links, its own included."""
     spark = docs.sparkSession
+    lean(spark)
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = stored(profiles(docs, words), "profiles")
     sets = stored(rows.where("sid is not null and key is not null").groupBy("sid").agg(F.min("key").alias("key"), F.min("n_shingles").alias("n")), "sets")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.llm.common import _BYTE, hashes, mixed, offsets_of, places, slices, words_of
+from talentgrid.llm.common import _BYTE, hashes, lean, mixed, offsets_of, places, slices, words_of
 
 BITS = 16
 SIZES = (3, 4, 5)
@@ -138,6 +138,7 @@ def train(features: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", rows: int = TRAIN_ROWS) -> Model:
     """Learn from about ``rows`` labelled rows, chosen by a hash of the key. Features are made in the tasks; null labels
     don't count, and of several labels of one key the largest holds."""
+    lean(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
     total = known.count()
     dice = F.pmod(F.xxhash64("key"), F.lit(1_000_000))
@@ -167,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, name: str = "score") -> DataFrame:
     """All columns of docs but one of that name, then ``name`` and ``predicted``."""
+    lean(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in (name, "predicted")]
     kinds = dict(docs.dtypes)
