@@ -1,6 +1,7 @@
 """Encoding, substrings, near duplicates and decontamination against brute force, and odd rows for every operator."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -150,6 +151,56 @@ def test_decontamination(spark):
     assert got == {0: (False, []), 1: (True, [0]), 2: (True, [0]), 3: (False, []), 4: (True, [1]), 5: (True, [2]), 6: (False, []), 7: (False, [])}
 
 
+def test_masks_hit_every_stretch():
+    masks = [(len(m), int(m, 2)) for m in decontam.MASKS]
+    for n in range(decontam.WIDTH, 17):  # items shorter than LEAST are matched over their whole length
+        for gone in itertools.combinations(range(1, n - 1), max(k for k in range(n) if n - k >= decontam.SHARE * n)):
+            own = sum(1 << k for k in range(n) if k not in gone)
+            assert any(own >> at & m == m for size, m in masks for at in range(n - size + 1)), (n, gone)
+    # longer ones: an equal word counts 1, a substituted one -3; all runs without a hit, kept by their last words and length, stay below 0.
+    # A start that falls below -12 may be left out: what brought it back to 0 would be a stretch of its own.
+    last = (1 << max(size for size, _ in masks) - 1) - 1
+    best, front = {(1, 1): 1}, {(1, 1): 1}
+    while front:
+        longer = {}
+        for ((seen, n), score), equal in itertools.product(front.items(), (0, 1)):
+            now, value = seen << 1 | equal, score + (1 if equal else -3)
+            if value < -12 or any(now & m == m for _, m in masks):
+                continue
+            assert not (equal and n + 1 >= decontam.LEAST and value >= 0), bin(now)
+            key = (now & last, min(decontam.LEAST, n + 1))
+            if value > best.get(key, -13):
+                best[key] = longer[key] = value
+        front = longer
+
+
+def test_overlaps_equal_brute_force():
+    dice = random.Random(8)
+    words = ["".join(dice.choices("abcdefghij", k=4)) for _ in range(60)]
+    items = [dice.choices(words, k=n) for n in (8, 9, 10, 11, 12, 16, 20, 50)]
+    texts = []
+    for item in items:
+        for share in (0.75, 0.75, 0.8, 0.9, 1.0) * 12:
+            size = dice.randint(min(11, len(item)), len(item))
+            at = dice.randint(0, len(item) - size)
+            own = item[at : at + size]
+            for k in dice.sample(range(1, size - 1), int((1 - share) * size + 1e-9)):
+                own[k] = "other"
+            texts.append(dice.choices(words, k=dice.randint(0, 9)) + own + dice.choices(words, k=dice.randint(0, 9)))
+    texts += [[w if k % 4 else "other" for k, w in enumerate(items[-1])]]
+    want = {}
+    for (r, text), (i, item) in itertools.product(enumerate(texts), enumerate(items)):
+        for shift in range(1 - len(item), len(text)):
+            equal = [k for k in range(len(item)) if 0 <= k + shift < len(text) and text[k + shift] == item[k]]
+            for (x, a), (y, b) in itertools.product(enumerate(equal), repeat=2):
+                size, n = b - a + 1, y - x + 1
+                if size >= min(11, len(item)) and n >= 0.75 * size:
+                    want[r, i] = max(want.get((r, i), (0, 0)), (size, n))
+    table = decontam.Items(list(range(len(items))), [decontam.word_hashes(pa.array([" ".join(x)]))[0] for x in items])
+    got = {(r, i): (size, n) for r, i, _, size, n in decontam.overlaps(table, pa.array([" ".join(x) for x in texts]))}
+    assert got == want and len(want) >= len(texts)
+
+
 # ---------------------------------------------------------------- learned models
 def test_secrets(spark):
     hexes = hashlib.sha1(b"x").hexdigest()
