@@ -213,6 +213,29 @@ def test_secrets(spark):
     assert clean[0] == 'then token = "[secret]" and so on' and clean[2] == texts[2] and clean[5] is None and len(clean) == len(texts) + 20
 
 
+#: (text, its secret): punctuation, spaces before, short values, arrows, URLs, fields of queries and JSON.
+HIDDEN = [
+    ("password=P@ssw0rd!2024", "P@ssw0rd!2024"), ('password = "p4$$w0rd-99!x"', "p4$$w0rd-99!x"), ('pwd: "correct.horse.9battery"', "correct.horse.9battery"), ("token hunter2x9y8z7", "hunter2x9y8z7"),
+    ("api_key => 9f8a7b6c5d4e", "9f8a7b6c5d4e"), ("postgres://user:s3cr3t!@host/db", "s3cr3t!"), ("id=5&token=abc9def1x23456&page=2", "abc9def1x23456"), ('{"n":1,"password":"Qw3rty!99","m":2}', "Qw3rty!99"), ('the secret "a1b2c3d4e5f6"### and', "a1b2c3d4e5f6"),
+]
+PLAIN = ["the token expired yesterday in the house", "see https://example.com:8080/path/to for more", "password: <your-password>", "token = null", "the key that.92@mail2.example.com has", "time 10:30:45 was right", "an internationalization of things", "| ---------------- | ------ |"]
+
+
+def test_secrets_of_any_characters(spark):
+    for text, own in HIDDEN:
+        assert own in [text[a:b] for a, b in secrets.candidates(text)], text
+    words = list(secrets.COMMON_WORDS)
+    made = secrets.labelled_findings(words, 2000, seed=99)
+    assert sum(f[3] for f in made) == 1000  # every generated secret is a candidate, from end to end
+    docs = docs_of(spark, [f"we saw {t} there" for t, _ in HIDDEN] + PLAIN)
+    scanner = secrets.fit(docs)
+    clean = [r.text for r in secrets.redacted(docs, scanner).orderBy("doc_id").collect()]
+    assert clean == [f"we saw {t.replace(own, '[secret]')} there" for t, own in HIDDEN] + PLAIN
+    scores = scanner.forest.scores(np.array([scanner.describer.features(*f[:3]) for f in made]))
+    label = np.array([f[3] for f in made])
+    assert (scores[label == 1] >= secrets.THRESHOLD).mean() >= 0.95 and (scores[label == 0] < secrets.THRESHOLD).mean() >= 0.97
+
+
 def test_language_model_is_a_distribution():
     raw = "the cat sat on the mat and the dog ran".encode()
     g, _ = langid.grams(*langid.prepared(pa.array([raw.decode()])))
