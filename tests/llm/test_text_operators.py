@@ -236,6 +236,18 @@ def test_secrets_of_any_characters(spark):
     assert (scores[label == 1] >= secrets.THRESHOLD).mean() >= 0.95 and (scores[label == 0] < secrets.THRESHOLD).mean() >= 0.97
 
 
+def test_words_of_all_documents_count(spark):
+    name = lambda k: "".join(chr(97 + int(c)) for c in f"{k:05}")
+    rare = [name(k) for k in range(30_000)]  # each in two of 6000 texts: more than a sample or the most frequent ones hold
+    texts = [" ".join(rare[k % 3000 * 10 : k % 3000 * 10 + 10]) for k in range(6000)] + ["once", None]
+    known = secrets.lexicon(secrets.dictionary(docs_of(spark, texts)), secrets.COMMON_WORDS)
+    own = secrets.Lexicon([*secrets.COMMON_WORDS, *rare])
+    assert (known.filter == own.filter).all() and (known.bigrams == own.bigrams).all()
+    assert known.has(pa.array(rare)).all() and known.has(pa.array(["about"])).all()
+    assert known.has(pa.array(["once", *(w + "xq" for w in rare)])).mean() < 0.001
+    assert secrets.fit(docs_of(spark, texts)).describer.covered(rare[-1] + "/" + rare[7]) == 10 / 11
+
+
 def test_language_model_is_a_distribution():
     raw = "the cat sat on the mat and the dog ran".encode()
     g, _ = langid.grams(*langid.prepared(pa.array([raw.decode()])))
