@@ -127,7 +127,7 @@ def parse_one(text: str | None) -> dict:
     skills = [skill_name(s) for s in re.split(r"[,;|•\n]", re.sub(r"(?m)^[^:\n]{1,30}:", "", found.get("skills", ""))) if 1 < len(s.strip()) <= 40]
     linkedin = first(r"(?i)linkedin\.com/in/[\w-]+", text)
     return {
-        "name": name, "email": first(V.EMAIL, text), "phone": first(V.PHONE, head), "location": place[1] if place else None, "linkedin": linkedin,
+        "name": name, "email": first(V.EMAIL, text), "phone": first(V.PHONE, text), "location": place[1] if place else None, "linkedin": linkedin,
         "education": schools, "experience": jobs, "skills": sorted(dict.fromkeys(skills)), "military": [b for b in BRANCHES if b in found.get("military", "").lower()], "sections": found,
     }
 

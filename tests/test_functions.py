@@ -145,3 +145,11 @@ def test_resume(spark):
     assert resume.json_object('x ```json\n{"a": [1, 2,], "b": "}"}\n``` {') == '{"a": [1, 2], "b": "}"}' and resume.json_object("no") is None
     assert values(spark, ["MARY o'brien", "john mcdonald iii"], resume.cased_name) == ["Mary O'Brien", "John McDonald III"]
     assert resume.skill_group("PostgreSQL") == "Data" and resume.skill_group("knitting") == "Other"
+
+
+def test_phone_after_the_head():
+    from talentgrid.functions import resume
+
+    late = "\n".join(["Ada Lovelace", *(f"line {k}" for k in range(30)), "call (415) 555-0142", "Boston, MA"])
+    p = resume.parse_one(late)
+    assert p["phone"] == "(415) 555-0142" and p["location"] is None
