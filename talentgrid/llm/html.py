@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,11 +158,12 @@ def features(nodes: list[Node]) -> np.ndarray:
     """One row for each node."""
     whole = max(1, nodes[0].chars)
     out = np.zeros((len(nodes), 17 + len(TAGS)), np.float32)
+    tags = {id(n): Counter(c.tag for c in n.children) for n in nodes if n.children}
     for k, n in enumerate(nodes):
         chars, p = n.chars, n.parent
         held = p if n.tag == "text" and p is not None else n
         kin = len(p.children) if p else 1
-        alike = sum(c.tag == n.tag for c in p.children) / kin if p and kin < 40 else 1.0
+        alike = tags[id(p)][n.tag] / kin if p else 1.0
         kind = KIND.get(held.tag, held.tag)
         out[k, :17] = (
             np.log1p(chars), n.links / chars if chars else 0.0, chars / (n.tags + 1), n.stops / (chars + 1) * 100, n.paragraphs,

@@ -75,6 +75,17 @@ def test_decoding_is_consistent():
     assert html.decoded(nodes, odds) in (["a b", "c d"], [])
 
 
+def test_siblings_of_long_pages():
+    for n in (10, 39, 40, 400):
+        nodes = html.parsed("<body><article>" + '<p>Some text.</p><p>More text.</p><div class="share">Share</div><p>The end.</p>' * n + "</article></body>")
+        alike = html.features(nodes)[:, 12]
+        own = [(x, a) for x, a in zip(nodes, alike) if x.parent is not None and x.parent.tag == "article"]
+        assert len(own) == 4 * n and all(a == np.float32(0.25 if x.tag == "div" else 0.75) for x, a in own)
+    page = "<html><body><nav><ul><li><a href='/a'>Home</a></li></ul></nav><article><h1>A long headline of the page</h1>" + "<p>A paragraph that goes on for a while, and on, and ends here.</p>" * 120 + "</article></body></html>"
+    (text,) = html.main_texts([page], html.fit())
+    assert text.count("\n") == 120 and "Home" not in text
+
+
 def test_archives(spark, tmp_path):
     rows = [(7, "http://a/7", "same"), (3, "http://a/3", "same"), (5, None, None), (4, "http://a/4", ""), (9, "http://a b\n", "é" * 3000), (None, "http://n", "same"), (3, "http://a/3", "same"), (11, "u", "own " * 4000)]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, first int")
