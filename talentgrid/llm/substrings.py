@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.llm.bpe import Powers
-from talentgrid.llm.common import _BYTE, discard, long_of, mixed, offsets_of, only, release, slices, stored
+from talentgrid.llm.common import _BYTE, discard, lean, long_of, mixed, offsets_of, only, release, slices, stored
 
 LENGTH = 50
 GRAM = 25
@@ -46,6 +46,8 @@ LAST = (1 << 63) - 1
 ORDER = np.uint64(2**64 - 2**28)
 #: Bytes of segments whose windows are compared by hash before any array is built.
 FILTER_BYTES = 1 << 20
+#: Bytes of text whose anchors are found at once; about thirty times as much is held meanwhile.
+TEXT_BYTES = 1 << 18
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -179,6 +181,7 @@ def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     spark = docs.sparkSession
+    lean(spark)
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     named = docs.withColumn("tid", F.xxhash64("text", F.sha1("text")))
     rows = stored(named.select("key", "doc", "tid", F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha")), "rows")
@@ -189,7 +192,7 @@ def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
         seen: set[int] = set()  # eight bytes for each text of the task
         for batch in batches:
             new = [t not in seen and not seen.add(t) for t in batch.column("tid").to_pylist()]
-            for part in slices(batch.filter(pa.array(new)), "text"):
+            for part in slices(batch.filter(pa.array(new)), "text", TEXT_BYTES):
                 row, h, *_ = anchors(*offsets_of(part.column("text")))
                 tid = part.column("tid").to_numpy()[row]
                 keep = np.ones(len(h), bool)
@@ -208,7 +211,7 @@ def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", TEXT_BYTES):
                 raw, off = offsets_of(part.column("text"))
                 row, h, first, count, seg = anchors(raw, off)
                 hs = part.column("hs")
