@@ -19,7 +19,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = stored(links.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "links")
     seen = None
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "b", "a"))).first()
         if state == seen or not state[0]:
             break
         seen = state

@@ -92,14 +92,34 @@ def brute_classes(texts):
     return {i: (len(sets[i]), root(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("rounds", [3, 1])
-def test_jaccard_equals_brute_force(spark, monkeypatch, rounds):
-    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", rounds)  # one round leaves more to the windows
+@pytest.mark.parametrize("leaf, shrunk, slab", [(64, 0.75, 1 << 20), (2, 0.99, 1000), (2, 0.3, 1)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, leaf, shrunk, slab):
+    for name, value in (("LEAF", leaf), ("SHRUNK", shrunk), ("SLAB", slab)):  # small ones make regions be cut again
+        monkeypatch.setattr(jaccard, name, value)
     texts = corpus() + ODD
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs_of(spark, texts)).collect()}
     assert got == brute_classes(texts)
 
 
+def test_jaccard_of_one_large_group(spark, monkeypatch):
+    """Copies of one text with one to eight changed words: most pairs are near the bound, on either side of it."""
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    dice = random.Random(6)
+    base = [f"w{k}" for k in range(110)]
+    texts = []
+    for _ in range(150):
+        own = list(base)
+        for k in dice.sample(range(110), dice.randint(1, 8)):
+            own[k] = f"x{dice.randint(0, 30)}"
+        texts.append(" ".join(own))
+    asked = []
+    measured = jaccard.measured
+    monkeypatch.setattr(jaccard, "measured", lambda pairs, held: asked.append(pairs) or measured(pairs, held))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs_of(spark, texts)).collect()}
+    assert got == brute_classes(texts)
+    assert len(asked) >= 3 and 0 < sum(p.count() for p in asked[:2]) < 150 * 149 / 4
+
+
 def test_components_of_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (None, 3)], "a long, b long")
     got = {r.id: r.component_id for r in components(links).collect()}
