@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from talentgrid.functions import labels as L
 from talentgrid.functions import scoring as S
 from talentgrid.functions import text as T
-from talentgrid.operators import evaluation, governance, ranking, search, transitions, vectors
+from talentgrid.operators import evaluation, governance, matching, ranking, search, transitions, vectors
 from talentgrid.operators import reports as R
 from talentgrid.plans import bundles
 from talentgrid.sources import pages as P
@@ -322,24 +322,31 @@ def order_skills(spark, d):
     return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_brand")).alias("wanted"))
 
 
+#: The other customer whose brands an order is compared with: the order's key modulo the number of customers.
+OTHER_SQL = "l_orderkey % (SELECT count(*) FROM customer)"
+
+
 def pairs(spark, d):
-    """Every order's brands against those of the customer whose key is the order's, modulo the number of customers."""
+    """Every order's brands against those of another customer (OTHER_SQL), so that all customers who bought anything take part."""
     have = skills(spark, d).groupBy("candidate_id").agg(F.array_sort(F.collect_set("skill_name")).alias("have"))
-    return order_skills(spark, d).withColumn("candidate_id", F.col("l_orderkey") % 150 + 1).join(have, "candidate_id")
+    customers = table(spark, d, "customer").agg(F.count("*").alias("customers"))
+    other = order_skills(spark, d).join(F.broadcast(customers)).withColumn("candidate_id", F.col("l_orderkey") % F.col("customers"))
+    return other.drop("customers").join(have, "candidate_id")
 
 
 @query("skill_overlap", f"""
     SELECT l_orderkey, exact, round(least(100, (CASE WHEN exact + partial >= 0.8 * total THEN 1.1 ELSE 1.0 END) * (100.0 * exact + 50.0 * partial) / total), 4) AS score FROM (
       SELECT l_orderkey, len(wanted) AS total, len(list_filter(wanted, lambda w: list_contains(have, w))) AS exact,
              len(list_filter(wanted, lambda w: NOT list_contains(have, w) AND len(list_filter(have, lambda h: (contains(h, w) OR contains(w, h)) AND abs(length(h) - length(w)) <= 3)) > 0)) AS partial
-      FROM {ORDER_SKILLS_SQL} JOIN {CUSTOMER_SKILLS_SQL} ON candidate_id = l_orderkey % 150 + 1)""")
+      FROM {ORDER_SKILLS_SQL} JOIN {CUSTOMER_SKILLS_SQL} ON candidate_id = {OTHER_SQL})""")
 def skill_overlap(spark, d):
     m = pairs(spark, d).withColumn("m", S.skill_match(F.col("wanted"), F.col("have")))
     return m.select("l_orderkey", F.size("m.exact").alias("exact"), F.round("m.score", 4).alias("score"))
 
 
 @query("skill_jaccard", f"""
-    SELECT l_orderkey, round(len(list_intersect(wanted, have)) / len(list_distinct(list_concat(wanted, have))), 4) AS jaccard FROM {ORDER_SKILLS_SQL} JOIN {CUSTOMER_SKILLS_SQL} ON candidate_id = l_orderkey % 150 + 1""")
+    SELECT l_orderkey, round(len(list_intersect(wanted, have)) / len(list_distinct(list_concat(wanted, have))), 4) AS jaccard
+    FROM {ORDER_SKILLS_SQL} JOIN {CUSTOMER_SKILLS_SQL} ON candidate_id = {OTHER_SQL}""")
 def skill_jaccard(spark, d):
     return pairs(spark, d).select("l_orderkey", F.round(S.jaccard(F.col("wanted"), F.col("have")), 4).alias("jaccard"))
 
@@ -371,17 +378,74 @@ def score_tiers(spark, d):
     return df.select(k, F.round(weighted * F.when((F.col("r") < 50) & (F.col("s") < 60), 0.4).otherwise(1.0), 6).cast("decimal(18,6)").alias("score"))
 
 
-@query("pair_ranking")
+#: How many of some wanted brands a customer has, and nearly has: one name holds the other and is three characters longer at most.
+EXACT_SQL = "len(list_filter({0}, lambda w: list_contains(have, w)))"
+PARTIAL_SQL = "len(list_filter({0}, lambda w: NOT list_contains(have, w) AND len(list_filter(have, lambda h: (contains(h, w) OR contains(w, h)) AND abs(length(h) - length(w)) <= 3)) > 0))"
+#: Positions of customers by key modulo 8, with the category, the place of the level among all levels, and its years.
+POSITIONS = (
+    ("Data Scientist", "data_science", 3, 4), ("Sales Manager", "sales_marketing", 5, 10), ("Senior Software Engineer", "software_engineering", 4, 7), ("UX Designer", "design", 3, 4),
+    ("Project Manager", "operations", 5, 10), ("Accountant", "finance", 3, 4), ("Director", "executive", 7, 15), ("", None, 3, 4),
+)
+JOBS_SQL = """(SELECT l_orderkey AS job_id, n, wanted, CASE n WHEN 1 THEN 'data_science' ELSE 'sales_marketing' END AS kind, CASE n WHEN 1 THEN 4 ELSE 5 END AS level, CASE n WHEN 1 THEN 5 ELSE 10 END AS years
+    FROM (SELECT l_orderkey, wanted, row_number() OVER (ORDER BY l_orderkey) AS n FROM (SELECT l_orderkey, list(DISTINCT p_brand ORDER BY p_brand) AS wanted FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)) WHERE n <= 2)"""
+PEOPLE_SQL = f"""(SELECT c_custkey AS id, have, kind, level, own_years, CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 13)::DOUBLE END AS years, CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 END AS degree,
+      list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)) AS similarity
+    FROM customer JOIN (SELECT candidate_id, list(skill_name) AS have FROM {SKILLS_SQL} GROUP BY 1) ON candidate_id = c_custkey LEFT JOIN embeddings e ON vec_id = c_custkey
+    JOIN (VALUES {", ".join(f"({k}, {'NULL' if kind is None else chr(39) + kind + chr(39)}, {level}, {years})" for k, (_, kind, level, years) in enumerate(POSITIONS))}) p(k, kind, level, own_years) ON k = c_custkey % 8)"""
+
+
+def people(spark, d):
+    """Customers as candidates, with positions by POSITIONS, recorded years, degrees, and the cosine of their vector with the first."""
+    k = F.col("c_custkey")
+    have = skills(spark, d).groupBy(F.col("candidate_id").alias("c_custkey")).agg(F.array_sort(F.collect_set("skill_name")).alias("skills"))
+    degrees = F.when(k % 4 == 0, F.array(F.lit("B.Sc. Maths"))).when(k % 4 == 1, F.array(F.lit("MBA"), F.lit("GED"))).when(k % 4 == 2, F.array(F.lit("High School Diploma")))
+    near = table(spark, d, "embeddings").select(F.col("vec_id").alias("c_custkey"), vectors.cosine(F.col("embedding"), query_vector(spark, d)).alias("similarity"))
+    position = F.element_at(F.array(*(F.lit(p[0]) for p in POSITIONS)), (k % 8 + 1).cast("int"))
+    rows = table(spark, d, "customer").select("c_custkey").join(have, "c_custkey").join(near, "c_custkey", "left")
+    return rows.select(k.alias("id"), position.alias("position"), "skills", F.when(k % 5 != 0, (k % 13).cast("double")).alias("years"), degrees.alias("degrees"), "similarity")
+
+
+def posts(spark, d):
+    """The first two orders as jobs: one with requirements, one without."""
+    two = order_skills(spark, d).orderBy("l_orderkey").limit(2)
+    first = F.col("l_orderkey") == two.agg(F.min("l_orderkey")).scalar()
+    asked = F.to_json(F.struct(F.slice("wanted", 1, 1).alias("must_have_skills"), F.slice("wanted", 2, 1).alias("nice_to_have_skills"), F.lit(3).alias("min_years"), F.lit(8).alias("max_years"), F.lit("bachelor").alias("min_education")))
+    return two.select(
+        F.col("l_orderkey").alias("job_id"), F.when(first, "Senior Data Engineer").otherwise("Marketing Lead").alias("title"), F.when(first, "5 years of experience").otherwise("").alias("text"),
+        "wanted", F.when(first, asked).alias("requirements"),
+    )
+
+
+@query("pair_ranking", f"""
+    WITH p AS (SELECT job_id, j.n, wanted, j.kind AS jk, j.level AS jl, j.years AS jy, id, have, c.kind AS ck, c.level AS cl, own_years AS cy, c.years AS y, degree, similarity,
+                      len(wanted) AS total, {EXACT_SQL.format("wanted")} AS exact, {PARTIAL_SQL.format("wanted")} AS partial,
+                      CASE WHEN j.n = 1 THEN 10.0::DOUBLE * ({EXACT_SQL.format("wanted[2:2]")} + 0.5::DOUBLE * {PARTIAL_SQL.format("wanted[2:2]")}) ELSE 0 END AS bonus,
+                      j.n = 1 AND {EXACT_SQL.format("wanted[1:1]")} + {PARTIAL_SQL.format("wanted[1:1]")} = 0 AS lacks FROM {JOBS_SQL} j, {PEOPLE_SQL} c),
+         r AS (SELECT *, CASE WHEN ck IS NULL THEN 'missing' WHEN jk = ck THEN 'same_category' WHEN jk = 'data_science' AND ck IN ('sales_marketing', 'design') OR jk = 'sales_marketing' AND ck IN ('data_science', 'software_engineering') THEN 'highly_incompatible'
+                              WHEN jk = 'data_science' AND ck IN ('software_engineering', 'operations') THEN 'moderately_incompatible' ELSE 'unrelated' END AS relationship,
+                      CASE WHEN n = 1 THEN greatest(coalesce(3 - y, 0), 0) ELSE 0.0::DOUBLE END AS short, CASE WHEN n = 1 THEN greatest(coalesce(y - 8, 0), 0) ELSE 0.0::DOUBLE END AS over,
+                      least(100, (100.0::DOUBLE * exact + 50.0::DOUBLE * partial) / total * CASE WHEN exact + partial >= 0.8 * total THEN 1.1::DOUBLE ELSE 1 END) + bonus AS s0 FROM p),
+         b AS (SELECT *, CASE WHEN relationship = 'missing' THEN 30.0::DOUBLE ELSE coalesce(similarity * 100, 30.0::DOUBLE) END AS base, least(s0, 100) * CASE WHEN relationship = 'moderately_incompatible' THEN 0.3::DOUBLE ELSE 1 END AS skill,
+                      (CASE WHEN cl - jl < -2 THEN 20 WHEN cl - jl = -2 THEN 40 WHEN cl - jl = -1 THEN 70 WHEN cl = jl THEN 100 WHEN cl - jl = 1 THEN 90 WHEN cl - jl = 2 THEN 80 ELSE 60 END) * 0.7::DOUBLE
+                      + (CASE WHEN cy - jy < -3 THEN 30 WHEN cy - jy < -1 THEN 60 WHEN cy - jy <= 1 THEN 100 WHEN cy - jy <= 3 THEN 90 WHEN cy - jy <= 5 THEN 80 ELSE 70 END) * 0.3::DOUBLE AS seniority FROM r),
+         x AS (SELECT *, greatest(0, least(100, CASE relationship WHEN 'highly_incompatible' THEN least(base * 0.15::DOUBLE, 12) WHEN 'moderately_incompatible' THEN least(base * 0.2::DOUBLE, 20) WHEN 'same_category' THEN least(base * 1.3::DOUBLE, 100) ELSE base END)) AS role,
+                      greatest(0, seniority - CASE WHEN short > 0 THEN least(10 * short, 40) ELSE least(5 * over, 20) END) AS experience, CAST(lacks AS INT) + CAST(short >= 2 AS INT) + CAST(n = 1 AND coalesce(degree < 1, false) AS INT) AS gone FROM b),
+         w AS (SELECT *, CASE WHEN role < 30 THEN 'severe_role_mismatch' WHEN role < 50 THEN 'moderate_role_mismatch' ELSE 'standard' END AS tier,
+                      CASE WHEN role < 30 THEN (skill * 0.15::DOUBLE + role * 0.7::DOUBLE + experience * 0.15::DOUBLE) * 0.25::DOUBLE WHEN role < 50 THEN (skill * 0.2::DOUBLE + role * 0.6::DOUBLE + experience * 0.2::DOUBLE) * 0.45::DOUBLE
+                           ELSE skill * 0.35::DOUBLE + role * 0.45::DOUBLE + experience * 0.2::DOUBLE END * CASE WHEN role < 50 AND skill < 60 THEN 0.4::DOUBLE ELSE 1 END AS before FROM x),
+         m AS (SELECT *, CASE WHEN gone >= 2 THEN least(before, 50) WHEN gone = 1 THEN least(before, 70) ELSE before END AS match_score FROM w)
+    SELECT job_id, id, round(match_score, 4) AS match_score, relationship, tier, gone AS missing, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY match_score DESC, id) AS rank FROM m WHERE match_score >= 1) WHERE rank <= 200""")
 def pair_ranking(spark, d):
-    """The best customers for the first nation's wanted brands: the whole pair score."""
-    have = skills(spark, d).groupBy(F.col("candidate_id").alias("id")).agg(F.array_sort(F.collect_set("skill_name")).alias("skills"))
-    people = have.join(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lower("c_mktsegment").alias("position")), "id")
-    wanted = order_skills(spark, d).orderBy("l_orderkey").limit(1)
-    job = wanted.select(F.col("l_orderkey").alias("job_id"), F.lit("Senior Data Engineer").alias("title"), F.lit("5 years of experience").alias("text"), "wanted", F.slice("wanted", 1, 1).alias("must"))
-    return bundles.candidates_for_job(job, people, 0.0).select("id", "score")
+    """The best customers for two jobs: the whole score of every pair, requirements included."""
+    best = matching.best_candidates(posts(spark, d), people(spark, d), 1.0, 200)
+    return best.select("job_id", "id", F.round("match_score", 4).alias("match_score"), "relationship", "tier", F.size("reasons").alias("missing"), "rank")
 
 
-@query("similar_jobs")
+@query("similar_jobs", """
+    WITH j AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS words, list_distinct([p_brand, p_type]) AS skills, CAST(p_size AS VARCHAR) AS place FROM part),
+         o AS (SELECT * FROM j WHERE id = 1)
+    SELECT j.id, round(100 * (0.35::DOUBLE * len(list_intersect(o.words, j.words)) / greatest(len(o.words), len(j.words)) + 0.40::DOUBLE * len(list_intersect(o.skills, j.skills)) / len(list_distinct(list_concat(o.skills, j.skills)))
+           + 0.10::DOUBLE * CASE WHEN o.place = j.place THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END + 0.15::DOUBLE * 0.3::DOUBLE), 1) AS score FROM j, o WHERE j.id <> o.id ORDER BY score DESC, j.id LIMIT 5""")
 def similar_jobs(spark, d):
     names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array(F.col("p_brand"), F.col("p_type")).alias("skills"), F.col("p_size").cast("string").alias("location"))
     return bundles.similar_jobs(names, 1).select("id", "score")
@@ -539,13 +603,25 @@ def bulk_tag(spark, d):
     return governance.bulk_tag(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), tags, o.select((F.col("o_custkey") + 5).alias("candidate_id")), "1-URGENT")
 
 
-@query("extraction_f1")
+NEAR_SQL = "len(list_filter({0}, lambda x: len(list_filter({1}, lambda y: contains(x, y) OR contains(y, x))) > 0))::DOUBLE"
+
+
+@query("extraction_f1", f"""
+    SELECT l_orderkey, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 4) AS f1 FROM (
+      SELECT l_orderkey, {NEAR_SQL.format("have", "wanted")} / len(have) AS p, {NEAR_SQL.format("wanted", "have")} / len(wanted) AS r FROM {ORDER_SKILLS_SQL} JOIN {CUSTOMER_SKILLS_SQL} ON candidate_id = {OTHER_SQL})""")
 def extraction_f1(spark, d):
-    m = pairs(spark, d)
-    return m.select("l_orderkey", F.round(evaluation.set_f1(F.col("wanted"), F.col("have")), 4).alias("f1"), F.round(evaluation.recall(evaluation.keys(F.col("wanted")), evaluation.keys(F.col("have"))), 4).alias("recall"))
+    return pairs(spark, d).select("l_orderkey", F.round(evaluation.set_f1(F.col("wanted"), F.col("have")), 4).alias("f1"))
+
+
+@query("extraction_recall")
+def extraction_recall(spark, d):
+    return pairs(spark, d).select("l_orderkey", F.round(evaluation.recall(evaluation.keys(F.col("wanted")), evaluation.keys(F.col("have"))), 4).alias("recall"))
 
 
-@query("stable_buckets")
+@query("stable_buckets", """
+    WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+         h AS (SELECT xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(c_name, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)]))) AS crc FROM customer, t)
+    SELECT crc % 10 AS bucket, count(*) AS n FROM h GROUP BY 1""")
 def stable_buckets(spark, d):
     return table(spark, d, "customer").groupBy(stable_index(F.col("c_name"), 10).alias("bucket")).agg(F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -96,18 +97,22 @@ def like_pattern(text: str) -> str:
     return "%" + reduce(lambda s, c: s.replace(c, "\\" + c), "\\%_", text) + "%"
 
 
+#: Patterns of every place that is known by name; places that mean everywhere have none.
+PLACES = (
+    dict.fromkeys(V.ANYWHERE, ())
+    | {name: tuple(f"%, {state}%" for state in states) for name, states in V.REGION_STATES.items()}
+    | {name: tuple(f"%{city}%" for city in cities) for name, cities in V.REGION_CITIES.items()}
+)
+FILLER = re.compile("|".join(map(re.escape, V.PLACE_PREFIXES)))
+
+
 def place_patterns(place: str) -> list[str]:
-    """Patterns for a place: a region is its states or cities, 'anywhere' no pattern at all, anything else a plain part."""
-    plain = place.strip().lower().rstrip(".!?")
-    lead = next((p for p in V.PLACE_PREFIXES if plain.startswith(p)), "")
-    key = plain[len(lead) :]
-    if key in V.ANYWHERE:
-        return []
-    if key in V.REGION_STATES:
-        return [f"%, {s}%" for s in V.REGION_STATES[key]]
-    if key in V.REGION_CITIES:
-        return [f"%{c}%" for c in V.REGION_CITIES[key]]
-    return [f"%{key if lead else place.strip()}%"]
+    """Patterns for a place as people name it: those of a known name, else one for the name itself."""
+    asked = place.strip()
+    plain = asked.lower().rstrip(".!?")
+    filler = FILLER.match(plain)
+    name = plain[filler.end() :] if filler else plain
+    return list(PLACES.get(name, (like_pattern(name if filler else asked),)))
 
 
 def like_any(c: Column, patterns: list[str]) -> Column:

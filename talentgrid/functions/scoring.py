@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentgrid.functions import vocabulary as V
@@ -22,19 +22,36 @@ def at_most(c: Column, steps: list[tuple[float, float]], beyond: float) -> Colum
     return out.otherwise(float(beyond))
 
 
-def seniority(text: Column) -> Column:
-    """struct(level, years): years from the first pattern that gives a number; the level from the highest word, else from the
-    years; the years from the level where the text has none. A text with neither is mid level."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = [F.nullif(F.regexp_extract(low, p, g).try_cast("int"), F.lit(0)) for p, g in V.YEAR_PATTERNS]
-    years = F.coalesce(*found)
+def years_in(low: Column) -> Column:
+    """The years of experience that a lower-case text states, by the first pattern that gives a number; else null."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(low, p, g).try_cast("int"), F.lit(0)) for p, g in V.YEAR_PATTERNS))
+
+
+def level_of(low: Column, years: Column) -> Column:
+    """The level by the highest word of a lower-case text, else by the years, else mid."""
     words = F.lit(None).cast("string")
     for level, own in V.LEVEL_WORDS.items():
         words = F.when(any_in(low, own), level).otherwise(words)
     by_years = F.when(years < 2, "entry").when(years < 5, "mid").when(years < 8, "senior").when(years < 12, "lead").when(years >= 12, "principal")
-    level = F.coalesce(words, by_years, F.lit("mid"))
-    usual = F.element_at(F.create_map(*[F.lit(x) for kv in V.LEVEL_YEARS.items() for x in kv]), level)
-    return F.struct(level.alias("level"), F.coalesce(years, usual).alias("years"))
+    return F.coalesce(words, by_years, F.lit("mid"))
+
+
+def usual_years(level: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in V.LEVEL_YEARS.items() for x in kv]), level)
+
+
+def seniority(text: Column) -> Column:
+    """struct(level, years): years from the first pattern that gives a number; the level from the highest word, else from the
+    years; the years from the level where the text has none. A text with neither is mid level."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    years = years_in(low)
+    level = level_of(low, years)
+    return F.struct(level.alias("level"), F.coalesce(years, usual_years(level)).alias("years"))
+
+
+def experience_score(job_level: Column, job_years: Column, level: Column, years: Column) -> Column:
+    """How well level and years fit a job's, from 0 to 100."""
+    return experience_match(F.struct(job_level.alias("level"), job_years.alias("years")), F.struct(level.alias("level"), years.alias("years")))["score"]
 
 
 def experience_match(job: Column, candidate: Column) -> Column:
@@ -96,69 +113,48 @@ def skill_penalty(score: Column, job: Column, own: Column) -> Column:
     return F.when(is_pair(job, own, V.NEAR_PAIRS), score * 0.3).otherwise(score)
 
 
-def role_match(job_title: Column, position: Column, similarity: Column, job: Column, own: Column) -> Column:
-    """struct(score, base, relationship) of two titles with their categories. ``similarity`` is the cosine of the titles'
-    embeddings, null where there is none."""
-    missing = (F.coalesce(F.trim(job_title), F.lit("")) == "") | (F.coalesce(F.trim(position), F.lit("")) == "")
-    base = F.when(missing, V.NO_SIGNAL).otherwise(F.coalesce(similarity * 100.0, F.lit(V.NO_SIGNAL)))
-    far, near = ~missing & is_pair(job, own, V.FAR_PAIRS), ~missing & is_pair(job, own, V.NEAR_PAIRS)
-    same = ~missing & F.coalesce(job == own, F.lit(False))
-    kind = (
-        F.when(missing, "missing").when(far, "highly_incompatible").when(near, "moderately_incompatible").when(same, "same_category")
-        .when(job.isNotNull() & own.isNotNull(), "unrelated").otherwise("uncategorized")
+def relationship(job_title: Column, position: Column, job: Column, own: Column) -> Column:
+    """How the categories of two titles stand to each other; a blank title is missing."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    return (
+        F.when(blank(job_title) | blank(position), "missing").when(is_pair(job, own, V.FAR_PAIRS), "highly_incompatible").when(is_pair(job, own, V.NEAR_PAIRS), "moderately_incompatible")
+        .when(job == own, "same_category").when(job.isNotNull() & own.isNotNull(), "unrelated").otherwise("uncategorized")
     )
-    score = F.when(far, F.least(base * 0.15, F.lit(12.0))).when(near, F.least(base * 0.2, F.lit(20.0))).when(same, F.least(base * 1.3, F.lit(100.0))).otherwise(base)
-    return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("score"), base.alias("base"), kind.alias("relationship"))
 
 
-def tier(role_score: Column) -> Column:
-    """struct(name, skill, role, experience, multiplier): how the parts weigh at a role score."""
-    shape = lambda t: F.struct(F.lit(t[0]).alias("name"), *(F.lit(v).alias(k) for k, v in zip(("skill", "role", "experience", "multiplier"), t[2:])))
-    severe, moderate, standard = V.TIERS
-    return F.when(role_score < severe[1], shape(severe)).when(role_score < moderate[1], shape(moderate)).otherwise(shape(standard))
+def role_score(base: Column, kind: Column) -> Column:
+    """The role score, from 0 to 100, of a base score and a relationship."""
+    score = F.when(kind == "highly_incompatible", F.least(base * 0.15, F.lit(12.0))).when(kind == "moderately_incompatible", F.least(base * 0.2, F.lit(20.0)))
+    score = score.when(kind == "same_category", F.least(base * 1.3, F.lit(100.0))).otherwise(base)
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
 
 
-def nice_bonus(wanted: Column, candidate: Column) -> Column:
-    """Points for nice-to-have skills; none where none are wanted."""
-    m = skill_match(wanted, candidate)
-    return F.when(F.size(wanted) > 0, V.NICE_BONUS * (F.size(m["exact"]) + 0.5 * F.size(m["partial"])) / F.size(wanted)).otherwise(0.0)
+def role_match(job_title: Column, position: Column, similarity: Column, job: Column, own: Column) -> Column:
+    """struct(score, base, relationship) of two titles with their categories. ``similarity`` is the cosine of the titles'
+    embeddings, null where there is none."""
+    kind = relationship(job_title, position, job, own)
+    base = F.when(kind == "missing", V.NO_SIGNAL).otherwise(F.coalesce(similarity * 100.0, F.lit(V.NO_SIGNAL)))
+    return F.struct(role_score(base, kind).alias("score"), base.alias("base"), kind.alias("relationship"))
 
 
-def years_rule(low: Column, high: Column, years: Column) -> Column:
-    """struct(penalty, counts_as_missing) of recorded years outside the wanted range; unknown years cost nothing."""
-    short = F.greatest(F.coalesce(low - years, F.lit(0.0)), F.lit(0.0))
-    over = F.greatest(F.coalesce(years - high, F.lit(0.0)), F.lit(0.0))
-    penalty = F.when(short > 0, F.least(short * V.YEARS_SHORT, F.lit(V.YEARS_SHORT_MOST))).otherwise(F.least(over * V.YEARS_OVER, F.lit(V.YEARS_OVER_MOST)))
-    return F.struct(penalty.alias("penalty"), (short >= V.YEARS_MISSING).alias("counts_as_missing"))
+def tier_name(role: Column) -> Column:
+    severe, moderate, standard = V.TIERS
+    return F.when(role < severe[1], severe[0]).when(role < moderate[1], moderate[0]).otherwise(standard[0])
 
 
-def cap(missing: Column) -> Column:
-    """The limit of a score with so many requirements missing; null for none."""
+def blended(name: Column, skill: Column, role: Column, experience: Column) -> Column:
+    """The weighted score of a tier."""
     out = F.when(F.lit(False), 0.0)
-    for least, limit in V.CAPS:
-        out = out.when(missing >= least, limit)
+    for own, _, a, b, c, factor in V.TIERS:
+        out = out.when(name == own, (skill * a + role * b + experience * c) * factor)
     return out
 
 
-def scored(df: DataFrame, title: str, text: str, wanted: str, position: str, skills: str, similarity: str, must: str | None = None) -> DataFrame:
-    """Adds ``score``, a struct(match_score, skill, role, experience, tier, penalized, limit, skills): the whole score of each pair
-    with its parts. Each part is a column of its own on the way, so nothing is computed twice."""
-    c = F.col
-    df = df.withColumn("_part", skill_match(c(wanted), c(skills))).withColumn("_t", plain_title(c(title))).withColumn("_p", plain_title(c(position)))
-    for k, own in (("_t", False), ("_p", False), ("_t", True), ("_p", True)):
-        df = df.withColumn(f"{k}_{'role' if own else 'skill'}", role_category(c(k), own))
-    df = df.withColumn("_role", role_match(c(title), c(position), c(similarity), c("_t_role"), c("_p_role")))
-    df = df.withColumn("_job", seniority(F.concat_ws(" ", c(title), c(text)))).withColumn("_own", seniority(c(position)))
-    df = df.withColumn("_skill", skill_penalty(c("_part.score"), c("_t_skill"), c("_p_skill"))).withColumn("_experience", experience_match(c("_job"), c("_own"))).withColumn("_tier", tier(c("_role.score")))
-    df = df.withColumn("_missing", F.size(skill_match(c(must), c(skills))["missing"]) if must else F.lit(0))
-    weighted = (c("_skill") * c("_tier.skill") + c("_role.score") * c("_tier.role") + c("_experience.score") * c("_tier.experience")) * c("_tier.multiplier")
-    df = df.withColumn("_weak", (c("_role.score") < 50) & (c("_skill") < 60)).withColumn("_limit", cap(c("_missing"))).withColumn("_weighted", weighted)
-    total = F.least(c("_weighted") * F.when(c("_weak"), 0.4).otherwise(1.0), c("_limit"))
-    score = F.struct(
-        total.alias("match_score"), c("_skill").alias("skill"), c("_role").alias("role"), c("_experience").alias("experience"),
-        c("_tier.name").alias("tier"), c("_weak").alias("penalized"), c("_limit").alias("limit"), c("_part").alias("skills"),
-    )
-    return df.withColumn("score", score).drop(*(k for k in df.columns if k.startswith("_")))
+def tier(role_score: Column) -> Column:
+    """struct(name, skill, role, experience, multiplier): how the parts weigh at a role score."""
+    shape = lambda t: F.struct(F.lit(t[0]).alias("name"), *(F.lit(v).alias(k) for k, v in zip(("skill", "role", "experience", "multiplier"), t[2:])))
+    severe, moderate, standard = V.TIERS
+    return F.when(role_score < severe[1], shape(severe)).when(role_score < moderate[1], shape(moderate)).otherwise(shape(standard))
 
 
 def explanation(matching: Column, role: Column, skill: Column, experience: Column) -> Column:

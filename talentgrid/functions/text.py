@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from talentgrid.functions import vocabulary as V
@@ -107,30 +107,28 @@ def query_terms(c: Column) -> Column:
 
 
 def terms_of(query: str) -> list[str]:
-    """``query_terms`` of one text, on the driver."""
-    out = []
-    for raw in re.findall(r"[a-z0-9][a-z0-9+#.\-]*", query.lower()):
-        t = raw.strip(".-")
-        if t and t not in V.STOPWORDS and t not in V.ROLE_WORDS and (len(t) >= 3 or t in V.SHORT_TERMS) and t not in out:
-            out.append(t)
-    return out
+    """``query_terms`` of one text, for plans that need the words while they are built."""
+    return SparkSession.active().range(1).select(query_terms(F.lit(query))).first()[0]
+
+
+#: Endings that a word may lose and what stands there instead (fixed values). Of the endings of a number, and of those of a
+#: verb, the first that fits counts.
+NUMBER_ENDINGS = ((r"(.{3,})ies", r"\1y"), (r"(.{3,}[^s])s", r"\1"))
+VERB_ENDINGS = ((r"(.{4,})ing", r"\1"), (r"(.{4,})ed", r"\1"))
+SILENT_ENDINGS = ((r"(.{5,})e", r"\1"),)
+
+
+def shortened(word: str, endings: tuple[tuple[str, str], ...]) -> list[str]:
+    """The word with the first of these endings that fits replaced, if any does."""
+    fits = [(m, to) for pattern, to in endings if (m := re.fullmatch(pattern, word))]
+    return [m.expand(to) for m, to in fits[:1]]
 
 
 def stems(term: str) -> list[str]:
-    """Beginnings of words that a term also stands for; none is shorter than four characters but the term itself."""
-    found = {term: 1}
-    cut = {"ies": (6, "y"), "s": (5, "")}
-    for end in ("ies", "s"):
-        least, add = cut[end]
-        if term.endswith(end) and len(term) >= least and not (end == "s" and (term.endswith("ss") or term.endswith("ies") and len(term) >= 6)):
-            found[term[: -len(end)] + add] = 1
-            break
-    for end, least in (("ing", 7), ("ed", 6)):
-        if term.endswith(end) and len(term) >= least:
-            found[term[: -len(end)]] = 1
-            break
-    found |= {s[:-1]: 1 for s in list(found) if s.endswith("e") and len(s) >= 6}
-    return [s for s in found if len(s) >= 4 or s == term]
+    """The term and the beginnings of words of four characters or more that it also stands for."""
+    plain = [term, *shortened(term, NUMBER_ENDINGS), *shortened(term, VERB_ENDINGS)]
+    bare = [s for word in plain for s in shortened(word, SILENT_ENDINGS)]
+    return [term, *(s for s in dict.fromkeys(plain[1:] + bare) if len(s) >= 4)]
 
 
 def term_pattern(term: str) -> str:

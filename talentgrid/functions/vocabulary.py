@@ -145,6 +145,11 @@ DEGREE_WORDS = (
     ("none", ("associate", "associates", "ged", "highschool")),
 )
 EDUCATION_LEVELS = ("none", "bachelor", "master", "phd")
+EDUCATION_LABELS = {"none": "no degree", "bachelor": "bachelor's degree", "master": "master's degree", "phd": "PhD"}
+MOST_SKILLS, LONGEST_SKILL, MOST_YEARS = 20, 60, 50
+NEAR_LENGTH = 3
+WEAK_ROLE, WEAK_SKILL, WEAK_FACTOR = 50.0, 60.0, 0.4
+LEAST_SCORE = 20.0
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?<![\w-])(?:\+\d{1,3}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}(?![\w-])"

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from talentgrid.functions import labels as L
 from talentgrid.functions import scoring as S
 from talentgrid.functions import vocabulary as V
+from talentgrid.operators import matching, search, vectors
 from talentgrid.operators import reports as R
-from talentgrid.operators import search, vectors
 
 
 def dashboard(spine: DataFrame, applications: DataFrame, now: datetime) -> dict[str, DataFrame]:
@@ -41,14 +41,9 @@ def candidate_search(candidates: DataFrame, query_vector: Column, query: str, pl
     return search.ranked(banded, "similarity", key, limit)
 
 
-def candidates_for_job(job: DataFrame, candidates: DataFrame, least: float = 20.0, limit: int = 10) -> DataFrame:
-    """The best candidates (id, position, skills) for one job (job_id, title, text, wanted, must), by score; the job is broadcast.
-    A similarity column, where the candidates have one, is the cosine of the titles."""
-    if "similarity" not in candidates.columns:
-        candidates = candidates.withColumn("similarity", F.lit(None).cast("double"))
-    pairs = candidates.join(F.broadcast(job.limit(1)))
-    scored = S.scored(pairs, "title", "text", "wanted", "position", "skills", "similarity", "must")
-    return scored.where(F.col("score.match_score") >= least).orderBy(F.desc("score.match_score"), "id").limit(limit)
+def candidates_for_job(job: DataFrame, candidates: DataFrame, least: float = V.LEAST_SCORE, limit: int = 10) -> DataFrame:
+    """The best candidates for one job, by score."""
+    return matching.best_candidates(job.limit(1), candidates, least, limit).orderBy("rank")
 
 
 def similar_jobs(jobs: DataFrame, job_id: int, limit: int = 5) -> DataFrame:
