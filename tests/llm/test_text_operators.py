@@ -142,9 +142,10 @@ def brute_removed(texts, length=50):
     return out
 
 
-@pytest.mark.parametrize("most", [2000, 1])
-def test_substrings_equal_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(substrings, "MOST_SEGMENTS", most)  # 1 sends every anchor through the shuffle
+@pytest.mark.parametrize("most, slab, bucket", [(2000, 1 << 20, 1 << 20), (1, 500, 100), (3, 1, 1 << 20)])
+def test_substrings_equal_brute_force(spark, monkeypatch, most, slab, bucket):
+    for name, value in (("MOST_SEGMENTS", most), ("SLAB", slab), ("BUCKET", bucket)):  # 1 segment at most: every anchor is cut again
+        monkeypatch.setattr(substrings, name, value)
     texts = corpus(80, seed=9) + ODD
     got = {r[0]: tuple(r[1:]) for r in substrings.removed(docs_of(spark, texts)).collect()}
     assert got == brute_removed(texts)
