@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.llm.common import _BYTE, hashes, lean, mixed, offsets_of, places, slices, words_of
+from talentgrid.llm.common import _BYTE, discard, hashes, lean, mixed, offsets_of, places, slices, stored, words_of
 
 BITS = 16
 SIZES = (3, 4, 5)
@@ -30,6 +30,8 @@ EPOCHS = 6
 RATE = 0.4
 #: About so many labelled rows are learned from (a documented bound of the fit).
 TRAIN_ROWS = 5000
+#: Parts in which the features of these rows come to the driver.
+PARTS = 8
 THRESHOLD = 0.3
 ALWAYS, REPEAT = 0, 1  # buckets of the common feature and of repeated words
 
@@ -117,7 +119,7 @@ def train(features: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarr
         order = dice.permutation(size)
         for k in range(0, size, step):
             rows = order[k : k + step]
-            f = np.concatenate([features[i] for i in rows])
+            f = np.concatenate([features[i] for i in rows]).astype(np.int64)
             s = np.concatenate([shares[i] for i in rows])[:, None].astype(np.float64)
             n = np.array([len(features[i]) for i in rows])
             hidden = np.add.reduceat(vectors[f] * s, np.cumsum(n) - n, axis=0)
@@ -152,18 +154,27 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
                 yield pa.RecordBatch.from_pydict({
                     "key": part.column("key").cast(pa.string()),
                     "label": part.column("label").cast(pa.int32()),
-                    "features": pa.array([f.tobytes() for f, _ in got], pa.binary()),
+                    "features": pa.array([f.astype(np.uint16).tobytes() for f, _ in got], pa.binary()),
                     "shares": pa.array([s.tobytes() for _, s in got], pa.binary()),
                 })
 
-    found = chosen.select("key", "label", "text").mapInArrow(make, "key string, label int, features binary, shares binary").toArrow().sort_by("key")
-    if not found.num_rows:
+    # written once, then brought to the driver part by part, so that only the features themselves are held there
+    made = chosen.select("key", "label", "text").mapInArrow(make, "key string, label int, features binary, shares binary")
+    made = stored(made.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS))), "features")
+    rows = []
+    for k in range(PARTS):
+        part = made.where(F.col("part") == k).drop("part").toArrow()
+        columns = (part.column(c).to_pylist() for c in ("key", "label", "features", "shares"))
+        rows += [(key, label, np.frombuffer(f, np.uint16), np.frombuffer(s, np.float32)) for key, label, f, s in zip(*columns)]
+        del part, columns
+    discard(made)
+    if not rows:
         return Model(np.zeros((1 << BITS, DIMENSIONS)), np.zeros((2, DIMENSIONS)))
-    return train(
-        [np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()],
-        [np.frombuffer(x, np.float32) for x in found.column("shares").to_pylist()],
-        found.column("label").to_numpy().astype(np.int64),
-    )
+    rows.sort(key=lambda r: r[0])
+    model = train([r[2] for r in rows], [r[3] for r in rows], np.array([r[1] for r in rows], np.int64))
+    del rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD, name: str = "score") -> DataFrame:
