@@ -28,15 +28,16 @@ from pyspark.sql import functions as F
 
 from talentgrid.llm.common import slices
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|textarea|select|iframe|object|head|title|button)(?=[\s/>])[^>]*>(?:.*?</(?P=raw)\s*>)?"
-    r"""|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\s+[^\s"'>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?|\s*/(?!>))*+)\s*/?>|<[!?/][^>]*>""",
-    re.S | re.I,
-)
+#: Elements whose content is no text of the page (fixed values); those of the first line hide the rest of the page where they aren't closed.
+RUNS_ON = frozenset("script style".split())
+HIDDEN = RUNS_ON | frozenset("noscript template svg math textarea select iframe object head title button label option optgroup datalist legend".split())
+#: An attribute, as browsers read it: quotes count only after an equals sign, and no white space is needed between two.
+ONE_ATTRIBUTE = r"""[^\s/>][^\s/>=]*(?:\s*=(?:\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?)?"""
+MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[\s/]+|{ONE_ATTRIBUTE})*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements that neither break a block nor make a node (fixed values).
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr acronym picture source".split())
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr acronym picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening element ends (fixed values).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -69,6 +70,23 @@ class Node:
         self.main = None
 
 
+def pieces_of(page: str) -> Iterator[tuple[str, re.Match | None]]:
+    """The page's text and the tag after each piece of it, in order; what hidden elements hold is left out. Linear in the page:
+    an end that isn't found is looked for once."""
+    at, unclosed = 0, set()
+    while m := MARKUP.search(page, at):
+        text, at = page[at : m.start()], m.end()
+        name = (m["name"] or "").lower()
+        if name in HIDDEN and not m["close"] and name not in unclosed:
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            if end or name in RUNS_ON:
+                at = end.end() if end else len(page)
+            else:
+                unclosed.add(name)
+        yield text, m
+    yield page[at:], None
+
+
 def parsed(page: str) -> list[Node]:
     """All nodes of a page in order, the root first; leaves hold the text of one block."""
     root = Node("body", "", None)
@@ -87,20 +105,16 @@ def parsed(page: str) -> list[Node]:
                 nodes.append(leaf)
             pieces, linked, inline = [], 0, 0
 
-    at = 0
-    for m in MARKUP.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for piece, m in pieces_of(page):
+        if piece:
             pieces.append(piece)
-            if link:
-                linked += len(piece)
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            if m["raw"]:
-                pieces.append(" ")
+            linked += len(piece) if link else 0
+        if m is None or m["name"] is None:
+            continue
+        name = m["name"].lower()
+        if name in HIDDEN:
+            pieces.append(" ")
             continue
-        name = name.lower()
         if name in INLINE:
             inline += 1
             if name == "a":
@@ -133,8 +147,6 @@ def parsed(page: str) -> list[Node]:
         stack[-1].children.append(node)
         nodes.append(node)
         stack.append(node)
-    if at < len(page):
-        pieces.append(page[at:])
     flush()
     upto = 0
     for n in nodes:
@@ -286,7 +298,7 @@ def training_page(dice: random.Random) -> tuple[str, list[bool]]:
         if kind == "notice":
             return dice.choice(('<div class="cookie-notice">', '<div id="consent" role="dialog">', '<div class="alert notice">')) + f"<p>{said(6, 50, False)}</p></div>"
         if kind == "form":
-            return f'<form action="/s"><p>{said(2, 20, False)}</p><label>{said(1, 3, False)}</label><input name="q"></form>'
+            return f'<form action="/s"><p>{said(2, 20, False)}</p><label>{words(1, 3)}</label><input name="q"></form>'
         return '<div class="share social">' + links(3) + "</div>"
 
     def content() -> str:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -69,6 +70,25 @@ def test_main_text(spark):
     assert got[1] == (want, len(want)) and got[2] == got[3] == ("", 0) and len(got) == 5
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ('<div class="a"id="b">hello</div>', ["hello"]), ('<p title="x"">tail</p>', ["tail"]), ('<p><a href=foo"bar>l</a> m</p>', ["l m"]), ("<p>a<script>var b = 1;", ["a"]), ("<p>a</p><style>p{}</p>", ["a"]),
+        ("<p>a < b and 1<2</p>", ["a < b and 1<2"]), ("<p>a<!-- b <p>c", ["a"]), ("<p>x<button>go</button>y</p><button>z<p>w", ["x y", "z", "w"]), ("<form><label>Name</label><p>t</p></form>", ["t"]),
+        ("<p data-x='a>b' y>q</p", ["q"]), ("<P CLASS=A/>r<BR/>s</P>", ["r s"]), ("<p>&lt;b&gt; &amp;amp;</p>", ["<b> &amp;"]), ("<p a=\"b c>d</p><p>e</p>", ["d", "e"]), ("<select><option>1</select><p>f", ["f"]), ("</p><?xml a?><!DOCTYPE html>g", ["g"]),
+    ],
+)
+def test_markup_of_any_kind(page, texts):
+    assert [n.text for n in html.parsed(page) if n.text is not None] == texts
+
+
+def test_bad_pages_take_linear_time():
+    for bad in ("<button>", "<svg ", "<!--", "<a b='", "<script", '<p x="', "<option><select>"):
+        began = time.process_time()
+        html.parsed(bad * 40_000)
+        assert time.process_time() - began < 20, bad
+
+
 def test_decoding_is_consistent():
     nodes = html.parsed("<div><p>a b</p><div><p>c d</p></div></div>")
     odds = np.array([-5.0 if n.text is None else 5.0 for n in nodes])
