@@ -690,3 +690,6 @@ def skill_penalties(spark, d):
     p = table(spark, d, "part")
     own = F.when(F.col("p_size") % 2 == 0, "software_engineering").otherwise("data_science")
     return p.select("p_partkey", F.round(S.skill_penalty(F.lit(80.0), F.lit("data_science"), own), 4).alias("score"))
+
+
+from talentgrid import bindings_hiring  # noqa: E402, F401  registers further queries

@@ -151,6 +151,29 @@ NEAR_LENGTH = 3
 WEAK_ROLE, WEAK_SKILL, WEAK_FACTOR = 50.0, 60.0, 0.4
 LEAST_SCORE = 20.0
 
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+PRESENT_WORDS = ("present", "current", "now", "today")
+AI_WORDS = ("ai", "a\\.i\\.", "artificial intelligence", "ml", "machine learning", "deep learning", "nlp", "llm", "genai")
+MOST_POINTS = 5
+OFFER_ROUNDS = ("offer", "offer_accepted")
+CUSTOM_PREFIX = "custom_"
+STAFF_ROLES = ("admin", "hiring_manager", "hiring_team", "interviewer")
+# What each role may do.
+_TEAM = ("candidates.add", "pipeline.move", "feedback.submit", "score.before_feedback", "reports.view", "profile.edit")
+_MANAGER = (*_TEAM, "jobs.write", "users.invite", "templates.manage")
+PERMISSIONS = {
+    "admin": (*_MANAGER, "users.change_role", "records.delete", "audit.view", "candidates.export_data", "departments.manage"),
+    "hiring_manager": _MANAGER, "hiring_team": _TEAM, "interviewer": ("feedback.submit", "profile.edit"), "demo": ("score.before_feedback", "reports.view"),
+}
+INTERVIEW_STATES = ("waiting", "upcoming", "submitted", "skipped")
+_INTERVIEWS = ("technical_written", "technical_interview", "problem_solving", "case_study", "hr_screen")
+STAGE_ALIASES = {
+    "new": ("resume_submitted",), "applied": ("resume_submitted",), "screening": ("hm_review",), "interview": _INTERVIEWS, "interviewing": _INTERVIEWS,
+    "interviews": _INTERVIEWS, "offered": OFFER_ROUNDS,
+}
+RECOMMENDATIONS = {"strong_hire": "Strong hire", "hire": "Hire", "no_hire": "No hire", "strong_no_hire": "Strong no hire"}
+HIRE_SIDE = ("strong_hire", "hire")
+
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?<![\w-])(?:\+\d{1,3}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}(?![\w-])"
 LINK = r"(?i)https?://\S+|\bwww\.\S+|\b(?:linkedin|github)\.com/\S+"

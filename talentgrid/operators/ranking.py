@@ -31,10 +31,15 @@ def merged_years(spans: DataFrame, key: str, today: Column) -> DataFrame:
 
 
 def threads(mails: DataFrame) -> DataFrame:
-    """Messages by thread: first subject, people in order of appearance, the last time, whether all are read; newest first."""
-    key = F.coalesce("thread_id", F.col("id").cast("string"))
-    people = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "id", "sender"))), lambda m: m["sender"]))
-    by = mails.groupBy(key.alias("thread")).agg(F.min_by("subject", F.struct("at", "id")).alias("subject"), people.alias("participants"), F.max("at").alias("last_at"), F.bool_and("is_read").alias("is_read"), F.count("*").alias("messages"))
+    """Messages by thread: first subject, people in order of appearance, the last time, whether all are read; newest first. People are
+    counted once before a thread's are gathered, so a long thread is no long row."""
+    mails = mails.withColumn("thread", F.coalesce("thread_id", F.col("id").cast("string")))
+    first = F.struct("at", "id")
+    by_person = mails.groupBy("thread", "sender").agg(
+        F.min(first).alias("first"), F.min_by("subject", first).alias("subject"), F.max("at").alias("last_at"), F.bool_and("is_read").alias("is_read"), F.count("*").alias("messages")
+    )
+    people = F.transform(F.array_sort(F.collect_list(F.struct("first", "sender"))), lambda m: m["sender"])
+    by = by_person.groupBy("thread").agg(F.min_by("subject", "first").alias("subject"), people.alias("participants"), F.max("last_at").alias("last_at"), F.bool_and("is_read").alias("is_read"), F.sum("messages").alias("messages"))
     return by.orderBy(F.desc("last_at"), "thread")
 
 
@@ -45,10 +50,34 @@ def trimmed_history(turns: DataFrame, key: str, order: str, text: str, most_turn
     return said.withColumn("_n", F.row_number().over(w)).withColumn("_c", F.sum(F.length(text)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("_n") <= most_turns) & (F.col("_c") <= most_chars)).drop("_n", "_c")
 
 
+#: Ranges that a table is cut into for a rank over all of it.
+RANGES = 64
+
+
+def cut_points(df: DataFrame, column: str) -> Column:
+    """An array of at most RANGES - 1 values that cut a column into parts of about equal size."""
+    found = df.agg(F.percentile_approx(column, [k / RANGES for k in range(1, RANGES)], 1000)).first()[0] or []
+    return F.array(*(F.lit(v) for v in sorted(set(found)))).cast(f"array<{dict(df.dtypes)[column]}>")
+
+
 def ranked(df: DataFrame, by: str | None, score: str, key: str) -> DataFrame:
-    """A rank from 1 by falling score within ``by``."""
-    w = Window.partitionBy(by) if by else Window.partitionBy()
-    return df.withColumn("rank", F.row_number().over(w.orderBy(F.desc(score), key)))
+    """A rank from 1 by falling score within ``by``. Without ``by`` the whole table is ranked in ranges: rows are numbered within theirs,
+    and the sizes of the ranges before are added. Scores that many rows share are cut by key."""
+    order = (F.desc(score), F.asc(key))
+    if by:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    scores, keys = cut_points(df, score), cut_points(df, key)
+    tied = F.array_contains(scores, F.col(score))
+    above = F.when(F.col(score).isNull(), RANGES).otherwise(F.size(F.filter(scores, lambda v: v > F.col(score))))
+    placed = df.withColumns({
+        "_range": 2 * above + F.coalesce(tied, F.lit(False)).cast("int"),
+        "_part": F.when(tied, F.size(F.filter(keys, lambda v: v < F.col(key)))).otherwise(0),
+    })
+    sizes = placed.groupBy("_range", "_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)  # over a few thousand rows at most
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_range", "_part").orderBy(*order))
+    return placed.join(F.broadcast(starts), ["_range", "_part"]).withColumn("rank", (F.col("_start") + place).cast("int")).drop("_range", "_part", "_start")
 
 
 def numbered(df: DataFrame, by: str, order: str) -> DataFrame:

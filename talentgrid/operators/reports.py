@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentgrid.functions import labels as L
@@ -36,9 +36,19 @@ def counted(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
-def median_days(condition: Column | None = None) -> Column:
-    days = L.days_between(F.col("started_at"), F.col("completed_at"))
-    return F.round(F.percentile(days if condition is None else F.when(condition, days), 0.5), 2)
+def medians(rows: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
+    """(by, median, n): the exact median of a column and how many values there are. Equal values are counted first; the middle is found by a
+    running sum over them, so no group is held in memory."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
+    group = Window.partitionBy(*by)
+    upto = counts.withColumns({"upto": F.sum("k").over(group.orderBy(value)), "n": F.sum("k").over(group)})
+    first_above = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    middle = (first_above(F.floor((F.col("n") - 1) / 2)) + first_above(F.floor(F.col("n") / 2))) / 2
+    return upto.groupBy(*by).agg(F.round(middle, 2).alias("median"), F.max("n").alias("n"))
+
+
+def lasted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("days", L.days_between(F.col("started_at"), F.col("completed_at")))
 
 
 def funnel(rows: DataFrame, one_job: bool = False) -> DataFrame:
@@ -53,16 +63,22 @@ def funnel(rows: DataFrame, one_job: bool = False) -> DataFrame:
 
 def time_in_stage(rows: DataFrame) -> DataFrame:
     """Exact median days of the rounds that ended after they began."""
-    done = rows.where("stage_kind = 'round' and status in ('passed', 'failed') and completed_at > started_at")
-    return done.groupBy("stage_key").agg(F.min("position").alias("position"), median_days().alias("median_days"), F.count("*").alias("n")).orderBy("position", "stage_key")
+    done = lasted(rows.where("stage_kind = 'round' and status in ('passed', 'failed') and completed_at > started_at"))
+    place = done.groupBy("stage_key").agg(F.min("position").alias("position"))
+    out = medians(done, ("stage_key",), "days").join(place, "stage_key")
+    return out.select("stage_key", "position", F.col("median").alias("median_days"), "n").orderBy("position", "stage_key")
 
 
 def time_to_outcome(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Median days from application to hire and to rejection, with counts; one row without ``by``, even over nothing."""
-    done = rows.withColumns({"started_at": F.col("applied_at"), "completed_at": F.col("outcome_at")}).where("completed_at > started_at and application_status in ('hired', 'rejected')")
-    hired, rejected = F.col("application_status") == "hired", F.col("application_status") == "rejected"
-    cols = [median_days(hired).alias("hire_median"), counted(hired).alias("hires"), median_days(rejected).alias("reject_median"), counted(rejected).alias("rejects")]
-    return done.groupBy(*by).agg(*cols).orderBy(*by) if by else done.agg(*cols)
+    decided = rows.withColumns({"started_at": F.col("applied_at"), "completed_at": F.col("outcome_at")})
+    done = lasted(decided.where("completed_at > started_at and application_status in ('hired', 'rejected')"))
+    of = lambda status, column: F.max(F.when(F.col("application_status") == status, F.col(column)))
+    columns = []
+    for status, name in (("hired", "hire"), ("rejected", "reject")):
+        columns += [of(status, "median").alias(f"{name}_median"), F.coalesce(of(status, "n"), F.lit(0)).alias("hires" if name == "hire" else "rejects")]
+    each = medians(done, (*by, "application_status"), "days")
+    return each.groupBy(*by).agg(*columns).orderBy(*by) if by else each.agg(*columns)
 
 
 def outcomes(rows: DataFrame) -> DataFrame:
@@ -131,9 +147,14 @@ def candidates_at_stage(rows: DataFrame, keys: list[str], now: datetime, limit:
 
 def board(rows: DataFrame, per_stage: int = 10) -> DataFrame:
     """Per enabled round of a job: how many are there and the first of them by entry."""
-    here = F.when((F.col("status") == "in_progress") & (F.col("application_status") == "active"), F.struct("started_at", "application_id"))
-    by = rows.where("stage_kind = 'round' and enabled").groupBy("job_id", "stage_key").agg(F.min("position").alias("position"), F.count(here).alias("n"), F.array_sort(F.collect_list(here)).alias("people"))
-    return by.withColumn("people", F.transform(F.slice("people", 1, per_stage), lambda p: p["application_id"])).orderBy("job_id", "position")
+    here = (F.col("status") == "in_progress") & (F.col("application_status") == "active")
+    rounds = rows.where("stage_kind = 'round' and enabled").withColumn("here", F.coalesce(here, F.lit(False)))
+    place = F.row_number().over(Window.partitionBy("job_id", "stage_key", "here").orderBy(F.asc_nulls_first("started_at"), "application_id"))
+    first = rounds.where("here").withColumn("place", place).where(F.col("place") <= per_stage)
+    people = first.groupBy("job_id", "stage_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "application_id"))), lambda p: p["application_id"]).alias("people"))
+    counts = rounds.groupBy("job_id", "stage_key").agg(F.min("position").alias("position"), counted(F.col("here")).alias("n"))
+    none = F.array().cast(dict(people.dtypes)["people"])
+    return counts.join(people, ["job_id", "stage_key"], "left").withColumn("people", F.coalesce("people", none)).orderBy("job_id", "position")
 
 
 def status_counts(applications: DataFrame) -> DataFrame:
