@@ -81,15 +81,15 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
 
 
 def compared(shingles: list[np.ndarray], sets: list[int]) -> pa.RecordBatch:
-    """(s, part, met) of a slab: how many shingles of each set occur in another one of the slab (s is null), and each
-    shingle once, with a set that has it; met is 0 if no other set of the slab does."""
+    """(s, part, met) of a slab: each shingle once, with a set that has it (met is -1 if no other set of the slab does, else 0), and
+    for each set how many of its shingles another one has (met, with a value of its own in place of s)."""
     owner = np.repeat(np.array(sets, np.int64), [len(s) for s in shingles])
     s, first, back, count = np.unique(np.concatenate(shingles), return_index=True, return_inverse=True, return_counts=True)
     name, met = np.unique(owner[count[back] > 1], return_counts=True)
     return pa.RecordBatch.from_pydict({
-        "s": pa.concat_arrays([pa.nulls(len(name), pa.int64()), pa.array(long_of(s))]),
+        "s": long_of(np.concatenate([mixed(name.view(np.uint64)), s])),
         "part": np.concatenate([name, owner[first]]),
-        "met": np.concatenate([met, (count > 1).astype(np.int64)]),
+        "met": np.concatenate([met, np.where(count > 1, 0, -1)]),
     })
 
 
@@ -120,10 +120,9 @@ def first_shingles(docs: DataFrame, words: int) -> DataFrame:
 def candidates(docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
     """(sid, key, n) of the sets of which enough counted shingles occur in another set. Sets whose half names are alike
     count together, which makes more candidates, never fewer."""
-    slabs = first_shingles(docs, words)
     w = Window.partitionBy("s")
-    single = slabs.where("s is not null").select("part", "met", F.min("part").over(w).alias("first"), F.max("part").over(w).alias("last"))
-    met = slabs.where("s is null").select("part", "met").unionByName(single.where("met = 0 and first < last").select("part", F.lit(1).cast("long").alias("met")))
+    slabs = first_shingles(docs, words).select("part", "met", F.min("part").over(w).alias("first"), F.max("part").over(w).alias("last"))
+    met = slabs.where("met > 0 or met = -1 and first < last").select("part", F.abs("met").alias("met"))
     # a partner holds three quarters as many shingles at least, so this many of the counted ones are in both
     least = F.expr(f"{SLACK} * (({OVER} * n + {UNDER - 1}) div {UNDER}) div 100 + 1")
     return sets.join(met.groupBy("part").agg(F.sum("met").alias("met")), "part").where(F.col("met") >= least).select("sid", "key", "n")
