@@ -111,15 +111,15 @@ def pairs(jobs: DataFrame, candidates: DataFrame) -> DataFrame:
 def best_candidates(jobs: DataFrame, candidates: DataFrame, least: float = V.LEAST_SCORE, limit: int = 10) -> DataFrame:
     """The best candidates of every job by score, at least ``least``, at most ``limit`` a job, with their rank."""
     order = Window.partitionBy("job_id").orderBy(F.desc("match_score"), "id")
-    ranked = scored(pairs(jobs, candidates)).where(F.col("match_score") >= least).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= limit)
+    ranked = scored(pairs(jobs, candidates)).withColumn("rank", F.row_number().over(order))
+    return ranked.where((F.col("rank") <= limit) & (F.col("match_score") >= least))  # after the rank, or the whole score would become the join's condition
 
 
 def best_jobs(candidates: DataFrame, jobs: DataFrame, least: float = V.LEAST_SCORE, limit: int = 10) -> DataFrame:
     """The best jobs of every candidate by score."""
     order = Window.partitionBy("id").orderBy(F.desc("match_score"), "job_id")
-    ranked = scored(pairs(jobs, candidates)).where(F.col("match_score") >= least).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= limit)
+    ranked = scored(pairs(jobs, candidates)).withColumn("rank", F.row_number().over(order))
+    return ranked.where((F.col("rank") <= limit) & (F.col("match_score") >= least))  # after the rank, or the whole score would become the join's condition
 
 
 def trace(jobs: DataFrame, candidates: DataFrame, candidate_id=None, limit: int = 50) -> DataFrame:
