@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of 8-byte ids that may be broadcast (16 MB); above it the same join runs as a shuffle join.
 BROADCAST_ROWS = 2_000_000
 #: Rows of an Arrow batch that goes to a Python worker; texts and sets are long.

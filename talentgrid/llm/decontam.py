@@ -7,10 +7,13 @@ Each hit names an alignment of an item with a text; there the words are compared
 the longest stretch that holds enough equal words decides.
 
 A stretch starts and ends on an equal word, at least ``SHARE`` of its words are equal, and it is as
-long as ``LEAST`` words, or as the item where that is shorter. Items of fewer than ``WIDTH`` words
-are matched whole and exactly. Null and empty texts and items have no words and match nothing.
+long as ``LEAST`` words, or as the item where that is shorter; of equally long ones the first counts.
+Items of fewer than ``WIDTH`` words are matched whole and exactly. Null and empty texts and items have
+no words and match nothing. Ids may be of any type and null: items without an id contaminate, but are
+in no list, and rows of docs that share a key, or have none, are judged together.
 Every text is searched whole; benchmarks are joined in blocks of a fixed number of hashes, so what
-is broadcast doesn't grow with them.
+is broadcast doesn't grow with them. Matching windows are gone through ``PAIRS`` at a time, so that
+repeated words in a text and an item take time but no memory.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from talentgrid.llm.common import WORD_PLACE, mixed, slices, word_hashes
 
@@ -33,6 +37,8 @@ LEAST = 11
 SHARE = 0.75
 #: Hashes of a block of items that are broadcast at once (8 bytes and an item's place each).
 BLOCK = 2_000_000
+#: Pairs of matching windows that are held at once.
+PAIRS = 1 << 20
 
 
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
@@ -48,7 +54,7 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
 class Items:
     """One block of benchmark items: their words and a sorted table of the hashes of their windows."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray]):
+    def __init__(self, ids: list, words: list[np.ndarray]):
         self.ids, self.words = ids, words
         key, item, at = [], [], []
         for k, w in enumerate(words):
@@ -67,19 +73,29 @@ class Items:
         self.may = np.zeros(1 << self.bits, bool)
         self.may[self.keys >> np.uint64(64 - self.bits)] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All (place in h, item, place in item) whose windows hash alike."""
-        where, items, places = [], [], []
+    def lines(self, h: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """All (row, item, place of the item's first word in h) with a window that hashes alike, once each, in order."""
+        found = np.zeros(0, np.int64)
+        most = max(map(len, self.words), default=0)  # an item can begin so many words before the text
+        width = len(h) + most + 1
         for mask in MASKS:
             s = seeds(h, mask)
             p = np.flatnonzero(self.may[s >> np.uint64(64 - self.bits)])
             lo, hi = np.searchsorted(self.keys, s[p], "left"), np.searchsorted(self.keys, s[p], "right")
-            n = hi - lo
-            row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            where.append(np.repeat(p, n))
-            items.append(self.item[row])
-            places.append(self.at[row])
-        return np.concatenate(where), np.concatenate(items), np.concatenate(places)
+            p, lo, n = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            ends = np.cumsum(n)
+            start = 0
+            while start < len(p):
+                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
+                size = n[start:stop]
+                row = np.repeat(lo[start:stop], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                where = np.repeat(p[start:stop], size)
+                text = np.searchsorted(off, where, side="right") - 1
+                new = (text * len(self.words) + self.item[row]) * width + where - self.at[row] + most  # one number for the three
+                found = np.union1d(found, new)
+                start = stop
+        pair, place = np.divmod(found, width)
+        return np.stack([*np.divmod(pair, max(1, len(self.words))), place - most], axis=1)
 
 
 def stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -88,23 +104,20 @@ def stretch(equal: np.ndarray) -> tuple[int, int, int]:
     at = np.flatnonzero(equal)
     if not len(at):
         return 0, 0, 0
-    k = np.arange(len(at))
-    span = at[None, :] - at[:, None] + 1
-    count = k[None, :] - k[:, None] + 1
-    good = (count >= 1) & (count >= SHARE * span)
-    span = np.where(good, span, 0)
-    i, j = np.unravel_index(int(span.argmax()), span.shape)
-    return int(at[i]), int(at[j]) + 1, int(count[i, j])
+    # words i to j hold j - i + 1 equal ones of at[j] - at[i] + 1: enough if value[j] >= value[i] - (1 - SHARE)
+    value = np.arange(len(at)) - SHARE * at
+    best = np.maximum.accumulate(value[::-1])[::-1]  # from here on; falls
+    last = np.searchsorted(-best, -(value - (1 - SHARE)), side="right") - 1
+    i = int((at[last] - at).argmax())
+    j = int(last[i])
+    return int(at[i]), int(at[j]) + 1, j - i + 1
 
 
 def overlaps(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, first word, words of the stretch, equal words) of every text and item that overlap enough."""
+    """(row, place of the item, first word, words of the stretch, equal words) of every text and item that overlap enough."""
     h, off = word_hashes(texts)
-    p, item, at = items.hits(h)
-    row = np.searchsorted(off, p, side="right") - 1
-    lines = np.unique(np.stack([row, item.astype(np.int64), p - at]), axis=1) if len(p) else np.zeros((3, 0), np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for r, k, start in lines.T.tolist():
+    for r, k, start in items.lines(h, off).tolist():
         w = items.words[k]
         a, b = max(start, int(off[r])), min(start + len(w), int(off[r + 1]))
         if a >= b:
@@ -120,7 +133,7 @@ def overlaps(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, int, int
                     if (k := items.short.get(w[a : a + n].tobytes())) is not None:
                         best.setdefault((r, k), (a, n, n))
     for (r, k), (a, size, n) in sorted(best.items()):
-        yield r, items.ids[k], a, size, n
+        yield r, k, a, size, n
 
 
 def blocks(benchmark: DataFrame, text: str, item: str) -> Iterator[Items]:
@@ -139,32 +152,35 @@ def blocks(benchmark: DataFrame, text: str, item: str) -> Iterator[Items]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, first_word, n_words, n_equal): the longest overlap of each text and item that overlap enough."""
-    session, kinds = docs.sparkSession, dict(docs.dtypes)
+    session, kinds, item_kind = docs.sparkSession, dict(docs.dtypes), dict(benchmark.dtypes)[item]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    item_type = benchmark.schema[item].dataType
     out = None
     for block in blocks(benchmark, item_text, item):
         shared = session.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
+            ids = pa.array(own.ids, to_arrow_type(item_type))
             for batch in batches:
                 for part in slices(batch, "text"):
                     found = list(overlaps(own, part.column("text")))
                     r, k, a, size, n = (np.array(x, np.int64) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 5
-                    yield pa.RecordBatch.from_pydict({"key": part.column("key").take(pa.array(r)), "item": pa.array(k), "first_word": pa.array(a), "n_words": pa.array(size), "n_equal": pa.array(n)})
+                    yield pa.RecordBatch.from_pydict({"key": part.column("key").take(pa.array(r)), "item": ids.take(pa.array(k)), "first_word": pa.array(a), "n_words": pa.array(size), "n_equal": pa.array(n)})
 
-        found = rows.mapInArrow(run, f"key {kinds[key]}, item long, first_word long, n_words long, n_equal long")
+        found = rows.mapInArrow(run, f"key {kinds[key]}, item {item_kind}, first_word long, n_words long, n_equal long")
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("key").alias(key), F.col("item").alias(item), "first_word", "n_words", "n_equal")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of docs: key, contaminated, n_items, items (ids in order), longest (words of the longest overlap)."""
-    found = leaks(docs, benchmark, text, key).groupBy(key).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("n_words").alias("longest"))
-    return docs.select(key).join(found, key, "left").select(
+    item_kind = dict(benchmark.dtypes)["item_id"]
+    found = leaks(docs, benchmark, text, key).groupBy(F.col(key).alias("found")).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("n_words").alias("longest"))
+    return docs.select(key).join(found, F.col(key).eqNullSafe(F.col("found")), "left").select(
         key,
         F.col("items").isNotNull().alias("contaminated"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<long>")).alias("items"),
+        F.coalesce("items", F.array().cast(f"array<{item_kind}>")).alias("items"),
         F.coalesce("longest", F.lit(0)).cast("long").alias("longest"),
     )

@@ -47,7 +47,7 @@ SHRUNK = 0.75
 #: Distances are floating-point numbers; windows are wider by this much.
 EDGE = 1e-9
 #: Counted shingles that a task compares with each other before they are shuffled.
-SLAB = 1 << 20
+SLAB = 1 << 18
 
 
 def set_name(s: np.ndarray) -> bytes:

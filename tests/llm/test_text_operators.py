@@ -172,6 +172,26 @@ def test_decontamination(spark):
     assert got == {0: (False, []), 1: (True, [0]), 2: (True, [0]), 3: (False, []), 4: (True, [1]), 5: (True, [2]), 6: (False, []), 7: (False, [])}
 
 
+def test_decontamination_of_odd_rows(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    rows = [(None, f"x {item} y", 1), (None, "plain words only", 1), (3, "plain words", 1), (4, "same " * 900, 1), (5, item + " " + item, 1), (5, item, 1), (6, f"a b c d e {item}", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([("p", "same " * 700, "t"), (None, "a b c d e", "t"), ("q", item, "t"), ("q", item, "t"), ("e", "", None), ("n", None, None)], "item_id string, text string, doc_id string")
+    got = sorted((tuple(r) for r in decontam.contaminated(docs, bench).collect()), key=str)
+    assert got == sorted([(None, True, 1, ["q"], 20)] * 2 + [(3, False, 0, [], 0), (4, True, 1, ["p"], 700)] + [(5, True, 1, ["q"], 20)] * 2 + [(6, True, 1, ["q"], 20)], key=str)
+
+
+def test_stretches():
+    dice = np.random.default_rng(3)
+    for _ in range(500):
+        equal = dice.random(dice.integers(0, 40)) < dice.choice([0.3, 0.6, 0.8])
+        at = np.flatnonzero(equal).tolist()
+        every = [(b - a + 1, -a, y - x + 1) for x, a in enumerate(at) for y, b in enumerate(at) if y >= x and y - x + 1 >= decontam.SHARE * (b - a + 1)]
+        size, a, n = max(every, default=(0, 0, 0))
+        assert decontam.stretch(equal) == (-a, -a + size, n)
+    assert decontam.stretch(np.ones(200_000, bool)) == (0, 200_000, 200_000)
+
+
 def test_masks_hit_every_stretch():
     masks = [(len(m), int(m, 2)) for m in decontam.MASKS]
     for n in range(decontam.WIDTH, 17):  # items shorter than LEAST are matched over their whole length
