@@ -56,7 +56,8 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: The stages train models and search substitution-tolerant overlaps, which SQL can't express; tests compare them with brute force.
+#: The stages train models and search substitution-tolerant overlaps, which SQL can't express; tests/llm/test_pipeline.py compares every
+#: stage with a plain version.
 ORACLE_SQL = None
 
 

@@ -11,7 +11,8 @@ A search passes on the trees of its links, not all pairs; their union gives the
 are then counted, and verified, among the nodes of a component, block by block.
 
 Vectors that are null or zero or hold null or non-finite numbers, and vectors with a null label, link
-with nothing; so do vectors of different lengths. Repeated rows count as copies of each other.
+with nothing; so do vectors of different lengths. Repeated rows count as copies of each other. Labels
+may be of any type that has a text form; keys are numbers, or text that reads as one.
 """
 
 from __future__ import annotations
@@ -235,7 +236,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(i, r) for i in up if (r := root(i)) != i]
 
 
-PACK = "label int, dim int, part long, ids binary, vectors binary"
+PACK = "label string, dim int, part long, ids binary, vectors binary"
 
 
 def packed(keys: tuple, batch: pa.Table) -> pa.Table:
@@ -244,7 +245,7 @@ def packed(keys: tuple, batch: pa.Table) -> pa.Table:
     order = np.argsort((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), kind="stable")
     raw = batch.column("vector").to_pylist()
     return pa.table({
-        "label": pa.array([keys[0].as_py()], pa.int32()), "dim": pa.array([keys[1].as_py()], pa.int32()), "part": pa.array([keys[2].as_py()], pa.int64()),
+        "label": pa.array([keys[0].as_py()], pa.string()), "dim": pa.array([keys[1].as_py()], pa.int32()), "part": pa.array([keys[2].as_py()], pa.int64()),
         "ids": pa.array([ids[order].tobytes()], pa.binary()), "vectors": pa.array([b"".join(raw[i] for i in order.tolist())], pa.binary()),
     })
 
@@ -266,8 +267,8 @@ def classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
                 out.append((len(x) if good else None, (x + 0.0).tobytes() if good else None))  # both zeros are one number
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["key", "label", "dim", "vector"])
 
-    rows = vectors.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(vector).alias("v"))
-    rows = stored(rows.mapInArrow(read, "key long, label int, dim int, vector binary").withColumn("same", F.sha2("vector", 256)), "vectors")
+    rows = vectors.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
+    rows = stored(rows.mapInArrow(read, "key long, label string, dim int, vector binary").withColumn("same", F.sha2("vector", 256)), "vectors")
     nodes = rows.where("dim is not null and label is not null").groupBy("label", "dim", "same").agg(F.min("key").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     nodes = stored(nodes.join(sizes, ["label", "dim"]), "nodes")
@@ -312,20 +313,22 @@ def classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
         packs = stored(member.groupBy("component_id", "part").applyInArrow(pack, "component_id long, part long, dim int, parts long, ids binary, copies binary, vectors binary"), "blocks")
         other = packs.select("component_id", F.col("part").alias("other"), F.col("copies").alias("o_copies"), F.col("vectors").alias("o_vectors"))
         product = packs.select("component_id", "part", "dim", "ids", "copies", "vectors", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")).join(other, ["component_id", "other"])
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for dim, ids, copies, vs, o_copies, o_vs, own in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "copies", "vectors", "o_copies", "o_vectors", "own"))):
+                    near = units(vs, dim) @ units(o_vs, dim).T >= cosine
+                    if own:
+                        np.fill_diagonal(near, True)
+                    n = near @ np.frombuffer(o_copies, np.int64) - (1 if own else 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(n.astype(np.int64))], ["node", "n_links"])
+
+        told = product.withColumn("own", F.col("part") == F.col("other")).select("dim", "ids", "copies", "vectors", "o_copies", "o_vectors", "own").mapInArrow(count, "node long, n_links long")
+        counted = stored(told.groupBy("node").agg(F.sum("n_links").alias("n_links")), "counts")  # while a batch holds one row
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for dim, ids, copies, vs, o_copies, o_vs, own in zip(*(batch.column(c).to_pylist() for c in ("dim", "ids", "copies", "vectors", "o_copies", "o_vectors", "own"))):
-                near = units(vs, dim) @ units(o_vs, dim).T >= cosine
-                if own:
-                    np.fill_diagonal(near, True)
-                n = near @ np.frombuffer(o_copies, np.int64) - (1 if own else 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(n.astype(np.int64))], ["node", "n_links"])
-
-    counted = product.withColumn("own", F.col("part") == F.col("other")).select("dim", "ids", "copies", "vectors", "o_copies", "o_vectors", "own").mapInArrow(count, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
     of_node = nodes.select("label", "dim", "same", "node", "copies").join(counted, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
     out = rows.select("key", "label", "dim", "same").join(of_node, ["label", "dim", "same"], "left")
     component = F.coalesce("component_id", "node", "key")
