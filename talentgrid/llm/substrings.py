@@ -249,7 +249,9 @@ def shared_anchors(texts: DataFrame, n_bytes: int) -> DataFrame:
     slabs = stored(texts.select("tid", "text").mapInArrow(run, "bucket long, h binary, tid binary, told binary"), "slabs")
     here = slabs.where("bucket < 0").select("h", "tid").mapInArrow(known, "h long, tid long")
     across = slabs.where("bucket >= 0").groupBy("bucket").applyInArrow(of_several, "h long, tid long")
-    return here.unionByName(across)
+    found = stored(here.unionByName(across), "anchors")
+    discard(slabs)
+    return found
 
 
 def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +399,7 @@ def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     firsts = stored(rows.where(F.col("n") >= LENGTH).groupBy("tid", "sha").agg(F.min("doc").alias("doc")), "firsts")
 
     # 1. anchors of more than one text
-    shared = stored(shared_anchors(named, total), "anchors")
+    shared = shared_anchors(named, total)
     release(spark)
 
     # 2. segments around them
@@ -412,10 +414,12 @@ def removed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     best = stored(smallest(distinct), "matches")
     alone = distinct.select("h", "seg", F.col("doc").alias("first_doc"))
     found = stored(occurrences.select("h", "seg", "doc", "tid", "at", "n").join(alone, ["h", "seg"]).join(best, ["h", "seg"], "left").where("best is not null or first_doc < doc").drop("h", "seg"), "found")
+    discard(occurrences, distinct, best)
+    release(spark)
     whole = found.where("best is null").select("tid", "doc", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + LENGTH).alias("end"))
     spans = whole.unionByName(found.where("best is not null").select("tid", "doc", "at", "best").mapInArrow(runs, "tid long, doc long, start long, end long"))
     spans = stored(spans.groupBy("tid", "doc").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select("tid", "doc", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends")), "spans")
-    discard(occurrences, distinct, found)
+    discard(found)
     release(spark)
 
     # what is left of each text
