@@ -1,6 +1,6 @@
 """Phrase collocations: suffix automata per shard count phrases, the counts are summed over all shards.
 
-A shard is some million words of a task's texts. Its automaton has the phrases of at most ``depth`` words; a state is a
+A shard is some hundred thousand words of a task's texts. Its automaton has the phrases of at most ``depth`` words; a state is a
 class of phrases that end at the same places, a state's link leads to the class of its longest phrase's longest ending
 that has more places. It is built level by level for all places at once: places whose last k words agree are one node,
 and a node that has as many places as the one it grew from is the same state.
@@ -33,7 +33,7 @@ LEAST, TOP, LONGEST = 100, 2000, 5
 #: Depths of the automata, round by round.
 ROUNDS = (2, 3, 5)
 #: Words of a shard, and bytes of text that are cut into words at once.
-SHARD_WORDS, TEXT_BYTES = 1 << 21, 4 << 20
+SHARD_WORDS, TEXT_BYTES = 1 << 18, 2 << 20
 #: Bits of the filter of frequent phrases, at most (8 MB), and bits for each phrase below that.
 FILTER_BITS, BITS_EACH = 26, 32
 NO_LANG = "und"

@@ -145,7 +145,7 @@ def phrase_rows():
     return rows
 
 
-@pytest.mark.parametrize("shard, top", [(1 << 21, 2000), (50, 7)])
+@pytest.mark.parametrize("shard, top", [(1 << 18, 2000), (50, 7)])
 def test_collocations(spark, monkeypatch, shard, top):
     monkeypatch.setattr(phrases, "SHARD_WORDS", shard)
     monkeypatch.setattr(phrases, "TEXT_BYTES", 3000)
