@@ -5,7 +5,7 @@ class of phrases that end at the same places, a state's link leads to the class
 that has more places. It is built level by level for all places at once: places whose last k words agree are one node,
 and a node that has as many places as the one it grew from is the same state.
 
-Every phrase of a frequent phrase is frequent. So the automata grow in rounds (words, then depths 2 and 5), and in each round only
+Every phrase of a frequent phrase is frequent. So the automata grow in rounds (words, then depths 2, 3 and 5), and in each round only
 runs of words are read whose phrases of the round before can be frequent. This is asked of a filter of bounded size
 that knows every frequent phrase and some others by accident: it saves work and never decides a result.
 
@@ -31,7 +31,7 @@ from talentgrid.llm.common import BROADCAST_ROWS, discard, hashes, long_of, mixe
 
 LEAST, TOP, LONGEST = 100, 2000, 5
 #: Depths of the automata, round by round.
-ROUNDS = (2, 5)
+ROUNDS = (2, 3, 5)
 #: Words of a shard, and bytes of text that are cut into words at once.
 SHARD_WORDS, TEXT_BYTES = 1 << 18, 2 << 20
 #: Bits of the filter of frequent phrases, at most (8 MB), and bits for each phrase below that.
