@@ -178,3 +178,65 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?<![\w-])(?:\+\d{1,3}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}(?![\w-])"
 LINK = r"(?i)https?://\S+|\bwww\.\S+|\b(?:linkedin|github)\.com/\S+"
 EMAIL_GONE, PHONE_GONE, LINK_GONE, NAME_GONE = "[email removed]", "[phone removed]", "[link removed]", "the candidate"
+
+
+# ---------------------------------------------------------------- market skills (fixed values)
+#: One name for skills that have several.
+SKILL_NAMES = {
+    "machine learning": "ml", "deep learning": "dl", "rest apis": "rest api", "rest-api": "rest api", "rest": "rest api", "restful api": "rest api",
+    "restful apis": "rest api", "ci cd": "ci/cd", "springboot": "spring boot", "js": "javascript", "node js": "node.js", "react js": "react",
+    "postgresql": "sql", "postgres": "sql", "my sql": "mysql", "mysql": "sql", "artificial intelligence": "ai", "neural networks": "neural network",
+    "natural language processing": "nlp", "computer vision": "cv", "scikit-learn": "scikit learn", "github": "git", "gitlab": "git", "k8s": "kubernetes",
+    "amazon web services": "aws", "google cloud": "gcp", "google cloud platform": "gcp",
+}
+#: What separates skills within one listed phrase.
+SKILL_BREAKS = r",|/|\\|\||;|\b(?:and|with|using|such as|on|including|for|to|experience with|proficient in|hands[- ]on with)\b"
+#: Other words in a text that show a skill.
+SKILLS_IN_TEXT = {
+    "ai": r"\b(?:ai|artificial intelligence|machine learning|deep learning|neural networks?)\b",
+    "ml": r"\b(?:ml|machine learning|deep learning|neural networks?)\b",
+    "python": r"\b(?:python|py)\b",
+    "tensorflow": r"\b(?:tensorflow|tf)\b",
+    "pytorch": r"\b(?:pytorch|torch)\b",
+    "pandas": r"\b(?:pandas|pd)\b",
+    "numpy": r"\b(?:numpy|np)\b",
+    "git": r"\b(?:git|github|gitlab)\b",
+    "docker": r"\b(?:docker|container)\b",
+    "kubernetes": r"\b(?:kubernetes|k8s)\b",
+    "aws": r"\b(?:aws|amazon web services)\b",
+    "azure": r"\b(?:azure|microsoft cloud)\b",
+    "gcp": r"\b(?:gcp|google cloud|google cloud platform)\b",
+}
+#: Other skills that imply a skill.
+SKILL_ALIASES = {
+    "git": r"github|gitlab|bitbucket",
+    "rest api": r"\brest\s*ful\b|\brest\b.*\bapi|\bapis\b",
+    "ci/cd": r"\bci[\s\-/_]?cd\b",
+    "postgres": r"postgresql|^postgres sql$",
+    "sql": r"\bms\s*sql\s*server\b|\bmssql\b|\bsql\s*server\b|\bmysql\b",
+    "kubernetes": r"\bk8s\b",
+    "ai": r"^artificial intelligence$|machine learning|deep learning",
+    "ml": r"^machine learning$|deep learning",
+    "python": r"^py$|python",
+    "tensorflow": r"^tf$|tensorflow",
+    "pytorch": r"^torch$|pytorch",
+}
+CORE_AI_SKILLS = ("ai", "ml", "python", "tensorflow", "pytorch", "pandas", "numpy", "git", "aws", "azure", "gcp")
+#: Skills of a role by words of its title; the last row is for all others.
+ROLE_SKILLS = (
+    (("gen ai", "ai engineer", "machine learning engineer"), (
+        "python", "machine learning", "deep learning", "neural networks", "tensorflow", "pytorch", "scikit-learn", "pandas", "numpy", "matplotlib", "seaborn", "jupyter", "git", "github",
+        "docker", "kubernetes", "aws", "azure", "gcp", "sql", "rest api", "ci/cd", "agile", "data analysis", "data cleaning", "data visualization", "nlp", "computer vision",
+        "mlops", "model deployment", "api development", "cloud computing", "statistics", "linear algebra", "calculus", "probability", "optimization", "algorithms")),
+    (("software engineer", "developer"), (
+        "python", "java", "javascript", "typescript", "react", "angular", "vue", "node.js", "git", "github", "docker", "kubernetes", "aws", "azure", "gcp", "sql", "rest api",
+        "ci/cd", "agile", "microservices", "api development", "cloud computing", "linux", "html", "css", "bootstrap", "tailwind", "express", "spring", "django", "flask",
+        "postgresql", "mysql", "mongodb", "redis", "elasticsearch", "kafka", "rabbitmq")),
+    (("data scientist", "data analyst"), (
+        "python", "r", "sql", "pandas", "numpy", "matplotlib", "seaborn", "jupyter", "scikit-learn", "tensorflow", "pytorch", "statistics", "machine learning",
+        "data analysis", "data cleaning", "data visualization", "git", "github", "aws", "azure", "gcp", "tableau", "power bi", "excel", "spark", "hadoop",
+        "probability", "linear algebra", "calculus", "optimization", "ab testing")),
+    ((), (
+        "python", "java", "javascript", "git", "sql", "aws", "azure", "gcp", "docker", "kubernetes", "rest api", "ci/cd", "agile", "cloud computing", "linux",
+        "html", "css", "react", "node.js", "postgresql", "mysql", "mongodb")),
+)
