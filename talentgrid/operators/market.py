@@ -103,7 +103,7 @@ def flexible(skill: Column) -> Column:
 def parts_of(skills: Column) -> Column:
     """The pieces of listed skills between separators and joining words."""
     pieces = F.flatten(F.transform(skills, lambda s: F.split(canonical(s), V.SKILL_BREAKS)))
-    return F.array_distinct(F.filter(F.transform(pieces, F.trim), lambda p: p != ""))
+    return F.array_distinct(F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != ""))
 
 
 def market_list(skills: Column, most: int = MARKET) -> Column:
