@@ -5,9 +5,12 @@ A document becomes a resume by one sentence a line and by headings in place of s
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from talentgrid.bindings import QUERIES, query  # noqa: F401  the tests take the queries from here
+from talentgrid.functions import cleaning as C
 from talentgrid.functions import sections as S
 from talentgrid.sources import pages as P
 from talentgrid.sources.tables import table
@@ -56,3 +59,45 @@ def document_blocks(spark, d):
 def page_sections(spark, d):
     texts = P.page_texts(table(spark, d, "pages"))
     return S.section_rows(texts, "page_id", S.sections(F.col("text"))).where("section <> 'full_text'")
+
+
+# ---------------------------------------------------------------- deep cleaning
+#: What takes the place of common words, so that every step finds work.
+SPOILED = (
+    (" the ", " 39.9Minrevenueimpactthroughstrategichires "), (" and ", " teamLead12Reduced Talentacquisition,ledABCcorp "), (" of ", " generating3.5Mrevenue $4 M GoogleIncfullcycle "),
+    (" le ", "executedenterprise Developandexecuteenterprise\t spendfromapproximately "), (" die ", " machinelearning 2019Present20182020 • endtoend "),
+    (" el ", " jo . doe @ example . com www . house . org xskillsy  "), (". ", "."), (", ", ",Realtime "),
+)
+
+
+def spoiled(spark, d):
+    text = F.col("text")
+    for a, b in SPOILED:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return table(spark, d, "documents").select("doc_id", text.alias("text"))
+
+
+def _clean_sql() -> str:
+    text = "text"
+    for a, b in SPOILED:
+        text = f"replace({text}, '{a}', '{b}')"
+    steps = [f"s0 AS (SELECT doc_id, {text} AS original, {text} AS x FROM documents)"]
+    for i, (_, rules, words) in enumerate(C.STEPS, 1):
+        x = "x"
+        for pattern, replacement in [*rules, *((rf"(?i)\b{a}\b", b) for a, b in sorted((words or {}).items(), key=lambda w: -len(w[0])))]:
+            put = re.sub(r"\$(\d)", r"\\\1", replacement.replace(r"\$", "\0")).replace("\0", "$")
+            x = f"regexp_replace({x}, '{pattern}', '{put}', 'g')" if put != "\n" and put != "\n\n" else f"regexp_replace({x}, '{pattern}', repeat(chr(10), {len(put)}), 'g')"
+        steps.append(f"s{i} AS (SELECT doc_id, original, {x} AS x FROM s{i - 1})")
+    return ", ".join(steps)
+
+
+@query("clean_deep", f"WITH {_clean_sql()} SELECT doc_id, x AS cleaned, length(original) - length(x) AS char_reduction FROM s{len(C.STEPS)}")
+def clean_deep(spark, d):
+    found = C.cleaned(spoiled(spark, d))
+    return found.select("doc_id", "cleaned", C.quality(F.col("original"), F.col("cleaned"))["char_reduction"].cast("long").alias("char_reduction"))
+
+
+@query("clean_report")
+def clean_report(spark, d):
+    """Changes of every step and the measures of success for each document."""
+    return C.cleaned(spoiled(spark, d)).select("doc_id", "changes.*", C.quality(F.col("original"), F.col("cleaned")).alias("q")).select("*", "q.*").drop("q")
