@@ -27,11 +27,14 @@ BATCH_ROWS = 1000
 
 # ---------------------------------------------------------------- scratch tables
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares; a temporary one where none is configured."""
+    """A fresh path in the folder that spark.checkpoint.dir names. Where it is unset, Spark on one machine gets a temporary folder;
+    a cluster can't share one, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="talentgrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -12,7 +12,10 @@ are then counted, and verified, among the nodes of a component, block by block.
 
 Vectors that are null or zero or hold null or non-finite numbers, and vectors with a null label, link
 with nothing; so do vectors of different lengths. Repeated rows count as copies of each other. Labels
-may be of any type that has a text form; keys are numbers, or text that reads as one.
+may be of any type that has a text form; keys are whole numbers of any type, or text that reads as
+one, and come out as long. Rows that share a key but not the vector have their own links each, and
+a component is named by the smallest key in it. A row without a key (null, or text that is no
+number) has no links, no component, and is not kept.
 """
 
 from __future__ import annotations
@@ -267,11 +270,11 @@ def classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
                 out.append((len(x) if good else None, (x + 0.0).tobytes() if good else None))  # both zeros are one number
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["key", "label", "dim", "vector"])
 
-    rows = vectors.select(F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
+    rows = vectors.select(F.col(key).try_cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(vector).alias("v"))
     rows = stored(rows.mapInArrow(read, "key long, label string, dim int, vector binary").withColumn("same", F.sha2("vector", 256)), "vectors")
-    nodes = rows.where("dim is not null and label is not null").groupBy("label", "dim", "same").agg(F.min("key").alias("node"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    nodes = rows.where("key is not null and dim is not null and label is not null").groupBy("label", "dim", "same").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    nodes = stored(nodes.join(sizes, ["label", "dim"]), "nodes")
+    nodes = stored(nodes.join(sizes, ["label", "dim"]).withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers hold once they are written
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,12 +332,14 @@ def classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
         for k, v in before.items():
             spark.conf.set(k, v)
 
-    of_node = nodes.select("label", "dim", "same", "node", "copies").join(counted, "node", "left").join(joined.withColumnRenamed("id", "node"), "node", "left")
+    named = nodes.join(joined, F.col("node") == F.col("id")).groupBy("component_id").agg(F.min("least").alias("smallest"))
+    joined = joined.join(named, "component_id").select(F.col("id").alias("node"), "smallest")
+    of_node = nodes.select("label", "dim", "same", "node", "least", "copies").join(counted, "node", "left").join(joined, "node", "left")
     out = rows.select("key", "label", "dim", "same").join(of_node, ["label", "dim", "same"], "left")
-    component = F.coalesce("component_id", "node", "key")
+    component = F.when(F.col("key").isNotNull(), F.coalesce("smallest", "least", "key"))
     return out.select(
         F.col("key").alias(key),
-        F.coalesce("n_links", F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("key").isNotNull(), F.coalesce("n_links", F.col("copies") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(component == F.col("key"), F.lit(False)).alias("kept"),
     )

@@ -48,6 +48,23 @@ def test_near_duplicates(spark, monkeypatch, shard):
     assert neardup.classes(df.limit(0)).count() == 0
 
 
+def test_keys_of_vectors(spark):
+    dice = np.random.default_rng(9)
+    a, b, c = (dice.normal(size=8).tolist() for _ in range(3))
+    near = [x + 1e-3 for x in a]
+    rows = [(5, a, 1), (3, near, 1), (None, a, 1), (None, c, 1), (7, b, 1), (7, a, 1), (7, b, 1), (2, c, 1)]
+    # by row: 5, 3 and one of the 7s link; the other 7s are copies; rows without a key link with nothing
+    want = sorted([(5, 2, 3, False), (3, 2, 3, True), (7, 2, 3, False), (7, 1, 7, True), (7, 1, 7, True), (2, 0, 2, True), (None, 0, None, False), (None, 0, None, False)], key=str)
+    for kind in ("long", "int", "string"):
+        own = [(None if i is None else str(i) if kind == "string" else i, v, g) for i, v, g in rows]
+        got = neardup.classes(spark.createDataFrame(own, f"vec_id {kind}, embedding array<double>, label int"))
+        assert dict(got.dtypes)["vec_id"] == "bigint" and sorted((tuple(r) for r in got.collect()), key=str) == want
+    only = neardup.classes(spark.createDataFrame([(None, a, 1), (None, a, 1)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {tuple(r) for r in only} == {(None, 0, None, False)}
+    odd = neardup.classes(spark.createDataFrame([("x1", a, "l"), ("4", a, "l")], "vec_id string, embedding array<double>, label string")).collect()
+    assert sorted((tuple(r) for r in odd), key=str) == [(4, 0, 4, True), (None, 0, None, False)]
+
+
 def test_graph_recall():
     x = np.random.default_rng(0).normal(size=(3000, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -121,3 +121,16 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_folder():
+    from talentgrid.llm.common import scratch
+
+    def session(master, found=None):
+        settings = type("Settings", (), {"get": lambda self, *_: found})()
+        return type("Session", (), {"conf": settings, "sparkContext": type("Context", (), {"master": master})})
+
+    assert scratch(session("yarn", "hdfs://x/"), "n").startswith("hdfs://x/n-") and scratch(session("local[2]"), "n").startswith("file://")
+    for master in ("yarn", "local-cluster[3,2,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            scratch(session(master), "n")
