@@ -4,7 +4,8 @@ Vectors link if their labels are equal and not null and their cosine, in double
 least ``COSINE``. Equal vectors are one node. The nodes of a label are dealt into shards of bounded
 size by hash; a graph is built for each shard and every block of a label's nodes queries every shard
 of the label. In each of these searches a fixed part of the block is compared with the whole shard;
-while the graph misses too many of the nearest links so found, the beam is doubled and the block is
+while the graph misses too many of the nearest links so found, or of the nearest nodes whatever their
+cosine (so that a search without links has evidence too), the beam is doubled and the block is
 searched again. A query whose beam holds nothing but links has its beam widened in any case, and if
 that is full too, its links come from a block product with the shard.
 A search passes on the trees of its links, not all pairs; their union gives the components. Links
@@ -38,6 +39,7 @@ LINKS = 16  # of a node in each layer; twice as many in the lowest
 BUILD_BEAM, QUERY_BEAM = 48, 64
 AUDIT = 64  # queries of each search that are compared with the whole shard
 RECALL = 0.999
+NEAREST, NAVIGABLE = 4, 0.97  # nodes of an audited query that count whatever their cosine, and the share that a search has to find
 STEP = 512  # queries that move together
 WIDER = 3  # nodes that a query expands at once
 
@@ -185,6 +187,7 @@ def links_of(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float) -> tuple
     some = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(np.int64))
     sure = q[some] @ x.T
     order = np.argsort(-sure, 1, kind="stable")[:, : QUERY_BEAM // 2]  # the nearest, which any beam should hold
+    close = [set(o[:NEAREST].tolist()) for o in order]
     sure = [set(o[v >= cosine].tolist()) for o, v in zip(order, np.take_along_axis(sure, order, 1))]
     want = sum(map(len, sure))
     beam = QUERY_BEAM
@@ -196,10 +199,12 @@ def links_of(graph: Graph, x: np.ndarray, q: np.ndarray, cosine: float) -> tuple
         sim = np.concatenate([np.einsum("kd,kd->k", q[a[s : s + 65536]], x[b[s : s + 65536]]) for s in range(0, len(a), 65536)]) if len(a) else np.zeros(0)
         a, b = a[sim >= cosine], b[sim >= cosine]
         found = sum(len(own.intersection(b[a == i].tolist())) for i, own in zip(some.tolist(), sure))
-        if beam >= len(x) or (found >= RECALL * want and not len(full)):
+        seen = sum(len(own.intersection(node[i].tolist())) for i, own in zip(some.tolist(), close))
+        passed = found >= RECALL * want and seen >= NAVIGABLE * sum(map(len, close))
+        if beam >= len(x) or (passed and not len(full)):
             return a, b, beam
         beam = min(2 * beam, len(x))
-        if len(full) and found >= RECALL * want:  # only the queries whose beam was full go on
+        if len(full) and passed:  # only the queries whose beam was full go on
             rest_a, rest_b, used = links_of_rest(graph, x, q[full], cosine, beam)
             keep = ~np.isin(a, full)
             return np.concatenate([a[keep], full[rest_a]]), np.concatenate([b[keep], rest_b]), used

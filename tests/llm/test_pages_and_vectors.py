@@ -73,6 +73,30 @@ def test_graph_recall():
     assert np.mean([len(set(node[i, :10]) & set(best[i])) / 10 for i in range(200)]) >= 0.9
 
 
+def test_sparse_links_across_shards(spark, monkeypatch):
+    """Few links, most of them between shards: audits of such searches rest on the nearest nodes, and every link is found."""
+    monkeypatch.setattr(neardup, "SHARD", 700)
+    monkeypatch.setattr(neardup, "BLOCK", 300)
+    dice = np.random.default_rng(11)
+    x = dice.normal(size=(2600, 32))
+    x[2500:] = x[dice.choice(2500, 100, replace=False)] + dice.normal(size=(100, 32)) * 0.08
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.98).sum(1) - 1
+    assert 150 <= (links > 0).sum() <= 200 and [got[i][0] for i in range(len(x))] == links.tolist()
+
+
+def test_audit_widens_a_beam(monkeypatch):
+    x = np.random.default_rng(2).normal(size=(4000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, q = neardup.Graph(x), np.random.default_rng(3).normal(size=(100, 48))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    monkeypatch.setattr(neardup, "QUERY_BEAM", 8)
+    a, _, beam = neardup.links_of(graph, x, q, 0.98)
+    assert beam > 8 and not len(a)  # nothing links, and still the first beam was too narrow
+
+
 PAGE = (
     '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">About us</a></li></ul></nav>'
     '<div class="ad">Buy this now, it is cheap.</div><article><h1>A long headline of the page</h1><p><b>First text &amp; more,\n with a break.<br><p>Second text that goes on for a while, and on.</p></article>'
