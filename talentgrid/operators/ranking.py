@@ -62,12 +62,12 @@ def cut_points(df: DataFrame, column: str) -> Column:
 
 def ranked(df: DataFrame, by: str | None, score: str, key: str) -> DataFrame:
     """A rank from 1 by falling score within ``by``. Without ``by`` the whole table is ranked in ranges: rows are numbered within theirs,
-    and the sizes of the ranges before are added. Scores that many rows share are cut by key."""
+    and the sizes of the ranges before are added. Scores that many rows share, and null ones, which come last, are cut by key."""
     order = (F.desc(score), F.asc(key))
     if by:
         return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     scores, keys = cut_points(df, score), cut_points(df, key)
-    tied = F.array_contains(scores, F.col(score))
+    tied = F.array_contains(scores, F.col(score)) | F.col(score).isNull()
     above = F.when(F.col(score).isNull(), RANGES).otherwise(F.size(F.filter(scores, lambda v: v > F.col(score))))
     placed = df.withColumns({
         "_range": 2 * above + F.coalesce(tied, F.lit(False)).cast("int"),

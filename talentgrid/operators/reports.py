@@ -36,15 +36,27 @@ def counted(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
+#: Accuracy of the sketch that brackets a median: some three in as many values of a group lie between its bounds.
+BRACKET = 10_000
+
+
 def medians(rows: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
-    """(by, median, n): the exact median of a column and how many values there are. Equal values are counted first; the middle is found by a
-    running sum over them, so no group is held in memory."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("k"))
-    group = Window.partitionBy(*by)
-    upto = counts.withColumns({"upto": F.sum("k").over(group.orderBy(value)), "n": F.sum("k").over(group)})
-    first_above = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    """(by, median, n): the exact median of a column and how many values there are.
+
+    A sketch of each group gives two values that the middle lies between, whatever the sketch's error. Values below are counted by
+    partial sums; only those between are put in order, a few ten-thousandths of a group, equal ones as one row."""
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.lit(1).alias("_all"))
+    group = ["_all", *by]
+    reach = 3 / BRACKET
+    bounds = rows.groupBy(*group).agg(F.percentile_approx("_v", [0.5 - reach, 0.5 + reach], BRACKET).alias("b"), F.count("*").alias("n"))
+    bounds = bounds.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"), "n")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]
+    placed = rows.join(bounds, same).withColumn("_v", F.when(F.col("_v") >= F.col("lo"), F.col("_v"))).where("_v is null or _v <= hi")  # all that is below counts as one value
+    counts = placed.groupBy(*group, "_v").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    upto = counts.withColumn("upto", F.sum("k").over(Window.partitionBy(*group).orderBy(F.asc_nulls_first("_v"))))
+    first_above = lambda place: F.min(F.when(F.col("upto") > place, F.col("_v")))
     middle = (first_above(F.floor((F.col("n") - 1) / 2)) + first_above(F.floor(F.col("n") / 2))) / 2
-    return upto.groupBy(*by).agg(F.round(middle, 2).alias("median"), F.max("n").alias("n"))
+    return upto.groupBy(*group).agg(F.round(middle, 2).alias("median"), F.max("n").alias("n")).drop("_all")
 
 
 def lasted(rows: DataFrame) -> DataFrame:

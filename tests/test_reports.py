@@ -1,10 +1,13 @@
 """Reports against values worked out by hand for four applications of one job."""
 
+import random
+import statistics
 from datetime import datetime as D
 
 import pytest
 
 from talentgrid.functions.vocabulary import DEFAULT_STAGES
+from talentgrid.operators import ranking
 from talentgrid.operators import reports as R
 
 NOW = D(2025, 11, 20, 12)
@@ -63,3 +66,26 @@ def test_sources_and_activity(tables):
     assert [tuple(r) for r in R.source_mix(apps).collect()] == [("referral", 2, 1), ("linkedin", 1, 0), ("unknown", 1, 0)]
     got = [(r.application_id, r.event) for r in R.activity(spine, apps, 8).collect()]
     assert got == [(2, "passed"), (2, "applied"), (1, "passed"), (1, "passed"), (1, "applied"), (3, "hired"), (4, "rejected"), (3, "passed")]
+
+
+def test_medians_of_many(spark):
+    dice = random.Random(4)
+    rows = [(g, round(dice.expovariate(0.1), 6)) for g in ("a", None) for _ in range(dice.randint(20_000, 20_001))] + [("b", v) for v in (3.0, 1.0)] + [("c", 5.0)] * 4 + [("d", None), ("c", None)]
+    rows += [("e", float(v % 3)) for v in range(30_001)] + [("f", 2.0)] * 9_999 + [("f", 7.0)] * 9_999
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    want = {}
+    for g, v in rows:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    got = {r.g: (r["median"], r.n) for r in R.medians(df, ("g",), "v").collect()}
+    assert got.keys() == want.keys() and all(abs(got[g][0] - statistics.median(v)) <= 0.0051 and got[g][1] == len(v) for g, v in want.items())
+    one = R.medians(df, (), "v").collect()
+    assert abs(one[0]["median"] - statistics.median(v for own in want.values() for v in own)) <= 0.0051
+    assert R.medians(df.limit(0), ("g",), "v").count() == R.medians(df.limit(0), (), "v").count() == 0
+
+
+def test_rank_of_nulls(spark):
+    rows = [(i, None if i % 3 else float(i % 50)) for i in range(4000)]
+    got = {r.i: r["rank"] for r in ranking.ranked(spark.createDataFrame(rows, "i int, v double"), None, "v", "i").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {i: n for n, (i, _) in enumerate(order, 1)}
