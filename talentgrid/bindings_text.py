@@ -13,6 +13,7 @@ from talentgrid.bindings import QUERIES, query  # noqa: F401  the tests take the
 from talentgrid.functions import cleaning as C
 from talentgrid.functions import sections as S
 from talentgrid.sources import pages as P
+from talentgrid.sources.structs import JOB, Field, structs
 from talentgrid.sources.tables import table
 
 #: First letters of lines of at most 90 characters, and the headings that take the lines' place.
@@ -101,3 +102,17 @@ def clean_deep(spark, d):
 def clean_report(spark, d):
     """Changes of every step and the measures of success for each document."""
     return C.cleaned(spoiled(spark, d)).select("doc_id", "changes.*", C.quality(F.col("original"), F.col("cleaned")).alias("q")).select("*", "q.*").drop("q")
+
+
+# ---------------------------------------------------------------- structs of pages
+#: The fields of a job page, with what the given pages have behind the usual selectors.
+PAGE_FIELDS = tuple(
+    Field(f.name, f.selectors + more, f.default, f.many)
+    for f, more in zip(JOB, (("article h1", "h1"), ("nav li a",), ("footer",), ("article p",), ("article p b", "nav ul li"), (".ad", "div.ad")))
+)
+
+
+@query("page_structs")
+def page_structs(spark, d):
+    found = structs(table(spark, d, "pages"), PAGE_FIELDS)
+    return found.withColumn("requirements", F.array_join("requirements", "|"))
