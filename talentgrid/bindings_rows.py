@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talentgrid.bindings import NOW, NOW_SQL, POSITION_SQL, STATUS_SQL, query
-from talentgrid.operators import backfill, privacy
+from talentgrid.operators import backfill, merging, privacy
 from talentgrid.sources.tables import table
 from talentgrid.streaming import audit, runs
 
@@ -122,3 +122,34 @@ def events_once(spark, d):
     """Events that two sources deliver, each kept once."""
     found = runs.processed(spark, f"{d}/events.parquet", "ts", lambda events: audit.once(events.unionByName(events), "event_id", "ts").select("event_id", "event_type"), "once")
     return found.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+# ---------------------------------------------------------------- merged documents
+def stored_documents(spark, d):
+    """A document for each event: what it says, a place, and a list that some events confirm anew."""
+    doc = F.concat(F.lit('{"personal_info":'), "props", F.lit(',"skills":["'), "event_type", F.lit('",1],"zone":{"user":'), "user_id", F.lit(',"tags":[{"a":null}]}}'))
+    return table(spark, d, "events").select("event_id", doc.alias("document"))
+
+
+def confirmed_documents(spark, d):
+    """Purchases confirm their skills and one deed, views a list of deeds, signups what is known of them."""
+    kind = F.col("event_type")
+    doc = (
+        F.when(kind == "purchase", F.concat(F.lit('{"skills":["new",'), "user_id", F.lit('],"military":'), "props", F.lit(',"zone":0}')))
+        .when(kind == "view", F.concat(F.lit('{"military":['), "props", F.lit(',2]}')))
+        .when(kind == "signup", F.concat(F.lit('{"personal_info":{"k":'), "event_id", F.lit("}}")))
+    )
+    return table(spark, d, "events").select("event_id", doc.alias("document")).where("document is not null")
+
+
+@query("documents_merged", r"""
+    WITH s AS (SELECT event_id, event_type, '{"personal_info":' || props || ',"skills":["' || event_type || '",1],"zone":{"user":' || user_id || ',"tags":[{"a":null}]}}' AS document, props, user_id FROM events),
+    c AS (SELECT *, CASE event_type WHEN 'purchase' THEN '{"skills":["new",' || user_id || '],"military":[' || props || ']}' WHEN 'view' THEN '{"military":[' || props || ',2]}'
+                         WHEN 'signup' THEN '{"personal_info":{"k":' || event_id || '}}' ELSE '{}' END AS patch FROM s),
+    m AS (SELECT *, json_merge_patch(document, patch) AS merged FROM c)
+    SELECT event_id, merged ->> '$.personal_info.k' AS k, json(merged -> '$.skills')::VARCHAR AS skills, replace(json(merged -> '$.military')::VARCHAR, ' ', '') AS military, json(merged -> '$.zone.user')::VARCHAR AS zone_user,
+           array_to_string(list_sort(json_keys(patch)), ',') AS replaced FROM m""")
+def documents_merged(spark, d):
+    found = merging.merged_documents(stored_documents(spark, d), confirmed_documents(spark, d), "event_id")
+    part = lambda path: F.get_json_object("document", path)
+    return found.select("event_id", part("$.personal_info.k").alias("k"), part("$.skills").alias("skills"), part("$.military").alias("military"), part("$.zone.user").alias("zone_user"), F.array_join("replaced", ",").alias("replaced"))

@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from talentgrid.operators import backfill, privacy
+from talentgrid.operators import backfill, merging, privacy
 from talentgrid.functions import vocabulary as V
 from talentgrid.streaming import audit, runs
 
@@ -145,3 +145,30 @@ def test_folder():
     for master in ("yarn", "local-cluster[3,2,1024]", "spark://h:7077"):
         with pytest.raises(ValueError):
             runs.folder(_Session(master), "n")
+
+
+# ---------------------------------------------------------------- merged documents
+def test_merged_documents(spark):
+    import json
+
+    stored = {1: '{"skills":["a"],"x":{"b":1,"a":[1,{"z":null}]},"military":null}', 2: None, 3: "[1]", 4: '{"education":[1.5,"é"],"skills":null}', 5: "bad{", 6: '{"military":{"kept":1}}', 7: "", 8: '{"a":' * 60 + "1" + "}" * 60}
+    confirmed = {1: '{"skills":["n"],"military":{"r":"c"},"other":5}', 2: '{"military":null,"personal_info":{"name":"A"}}', 3: '{"military":[{"a":1}]}', 4: '{"education":null,"military":"x"}', 7: None, 9: '{"skills":1}'}
+
+    def parsed(text):
+        try:
+            value = json.loads(text or "")
+        except ValueError:
+            value = None
+        return value if isinstance(value, dict) else {}
+
+    want = {}
+    for i, text in stored.items():
+        new = {k: v for k, v in parsed(confirmed.get(i)).items() if k in merging.SECTIONS}
+        if "military" in new:
+            new["military"] = [] if new["military"] is None else new["military"] if isinstance(new["military"], list) else [new["military"]]
+        want[i] = (parsed(text) | new, sorted(new))
+    side = lambda rows: spark.createDataFrame([(i, t, "clash") for i, t in rows.items()], "id int, document string, old string")
+    twice = side(confirmed).unionByName(side({1: ""}))
+    got = {r.id: (json.loads(r.document), r.replaced) for r in merging.merged_documents(side(stored), twice, "id").collect()}
+    assert got == want
+    assert merging.merged_documents(side(stored).limit(0), side(confirmed), "id").count() == 0
