@@ -175,11 +175,11 @@ def interviewers_assigned(spark, d):
     SELECT refused, status, count(*) AS n, count(rating) AS ratings, count(notes) AS notes FROM (
       SELECT refused, CASE WHEN refused IS NULL THEN CASE WHEN l_linenumber % 2 = 0 THEN 'submitted' ELSE 'draft' END WHEN l_suppkey % 7 = 1 THEN 'submitted' END AS status, CASE WHEN refused IS NULL THEN r END AS rating, CASE WHEN refused IS NULL AND l_linenumber <> 2 THEN l_shipmode END AS notes
       FROM (SELECT *, CASE WHEN l_suppkey % 7 = 0 THEN 'only the assigned interviewer can write' WHEN l_suppkey % 7 = 1 THEN 'feedback has been submitted' WHEN l_suppkey % 7 = 2 THEN 'the stage has not started'
-               WHEN l_suppkey % 7 = 3 THEN 'choose one of the four recommendations' WHEN r IS NULL AND l_linenumber % 2 = 0 OR r > 5 THEN 'a rating is from 1 to 5' END AS refused
-            FROM (SELECT *, 'x' AS l_shipmode, CASE WHEN l_partkey % 8 < 7 THEN l_partkey % 8 END AS r FROM lineitem WHERE l_partkey % 8 > 0))) GROUP BY 1, 2""")
+               WHEN l_suppkey % 7 = 3 THEN 'choose one of the four recommendations' WHEN r IS NULL AND l_linenumber % 2 = 0 OR r NOT BETWEEN 1 AND 5 THEN 'a rating is from 1 to 5' END AS refused
+            FROM (SELECT *, 'x' AS l_shipmode, CASE WHEN l_partkey % 8 < 7 THEN l_partkey % 8 END AS r FROM lineitem))) GROUP BY 1, 2""")
 def feedback_forms(spark, d):
     s, n = F.col("l_suppkey") % 7, F.col("l_linenumber")
-    li = table(spark, d, "lineitem").where("l_partkey % 8 > 0").withColumn("interview_id", F.monotonically_increasing_id())
+    li = table(spark, d, "lineitem").withColumn("interview_id", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"))
     rating = F.when(F.col("l_partkey") % 8 < 7, (F.col("l_partkey") % 8).cast("int"))
     both = li.select(
         "interview_id", F.lit("u").alias("user_id"), F.when(n % 2 == 0, "submit").otherwise("draft").alias("action"), rating.alias("rating"), F.when(s == 3, "maybe").otherwise("hire").alias("recommendation"),
