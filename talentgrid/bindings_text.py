@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from talentgrid.bindings import QUERIES, query  # noqa: F401  the tests take the queries from here
 from talentgrid.functions import cleaning as C
 from talentgrid.functions import sections as S
+from talentgrid.functions import service
 from talentgrid.sources import pages as P
 from talentgrid.sources.structs import JOB, Field, structs
 from talentgrid.sources.tables import table
@@ -116,3 +117,25 @@ PAGE_FIELDS = tuple(
 def page_structs(spark, d):
     found = structs(table(spark, d, "pages"), PAGE_FIELDS)
     return found.withColumn("requirements", F.array_join("requirements", "|"))
+
+
+# ---------------------------------------------------------------- service entries
+#: What takes the place of common words, so that documents tell of service.
+SERVED = (
+    (" the ", "\n\nMILITARY SERVICE\nSergeant, U.S. Army, 2003 - 2007\n- led a team of nine\n- kept the stores\n"), (" of ", " 82nd Airborne Division, Fort Bragg; Top Secret, bronze star\n\n"),
+    (" and ", " deployed to Kuwait in the spring. cpt 11B\n"), (" le ", "\nSUMMARY OF WORK\n\nNavy petty officer 01/1999 - present, Norfolk\n\n"), (" die ", " Space Force colonel 2020 to now\n"), (" el ", "\n\nColumbus, OH 1999 - 2003\n* one task\n\n"),
+)
+
+
+def served(spark, d):
+    text = F.col("text")
+    for a, b in SERVED:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return table(spark, d, "documents").select("doc_id", text.alias("text"))
+
+
+@query("service_entries")
+def service_entries(spark, d):
+    e = service.service_entries(served(spark, d)).select("doc_id", F.posexplode("entries").alias("place", "e"))
+    lists = [F.array_join(f"e.{c}", "|").alias(c) for c in ("responsibilities", "deployments", "awards", "clearances", "training")]
+    return e.select("doc_id", "place", "e.branch", "e.rank", "e.unit", "e.start_date", "e.end_date", "e.location", *lists, "e.confidence")
