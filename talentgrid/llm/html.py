@@ -33,7 +33,7 @@ RUNS_ON = frozenset("script style".split())
 HIDDEN = RUNS_ON | frozenset("noscript template svg math textarea select iframe object head title button label option optgroup datalist legend".split())
 #: An attribute, as browsers read it: quotes count only after an equals sign, and no white space is needed between two.
 ONE_ATTRIBUTE = r"""[^\s/>][^\s/>=]*(?:\s*=(?:\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?)?"""
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[\s/]+|{ONE_ATTRIBUTE})*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+MARKUP = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[\s/]+|{ONE_ATTRIBUTE})*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements that neither break a block nor make a node (fixed values).

@@ -104,6 +104,13 @@ PAGE = (
 )
 
 
+def test_short_comments(spark):
+    first, second = "First text that goes on for a while, and on.", "Second text that goes on for a while, and on."
+    rows = [(i, "u", f"<body><article><p>{first}</p>{mark}<p>{second}</p></article></body>") for i, mark in enumerate(("<!-->", "<!--->", "<!---->", "<!-- x --!>", "<!-- > -->", ""))]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"{first}\n{second}"} and html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
+
+
 def test_main_text(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, None), (3, "u", "", "y"), (4, "u", "<nav>menu</nav>", "z"), (None, "u", PAGE * 20, "w")]
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()}

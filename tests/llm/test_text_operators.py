@@ -317,3 +317,22 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert jaccard.classes(none).count() == substrings.removed(none).count() == decontam.contaminated(none, bench).count() == bpe.encode(none, PATH).count() == 0
     assert langid.predict(none, langid.fit(none)).count() == quality.score(none, quality.fit(none, labels)).count() == secrets.findings(none, secrets.fit(none)).count() == 0
+
+
+def test_lexicon_stays_sparse(spark, monkeypatch):
+    """The more words a corpus has, the more frequent one must be; strings that are no words stay uncovered."""
+    dice = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    known = secrets.Lexicon()
+    words = pa.array(["".join(w) for w in letters[dice.integers(0, 26, (secrets.CAPACITY // 4, 9))]])
+    for shift in range(4):  # four times as many words by their places in the filter
+        at = (known.bits(words) + np.uint64(shift * 7919)) & np.uint64((1 << known.BITS) - 1)
+        np.bitwise_or.at(known.filter, (at.ravel() >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at.ravel() & np.uint64(63)))
+    describer = secrets.Describer(known)
+    keys = ["".join(k) for k in np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))[dice.integers(0, 36, (200, 40))]]
+    assert np.mean([describer.covered(k) for k in keys]) < 0.05
+    texts = ["often often often often often seldom seldom", "often seldom seldom twice twice once"]
+    counts = secrets.dictionary(docs_of(spark, texts))
+    for capacity, want in ((3, {"often", "seldom", "twice"}), (2, {"often", "seldom"}), (1, set())):
+        monkeypatch.setattr(secrets, "CAPACITY", capacity)
+        assert {r.w for r in secrets.frequent(counts).collect()} == want
