@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talentgrid.functions import vocabulary as V
+from talentgrid.functions.sections import let
 
 
 def any_in(c: Column, words: tuple[str, ...]) -> Column:
@@ -72,21 +73,30 @@ def skill_match(job: Column, candidate: Column) -> Column:
     """struct(score, exact, partial, missing, coverage_bonus, no_data). A wanted skill counts full if the candidate has it, half
     if one contains the other and their lengths differ by three at most; repeated and empty wanted skills count in the total."""
     key = lambda a: F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda s: F.trim(F.lower(s)))
-    want, have = key(job), key(candidate)
-    near = lambda s: F.exists(have, lambda h: (h.contains(s) | s.contains(h)) & (F.abs(F.length(s) - F.length(h)) <= 3))
-    exact = F.filter(want, lambda s: (s != "") & F.array_contains(have, s))
-    partial = F.filter(want, lambda s: (s != "") & ~F.array_contains(have, s) & near(s))
-    missing = F.filter(want, lambda s: (s != "") & ~F.array_contains(have, s) & ~near(s))
-    total, hits = F.size(want), F.size(exact) + F.size(partial)
-    bonus = hits >= total * F.lit(0.8)
-    raw = (F.size(exact) * 100.0 + F.size(partial) * 50.0) / F.nullif(total, F.lit(0))
-    empty = (total == 0) | (F.size(have) == 0)
-    score = F.when(empty, V.NO_SIGNAL).otherwise(F.least(F.lit(100.0), raw * F.when(bonus, 1.1).otherwise(1.0)))
-    none = F.array().cast("array<string>")
-    return F.struct(
-        score.alias("score"), F.when(empty, none).otherwise(exact).alias("exact"), F.when(empty, none).otherwise(partial).alias("partial"),
-        F.when(empty, F.filter(want, lambda s: s != "")).otherwise(missing).alias("missing"), (~empty & bonus).alias("coverage_bonus"), empty.alias("no_data"),
-    )
+    sides = F.struct(key(job).alias("want"), key(candidate).alias("have"))
+
+    def divided(x: Column) -> Column:
+        held = lambda s: F.array_contains(x["have"], s)
+        return F.struct(x["want"].alias("want"), x["have"].alias("have"), F.filter(x["want"], lambda s: (s != "") & held(s)).alias("exact"), F.filter(x["want"], lambda s: (s != "") & ~held(s)).alias("rest"))
+
+    def nearly(x: Column) -> Column:
+        near = lambda s: F.exists(x["have"], lambda h: (F.abs(F.length(s) - F.length(h)) <= 3) & (h.contains(s) | s.contains(h)))
+        return F.struct(F.size(x["want"]).alias("total"), F.size(x["have"]).alias("own"), x["want"].alias("want"), x["exact"].alias("exact"), x["rest"].alias("rest"), F.filter(x["rest"], near).alias("partial"))
+
+    def result(x: Column) -> Column:
+        hits = F.size(x["exact"]) + F.size(x["partial"])
+        bonus = hits >= x["total"] * F.lit(0.8)
+        raw = (F.size(x["exact"]) * 100.0 + F.size(x["partial"]) * 50.0) / F.nullif(x["total"], F.lit(0))
+        empty = (x["total"] == 0) | (x["own"] == 0)
+        score = F.when(empty, V.NO_SIGNAL).otherwise(F.least(F.lit(100.0), raw * F.when(bonus, 1.1).otherwise(1.0)))
+        none = F.array().cast("array<string>")
+        missing = F.filter(x["rest"], lambda s: ~F.array_contains(x["partial"], s))
+        return F.struct(
+            score.alias("score"), F.when(empty, none).otherwise(x["exact"]).alias("exact"), F.when(empty, none).otherwise(x["partial"]).alias("partial"),
+            F.when(empty, F.filter(x["want"], lambda s: s != "")).otherwise(missing).alias("missing"), (~empty & bonus).alias("coverage_bonus"), empty.alias("no_data"),
+        )
+
+    return let(let(let(sides, divided), nearly), result)
 
 
 def plain_title(c: Column) -> Column:
