@@ -5,10 +5,13 @@ labelled texts and then frozen. A byte seen in its context has probability c / (
 context's count and U its number of distinct bytes; the escape U / (T + U) goes to the bytes not seen,
 shared out as the next shorter context says, without those seen; below the empty context all bytes
 are alike. The probabilities of each context add up to one, so the negative log is an exact code
-length. A text's language is the one that codes its lower-cased letters and white space in the fewest bits.
+length. A text's language is the one that codes the whole lower-cased text, byte by byte, in the fewest bits.
 
-Texts without a letter, empty and null texts are ``und`` with score 0. Equal code lengths go to the
-language that sorts first. Without any labelled text everything is ``und``.
+Texts without a letter, empty and null texts are ``und`` with score 0, whatever else they hold. Equal code
+lengths go to the language that sorts first. Without any labelled text everything is ``und``. Texts may be of
+any length: code lengths add up slice by slice of a batch. Each row, repeated ones too, gets a row of its own;
+nothing is learned from a row whose key is null, and it counts as held out. Other columns of the input are
+ignored unless ``keep`` names them, so names that clash with those of the result do no harm.
 """
 
 from __future__ import annotations
@@ -30,10 +33,8 @@ UNDETERMINED = "und"
 
 
 def prepared(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of the lower-cased texts, each with DEPTH spaces before it. Words with a digit and
-    whatever is neither letter nor white space are left out: they say nothing of a language."""
-    texts = pc.replace_substring_regex(pc.fill_null(texts, ""), r"[^\s]*[0-9][^\s]*", "")
-    texts = pc.utf8_lower(pc.replace_substring_regex(texts, r"[^\pL\pM\s]+", ""))
+    """(bytes, offsets) of the whole lower-cased texts, each with DEPTH spaces before it; null counts as empty."""
+    texts = pc.utf8_lower(pc.fill_null(texts, ""))
     texts = pc.binary_join_element_wise(pa.scalar(" " * DEPTH), texts, pa.scalar(""))
     return offsets_of(texts)
 
@@ -184,5 +185,5 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str =
 
 
 def held_out(key: Column) -> Column:
-    """Rows that nothing may be learned from."""
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2
+    """Rows that nothing may be learned from; those without a key are among them."""
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))

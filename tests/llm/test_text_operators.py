@@ -1,7 +1,9 @@
 """Encoding, substrings, near duplicates and decontamination against brute force, and odd rows for every operator."""
 
+import functools
 import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
@@ -298,6 +300,50 @@ def test_language_model_is_a_distribution():
         assert abs((2.0 ** -tree.bits(keys)).sum() - 1) < 1e-6
 
 
+def plain_bits(texts, text):
+    """Prediction by partial matching as written down in books: one byte at a time, with recursion."""
+    seen = {}
+    for t in texts:
+        raw = ("   " + t.lower()).encode()
+        for i, d in itertools.product(range(3, len(raw)), range(4)):
+            of = seen.setdefault(raw[i - d : i], {})
+            of[raw[i]] = of.get(raw[i], 0) + 1
+
+    @functools.cache
+    def chance(context, byte, depth):
+        if depth < 0:
+            return 1 / 256
+        of = seen.get(context)
+        if of is None:
+            return chance(context[1:], byte, depth - 1)
+        all_ = sum(of.values()) + len(of)
+        if byte in of:
+            return of[byte] / all_
+        unseen = 1 - sum(chance(context[1:], b, depth - 1) for b in of)
+        return len(of) / all_ * chance(context[1:], byte, depth - 1) / unseen
+
+    raw = ("   " + text.lower()).encode()
+    return -sum(math.log2(chance(raw[i - 3 : i], raw[i], 3)) for i in range(3, len(raw)))
+
+
+def test_code_lengths_equal_plain_coder(spark):
+    own = {"de": ["Das Haus 123 und die Katze", "Ein Buch, drei B\u00fccher; 40 Seiten"], "en": ["the house 123 and the cat", "One book, three books: 40 pages"]}
+    docs = spark.createDataFrame([(i, t, one) for i, (one, t) in enumerate((one, t) for one in own for t in own[one])], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.langs == ["de", "en"]
+    texts = ["Haus123 und4 katze5", "the \u00fcbung 7 (seven)", "42", "x" * 50, "\u65e5\u672c the cat " * 30]
+    want = [[plain_bits(own[one], t) for one in model.langs] for t in texts]
+    assert np.allclose(model.lengths(pa.array(texts)), want, rtol=1e-5)
+    got = {r.doc_id: r for r in langid.predict(docs_of(spark, [*texts, *ODD]), model).collect()}
+    assert len(got) == len(texts) + len(ODD) and got[2].lang_pred == "und" and got[2].score == 0
+    assert all(got[i].lang_pred == model.langs[np.argmin(want[i])] for i in (0, 1, 3, 4))
+    for i, t in enumerate(ODD, len(texts)):
+        lettered = any(c.isalpha() for c in t or "")
+        assert (got[i].lang_pred == "und") == (not lettered) and 0 <= got[i].score <= 1
+    keyless = spark.createDataFrame([(None, "das Haus", "de"), (None, "das Haus", "de")], "doc_id long, text string, lang string")
+    assert keyless.where(langid.held_out(F.col("doc_id"))).count() == langid.predict(keyless, model).where("lang_pred = 'de'").count() == 2
+
+
 def test_language_and_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", langid.held_out(F.col("doc_id")))
     got = langid.predict(docs, langid.fit(docs.where("not held_out")), keep=("lang", "held_out")).where("held_out")
