@@ -692,4 +692,4 @@ def skill_penalties(spark, d):
     return p.select("p_partkey", F.round(S.skill_penalty(F.lit(80.0), F.lit("data_science"), own), 4).alias("score"))
 
 
-from talentgrid import bindings_answers, bindings_hiring, bindings_listing, bindings_market, bindings_people, bindings_rows, bindings_text  # noqa: E402, F401  register further queries
+from talentgrid import bindings_answers, bindings_feeds, bindings_hiring, bindings_listing, bindings_market, bindings_people, bindings_rows, bindings_text  # noqa: E402, F401  register further queries

@@ -40,12 +40,6 @@ def department_counts(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("department") != "").groupBy("department").agg(F.count("*").alias("n"))
 
 
-def departments_named(departments: DataFrame, text: str) -> DataFrame:
-    """Departments of a name, in any case and with any spaces."""
-    plain = " ".join(text.split())
-    return departments.where(F.lower("name") == plain.lower()) if plain else departments.limit(0)
-
-
 def templates(df: DataFrame, job_id: int | None = None) -> DataFrame:
     """A job's templates before the global ones, by name."""
     own = df if job_id is None else df.where((F.col("job_id") == job_id) | F.col("job_id").isNull())
