@@ -87,7 +87,14 @@ def json_found(spark, d):
     return table(spark, d, "events").select("event_id", resume.json_objects(text).alias("found"))
 
 
-@query("education_entries")
+@query("education_entries", """
+    SELECT c_custkey AS id, 0 AS place, c_mktsegment || ' College' AS institution, CASE WHEN c_custkey % 2 = 0 THEN 'MBA' ELSE 'Ph.D' END AS degree FROM customer WHERE c_custkey % 3 > 0
+    UNION ALL SELECT c_custkey, 0, 'MIT', 'PhD' FROM customer WHERE c_custkey % 3 = 0""")
 def education_entries(spark, d):
-    """Every degree and school that a document names."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(education.entries(F.col("text")))).select("doc_id", F.col("pos").alias("place"), "col.institution", "col.degree")
+    """Resumes made from customers: degree and school on one line, on two, or without a heading; schools of other sections don't count."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    at = F.concat("c_mktsegment", F.lit(" College - "), "r_name")
+    own = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("MBA, "), at)).otherwise(F.concat(at, F.lit("\nPh.D. 1999")))
+    body = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("Cook at Old School\nEducation:\n"), own, F.lit("\n"), own, F.lit("\nSKILLS & MORE\n"))).otherwise(F.lit("Cook at Old School\n\n"))
+    found = c.select(F.col("c_custkey").alias("id"), F.posexplode(education.entries(F.concat(body, F.lit("MIT PhD")))))
+    return found.select("id", F.col("pos").alias("place"), "col.institution", "col.degree")
