@@ -1,7 +1,7 @@
 """Written answers and the results behind them: entities and numbers of nested results, mentions as links, and checks.
 
-A result is a JSON document of any depth. Mentions are found by an equi-join: the word runs of a text against the words of the
-names, so that any number of names costs one pass over a text. Which mentions become links is decided text by text.
+A result is a JSON document of any depth. A text meets only the names of its own result, so both stand in one row and no word run is
+shuffled. Within a row the word runs of a text are looked up among the words of the names: any number of names costs one pass over a text.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid.functions import text as T
+from talentgrid.functions.sections import let
 
 # ---------------------------------------------------------------- fixed values
 LINK = r"\[([^\]\n]+)\]\(([^)\s]+)\)"
@@ -26,7 +27,7 @@ SHORTEST = 3
 #: Keys whose values are ids, not counts.
 ID_KEYS = ("id", "job_id", "candidate_id")
 
-_LINK, _BOLD_LINK, _WORD = re.compile(LINK), re.compile(BOLD_LINK), re.compile(r"\w+")
+_LINK, _BOLD_LINK, _PROFILE, _WORD = re.compile(LINK), re.compile(BOLD_LINK), re.compile(PROFILE), re.compile(r"\w+")
 ENTITY = "array<struct<kind: string, id: string, name: string>>"
 
 
@@ -72,8 +73,9 @@ def counts_in(value: object) -> set[int]:
     return out
 
 
-def described(results: DataFrame, key: str, document: str) -> DataFrame:
-    """(key, entities, numbers) of each row's JSON document. Null, and what isn't JSON, has none."""
+def described(results: DataFrame, key: str, document: str, *more: str) -> DataFrame:
+    """(key, entities, numbers) of each row's JSON document, and the columns ``more`` as they are. Null, and what isn't JSON, has none."""
+    kinds = dict(results.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,9 +88,11 @@ def described(results: DataFrame, key: str, document: str) -> DataFrame:
                 rows.append((named_in(value), sorted(counts_in(value))))
             entity = pa.list_(pa.struct([("kind", pa.string()), ("id", pa.string()), ("name", pa.string())]))
             entities = pa.array([[dict(zip(("kind", "id", "name"), e)) for e in found] for found, _ in rows], entity)
-            yield pa.RecordBatch.from_arrays([batch.column(0), entities, pa.array([n for _, n in rows], pa.list_(pa.int64()))], [key, "entities", "numbers"])
+            own = [batch.column(0), entities, pa.array([n for _, n in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*own, *batch.columns[2:]], [key, "entities", "numbers", *more])
 
-    return results.select(key, document).mapInArrow(run, f"`{key}` {dict(results.dtypes)[key]}, entities {ENTITY}, numbers array<long>")
+    schema = ", ".join([f"`{key}` {kinds[key]}, entities {ENTITY}, numbers array<long>", *(f"`{c}` {kinds[c]}" for c in more)])
+    return results.select(key, document, *more).mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- links
@@ -97,54 +101,39 @@ def plain_words(c: Column) -> Column:
     return F.regexp_extract_all(F.replace(F.lower(c), F.lit("'s"), F.lit("")), F.lit(r"([a-z0-9]+)"), F.lit(1))
 
 
-def _rewritten(df: DataFrame, extra: str, rewrite) -> DataFrame:
-    """df with its text rewritten by rewrite(text, values of the column ``extra``)."""
-    names = [c for c in df.columns if c != extra]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [rewrite(t, x or []) for t, x in zip(batch.column("text").to_pylist(), batch.column(extra).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
-
-    return df.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes if c != extra))
-
-
-def repaired(texts: DataFrame, entities: DataFrame) -> DataFrame:
-    """Links whose id no entity has, pointed at the one entity whose name has the label's words as a run; others stay.
-    texts: key, text; entities: key, kind, id, name."""
-    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(LINK), F.lit(1)).alias("label"), F.regexp_extract_all("text", F.lit(LINK), F.lit(2)).alias("href"))
-    links = texts.select("key", F.explode(F.array_distinct(both)).alias("link")).select("key", "link.*")
-    links = links.select("key", "label", "href", F.regexp_extract("href", PROFILE, 1).alias("kind"), F.regexp_extract("href", PROFILE, 2).alias("id"), plain_words(F.col("label")).alias("run")).where("kind <> ''")
-    dead = links.join(entities.select("key", "kind", "id").distinct(), ["key", "kind", "id"], "left_anti").where(F.size("run") > 0)
-    words = entities.select("key", "kind", "id", plain_words(F.col("name")).alias("w")).where(F.size("w") > 0)
-    runs = words.select("key", "kind", "id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("a"))
-    runs = runs.select("key", "kind", "id", F.explode(F.transform(F.sequence(F.col("a"), F.size("w")), lambda b: F.slice("w", F.col("a"), b - F.col("a") + 1))).alias("run")).distinct()
-    single = runs.groupBy("key", "kind", "run").agg(F.min("id").alias("named"), F.count("*").alias("n")).where("n = 1").drop("n")
-    fixes = dead.join(single, ["key", "kind", "run"]).groupBy("key").agg(F.collect_set(F.struct("label", "href", F.concat(F.lit("/"), "kind", F.lit("/"), "named").alias("to"))).alias("fixes"))
-
-    def rewrite(text: str | None, fixes: list[dict]) -> str | None:
-        to = {(f["label"], f["href"]): f["to"] for f in fixes}
-        return _LINK.sub(lambda m: f"[{m[1]}]({to.get((m[1], m[2]), m[2])})", text) if to else text
-
-    return _rewritten(texts.join(fixes, "key", "left"), "fixes", rewrite)
-
-
-def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(key, kind, id, name, start, stop): whole-word mentions in upper or lower case, by joining word runs. names: key, kind, id, name,
-    name_words, the words of each name. Names without a letter or digit are mentioned nowhere."""
-    sizes = sorted(r[0] for r in names.select(F.size("name_words").alias("n")).distinct().collect() if r[0])  # a handful of numbers
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                words = [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(text or "")]
-                rows = [(" ".join(w for w, *_ in words[i : i + n]), words[i][1], words[i + n - 1][2]) for n in sizes for i in range(len(words) - n + 1)]
-                if rows:
-                    gram, start, stop = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows), batch.column("key").type), pa.array(gram), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["key", "gram", "start", "stop"])
-
-    grams = texts.mapInArrow(run, f"key {dict(texts.dtypes)['key']}, gram string, start int, stop int")
-    return grams.join(names.withColumn("gram", F.array_join("name_words", " ")).drop("name_words"), ["key", "gram"]).drop("gram")
+def repaired(text: str, known: dict[tuple[str, str], str | None]) -> str:
+    """Links whose id no entity has, pointed at the one entity whose name has the label's words as a run; others stay."""
+    words = lambda s: re.findall(r"[a-z0-9]+", s.lower().replace("'s", ""))
+    names: dict[str, list[tuple[str, str]]] = {}
+
+    def put(m: re.Match) -> str:
+        path = _PROFILE.match(m[2])
+        run = words(m[1])
+        if not path or not run or (path[1], path[2]) in known:
+            return m[0]
+        if not names:
+            for (kind, ident), name in known.items():
+                names.setdefault(kind, []).append((ident, f" {' '.join(words(name or ''))} "))
+        hits = [ident for ident, name in names.get(path[1], ()) if f" {' '.join(run)} " in name]
+        return f"[{m[1]}](/{path[1]}/{hits[0]})" if len(hits) == 1 else m[0]
+
+    return _LINK.sub(put, text)
+
+
+def mentions(text: str, known: dict[tuple[str, str], str | None]) -> list[dict]:
+    """Every whole-word mention of a name in upper or lower case: kind, id, name, start. Names without a letter or digit are mentioned nowhere."""
+    runs: dict[str, list[tuple[str, str, str]]] = {}
+    sizes: dict[str, set[int]] = {}  # how many words the names have that begin with a word
+    for (kind, ident), name in known.items():
+        own = [w.lower() for w in _WORD.findall(name or "")]
+        if own and len(name) >= SHORTEST:
+            runs.setdefault(" ".join(own), []).append((kind, ident, name))
+            sizes.setdefault(own[0], set()).add(len(own))
+    words = [(m.group().lower(), m.start()) for m in _WORD.finditer(text)]
+    return [
+        {"kind": kind, "id": ident, "name": name, "start": start}
+        for i, (word, start) in enumerate(words) for n in sizes.get(word, ()) for kind, ident, name in runs.get(" ".join(w for w, _ in words[i : i + n]), ())
+    ]
 
 
 def choose(text: str, found: list[dict]) -> str:
@@ -168,19 +157,37 @@ def choose(text: str, found: list[dict]) -> str:
     return _BOLD_LINK.sub(r"\1", text)
 
 
+def linked_rows(rows: DataFrame) -> DataFrame:
+    """Rows with plain dashes in their ``text``, repaired links, and the first mention of each of their ``entities`` as a link; other
+    columns stay. An id with several names goes by the first of them in order; entities without kind or id are none."""
+    rows = rows.withColumn("text", T.plain_dashes(F.coalesce("text", F.lit(""))))
+    names = rows.columns
+
+    def rewrite(text: str, entities: list[dict] | None) -> str:
+        known: dict[tuple[str, str], str | None] = {}
+        for e in entities or ():
+            if e["kind"] is not None and e["id"] is not None:
+                k, name = (e["kind"], e["id"]), e["name"] and e["name"].strip(" ")
+                old = known.setdefault(k, name)
+                known[k] = name if old is None or name is not None and name < old else old
+        text = repaired(text, known)
+        return choose(text, mentions(text, known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [rewrite(*x) for x in zip(batch.column("text").to_pylist(), batch.column("entities").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes))
+
+
 def linked(texts: DataFrame, entities: DataFrame, key: str = "key") -> DataFrame:
-    """(key, text): every text with plain dashes, repaired links, and the first mention of each of its entities as a link.
+    """(key, text): every text as ``linked_rows`` leaves it.
 
-    texts: key, text, one row a key; entities: key, kind, id, name, those that a text may name. An id with several names in one
-    text goes by the first of them in order. Null texts are empty; a text without entities only loses its dashes."""
-    own = texts.select(F.col(key).alias("key"), T.plain_dashes(F.coalesce("text", F.lit(""))).alias("text"))
-    known = entities.select(F.col(key).alias("key"), "kind", F.col("id").cast("string").alias("id"), F.trim("name").alias("name")).groupBy("key", "kind", "id").agg(F.min("name").alias("name"))
-    own = repaired(own, known)
-    words = F.transform(F.regexp_extract_all("name", F.lit(r"(?U)(\w+)"), F.lit(1)), lambda w: F.lower(w))
-    found = mentions(own, known.where(F.length("name") >= SHORTEST).withColumn("name_words", words))
-    lists = found.groupBy("key").agg(F.collect_list(F.struct("kind", "id", "name", "start")).alias("found"))
-    done = _rewritten(own.join(lists, "key", "left"), "found", lambda text, x: choose(text or "", x))
-    return done.withColumnRenamed("key", key)
+    texts: key, text, one row a key; entities: key, kind, id, name, those that a text may name. Null texts are empty; a text without
+    entities only loses its dashes."""
+    own = entities.select(key, F.struct("kind", F.col("id").cast("string").alias("id"), "name").alias("e")).groupBy(key).agg(F.collect_list("e").alias("entities"))
+    return linked_rows(texts.select(key, "text").join(own, key, "left")).select(key, "text")
 
 
 # ---------------------------------------------------------------- checks
@@ -191,11 +198,14 @@ def _label_words(c: Column) -> Column:
 
 def names_agree(label: Column, name: Column) -> Column:
     """Whether a label is the name, a run of its words, or the name and at most two words more."""
-    a, b = _label_words(label), _label_words(name)
-    x, y = F.concat(F.lit(" "), F.array_join(a, " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(b, " "), F.lit(" "))
-    run = (F.size(a) < F.size(b)) & F.contains(y, x)
-    longer = F.startswith(x, y) & (F.size(a) - F.size(b) <= 2)
-    return (F.trim(x) != "") & (F.trim(y) != "") & (run | longer)
+
+    def agree(w: Column) -> Column:
+        x, y = (F.concat(F.lit(" "), F.array_join(w[side], " "), F.lit(" ")) for side in ("a", "b"))
+        run = (F.size(w["a"]) < F.size(w["b"])) & F.contains(y, x)
+        longer = F.startswith(x, y) & (F.size(w["a"]) - F.size(w["b"]) <= 2)
+        return (F.trim(x) != "") & (F.trim(y) != "") & (run | longer)
+
+    return let(F.struct(_label_words(label).alias("a"), _label_words(name).alias("b")), agree)
 
 
 def failures(text: Column, entities: Column, numbers: Column, must_mention: tuple[str, ...] = (), must_match: tuple[str, ...] = (), must_not_match: tuple[str, ...] = (), numbers_from_results: bool = False, require_link: bool = False) -> Column:
@@ -209,17 +219,20 @@ def failures(text: Column, entities: Column, numbers: Column, must_mention: tupl
     links = F.arrays_zip(F.regexp_extract_all(text, F.lit(LINK), F.lit(1)).alias("label"), F.regexp_extract_all(text, F.lit(LINK), F.lit(2)).alias("href"))
 
     def of_link(link: Column) -> Column:
-        kind, ident = F.regexp_extract(link["href"], PROFILE, 1), F.regexp_extract(link["href"], PROFILE, 2)
-        own = F.filter(entities, lambda e: (e["kind"] == kind) & (e["id"] == ident))
-        name = F.get(own, F.lit(0))["name"]
-        label = F.array_join(_label_words(link["label"]), " ")
-        other = F.filter(entities, lambda e: (e["kind"] == kind) & (e["id"] != ident) & (F.array_join(_label_words(e["name"]), " ") == label))
-        another = (label != F.array_join(_label_words(name), " ")) & (F.size(other) > 0)
+        path = F.struct(link["label"].alias("label"), link["href"].alias("href"), F.regexp_extract(link["href"], PROFILE, 1).alias("kind"), F.regexp_extract(link["href"], PROFILE, 2).alias("id"))
+        own = lambda x: F.get(F.filter(entities, lambda e: (e["kind"] == x["kind"]) & (e["id"] == x["id"])), F.lit(0))
+        said = lambda c: F.array_join(_label_words(c), " ")
+        return let(path, lambda x: let(F.struct(x.alias("x"), own(x).alias("own"), said(x["label"]).alias("said")), wrong_of))
+
+    def wrong_of(y: Column) -> Column:
+        x, name = y["x"], y["own"]["name"]
+        other = F.exists(entities, lambda e: (e["kind"] == x["kind"]) & (e["id"] != x["id"]) & (F.array_join(_label_words(e["name"]), " ") == y["said"]))
+        another = (y["said"] != F.array_join(_label_words(name), " ")) & other
         return F.coalesce(
-            say((kind == "") | (ident == ""), "link ", link["href"], " is not a profile path"),
-            say(F.size(own) == 0, "link ", link["href"], " points at an id of no result"),
-            say(~names_agree(link["label"], name), "label ", link["label"], " does not name ", name, " (", link["href"], ")"),
-            say(another, "label ", link["label"], " names another than ", link["href"], ", which is ", name),
+            say((x["kind"] == "") | (x["id"] == ""), "link ", x["href"], " is not a profile path"),
+            say(y["own"].isNull(), "link ", x["href"], " points at an id of no result"),
+            say(~names_agree(x["label"], name), "label ", x["label"], " does not name ", name, " (", x["href"], ")"),
+            say(another, "label ", x["label"], " names another than ", x["href"], ", which is ", name),
         )
 
     plain = F.regexp_replace(text, LINK, "$1")
@@ -237,8 +250,12 @@ def failures(text: Column, entities: Column, numbers: Column, must_mention: tupl
     return F.filter(F.concat(*found), lambda x: x.isNotNull())
 
 
+def checked_rows(rows: DataFrame, name: str = "failures", **rules) -> DataFrame:
+    """Rows with what is wrong with their ``text`` by their ``entities`` and ``numbers``; null ones are empty."""
+    known = F.coalesce("entities", F.array().cast(ENTITY)), F.coalesce("numbers", F.array().cast("array<long>"))
+    return rows.withColumn(name, failures(F.col("text"), *known, **rules))
+
+
 def checked(answers: DataFrame, results: DataFrame, key: str = "key", document: str = "results", **rules) -> DataFrame:
     """(key, text, failures) of every answer against the results with its key; an answer without results has none behind it."""
-    found = answers.join(described(results, key, document), key, "left")
-    empty = F.coalesce("entities", F.array().cast(ENTITY)), F.coalesce("numbers", F.array().cast("array<long>"))
-    return found.select(key, "text", failures(F.col("text"), *empty, **rules).alias("failures"))
+    return checked_rows(answers.join(described(results, key, document), key, "left"), **rules).select(key, "text", "failures")

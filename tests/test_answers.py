@@ -109,3 +109,11 @@ def test_of_tables(spark):
     said = " ".join(r.failures for r in checks.values())
     assert all(w in said for w in ("not a profile path", "of no result", "does not name", "in no result", "no profile link", "dash", "matches"))
     assert all("no profile link" not in r.failures_after and "dash" not in r.failures_after for r in checks.values())
+
+
+def test_a_text_meets_its_own_names_in_its_row(spark):
+    from talentgrid import bindings_answers as B
+
+    for name in ("answer_links", "answer_checks"):
+        plan = B.query.__globals__["QUERIES"][name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 2 and plan.count("Generate") == 0, name  # parts and orders: no word runs, no rows of names
