@@ -136,6 +136,7 @@ def served(spark, d):
 
 @query("service_entries")
 def service_entries(spark, d):
-    e = service.service_entries(served(spark, d)).select("doc_id", F.posexplode("entries").alias("place", "e"))
+    # an inner posexplode would have Spark infer a filter on the entries and push it below all steps, which are then run once more for each of its uses
+    e = service.service_entries(served(spark, d)).select("doc_id", F.posexplode_outer("entries").alias("place", "e")).where("place IS NOT NULL")
     lists = [F.array_join(f"e.{c}", "|").alias(c) for c in ("responsibilities", "deployments", "awards", "clearances", "training")]
     return e.select("doc_id", "place", "e.branch", "e.rank", "e.unit", "e.start_date", "e.end_date", "e.location", *lists, "e.confidence")

@@ -77,13 +77,22 @@ def _matches(b: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def _year(c: Column) -> Column:
-    low, year = F.lower(stripped(c)), F.regexp_extract(c, r"(\d{4})", 1)
-    return F.when(low.isin(*_NOW.split("|")), "Present").when(year != "", year).when(low != "", low)
+    def year(x: Column) -> Column:
+        low, digits = F.lower(stripped(x)), F.regexp_extract(x, r"(\d{4})", 1)
+        return F.when(low.isin(*_NOW.split("|")), "Present").when(digits != "", digits).when(low != "", low)
 
+    return let(c, year)
 
-def _date(b: Column, group: int) -> Column:
-    found = F.regexp_extract(b, f"(?iU){DATES[0]}", group)
-    return _year(F.when(found != "", found).otherwise(F.regexp_extract(b, f"(?iU){DATES[1]}", group)))
+
+def _dates(b: Column) -> Column:
+    """The struct (start, end) of the first range of dates. The block is searched once; the groups are those of the short match."""
+
+    def groups(pattern: str, found: Column, otherwise: Column) -> Column:
+        return F.when(found != "", F.struct(*[F.regexp_extract(found, f"(?iU){pattern}", g).alias(n) for g, n in ((1, "start"), (2, "end"))])).otherwise(otherwise)
+
+    none = F.struct(F.lit("").alias("start"), F.lit("").alias("end"))
+    search = lambda pattern: F.when(F.rlike(b, F.lit(r"(?U)\d{4}")), F.regexp_extract(b, f"(?iU){pattern}", 0)).otherwise("")  # noqa: E731  every range has a year
+    return let(search(DATES[0]), lambda x: groups(DATES[0], x, let(search(DATES[1]), lambda y: groups(DATES[1], y, none))))
 
 
 def _place(b: Column) -> Column:
@@ -96,13 +105,13 @@ def entry_of(b: Column) -> Column:
     """What a block says, with its score."""
     clear = F.transform(_matches(b, CLEARANCES), lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"(?i)ts\s*/\s*sci", "TS/SCI"), r"(?i)top\s*secret", "Top Secret"), r"(?i)public\s*trust", "Public Trust"))
     tasks = F.filter(F.transform(F.regexp_extract_all(b, F.lit(r"(?m)^(?:[-•*]\s+|\d+\.\s+)(.+)$"), F.lit(1)), lambda x: stripped(x)), lambda x: F.length(x) > 3)
-    fields = F.struct(
-        _first(b, BRANCHES).alias("branch"), _first(b, RANKS).alias("rank"), F.nullif(stripped(F.regexp_extract(b, UNIT, 1)), F.lit("")).alias("unit"), _date(b, 1).alias("start_date"),
-        _date(b, 2).alias("end_date"), _place(b).alias("location"), _distinct(tasks).alias("responsibilities"), _distinct(F.regexp_extract_all(b, F.lit(f"(?iU){DEPLOYED}"), F.lit(0))).alias("deployments"),
+    fields = lambda d: F.struct(
+        _first(b, BRANCHES).alias("branch"), _first(b, RANKS).alias("rank"), F.nullif(stripped(F.regexp_extract(b, UNIT, 1)), F.lit("")).alias("unit"), _year(d["start"]).alias("start_date"),
+        _year(d["end"]).alias("end_date"), _place(b).alias("location"), _distinct(tasks).alias("responsibilities"), _distinct(F.regexp_extract_all(b, F.lit(f"(?iU){DEPLOYED}"), F.lit(0))).alias("deployments"),
         _distinct(_matches(b, AWARDS)).alias("awards"), _distinct(clear).alias("clearances"),
         _distinct(F.concat(F.regexp_extract_all(b, F.lit(r"\b(\d{2}[A-Z]{1,2})\b"), F.lit(1)), _matches(b, TRAINING))).alias("training"),
     )
-    return let(fields, lambda e: F.struct(*[e[n].alias(n) for n in FIELDS], score(e).alias("confidence")))
+    return let(let(_dates(b), fields), lambda e: F.struct(*[e[n].alias(n) for n in FIELDS], score(e).alias("confidence")))
 
 
 FIELDS = ("branch", "rank", "unit", "start_date", "end_date", "location", "responsibilities", "deployments", "awards", "clearances", "training")
@@ -130,11 +139,12 @@ def _section_blocks(text: Column) -> Column:
     parts = F.transform(F.split(text, r"\n\s*\n"), lambda b: stripped(b))
     marked = F.transform(parts, lambda b: F.struct(b.alias("b"), (F.rlike(b, F.lit(heading)) & ~F.rlike(b, F.lit(listed))).alias("opens"), F.rlike(b, F.lit(capitals)).alias("closes")))
     # a block is inside if the last block that opens or closes a section, itself included, opens one
-    inside = F.aggregate(
-        marked, F.struct(F.lit(False).alias("on"), F.array().cast("array<boolean>").alias("all")),
+    inside = lambda ms: F.aggregate(
+        ms, F.struct(F.lit(False).alias("on"), F.array().cast("array<boolean>").alias("all")),
         lambda s, m: let(F.when(m["opens"], True).when(m["closes"], False).otherwise(s["on"]), lambda on: F.struct(on.alias("on"), F.concat(s["all"], F.array(on)).alias("all"))),
     )["all"]
-    kept = F.filter(F.zip_with(marked, inside, lambda m, on: F.when(on, F.when(m["opens"], stripped(F.regexp_replace(m["b"], rf"(?isU)^.*?{HEADING}", ""))).otherwise(m["b"]))), lambda b: b.isNotNull())
+    own = lambda m: F.when(m["opens"], stripped(F.regexp_replace(m["b"], rf"(?isU)^.*?{HEADING}", ""))).otherwise(m["b"])
+    kept = let(marked, lambda ms: F.filter(F.zip_with(ms, inside(ms), lambda m, on: F.when(on, own(m))), lambda b: b.isNotNull()))
     return F.filter(kept, lambda b: F.length(b) > SHORTEST_BLOCK)
 
 

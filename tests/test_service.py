@@ -88,3 +88,10 @@ def test_of_tables(spark):
             want[r.doc_id, k] = {n: "|".join(v) if isinstance(v, list) else v for n, v in e.items()}
     got = {(r.doc_id, r.place): {k: v for k, v in r.asDict().items() if k not in ("doc_id", "place")} for r in B.QUERIES["service_entries"](spark, d).collect()}
     assert got == want and len(got) > table(spark, d, "documents").count() / 2
+
+
+def test_entries_are_computed_once(spark):
+    from talentgrid import bindings_text as B
+
+    plan = B.QUERIES["service_entries"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan[plan.index("Generate") :]  # a filter below the rows would run the whole cascade again
