@@ -11,6 +11,8 @@ CUT = "\n...[truncated]"
 UNNAMED = "No candidate was named"
 #: The longest gram of the index of names.
 GRAM = 3
+#: Parts of the names that hold a gram, so that a frequent one isn't one task's.
+PARTS = 16
 
 
 def squeezed(c: Column) -> Column:
@@ -41,7 +43,11 @@ def candidates_asked(asks: DataFrame, candidates: DataFrame) -> DataFrame:
     index = names.select("_id", "_name", F.explode(F.concat(*(grams(F.col("_name"), k) for k in range(1, GRAM + 1)))).alias("_gram")).join(wanted.select("_gram").distinct(), "_gram", "left_semi")
     counts = index.groupBy("_gram").agg(F.count("*").alias("_n"))
     rarest = wanted.join(counts, "_gram", "left").groupBy("_ask", "_low").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_least"))
-    near = rarest.select("_ask", "_low", F.col("_least.g").alias("_gram")).join(index, "_gram").where(F.col("_name").contains(F.col("_low"))).groupBy("_ask").agg(F.min("_id").alias("_id"))
+    # the names are never sent to all executors, whatever size they are taken for: only those with a chosen gram move, in parts
+    chosen = rarest.select("_ask", "_low", F.col("_least.g").alias("_gram"))
+    held = index.join(chosen.select("_gram").distinct(), "_gram", "left_semi").withColumn("_part", F.pmod(F.hash("_id"), F.lit(PARTS)))
+    spread = chosen.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    near = spread.join(held.hint("merge"), ["_gram", "_part"]).where(F.col("_name").contains(F.col("_low"))).groupBy("_ask").agg(F.min("_id").alias("_id"))
     found = asked.join(exact.unionByName(near), "_ask", "left")
     missing = F.concat(F.lit("No candidate found matching '"), "_ask", F.lit("'"))
     error = F.when(F.col("_ask") == "", UNNAMED).when(F.col("_id").isNull(), missing)

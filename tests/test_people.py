@@ -100,3 +100,10 @@ def test_checked_fields(spark):
     changes = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(cases)], "k int, job_id long, fields array<string>, department string, requisition_number string")
     got = {r.k: (r.department, r.requisition_number, r.status, r.detail) for r in lookup.checked_fields(changes, jobs, listed).collect()}
     assert got == {k: c[4] for k, c in enumerate(cases)}
+
+
+def test_names_asked_for_are_not_broadcast(spark):
+    asks, people = spark.createDataFrame([("ann",)], "ask string"), spark.createDataFrame([(1, "Joann")], "id long, name string")
+    plan = lookup.candidates_asked(asks, people)._jdf.queryExecution().executedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Contains" in line or "_part" in line and "Join" in line)
+    assert "SortMergeJoin" in join
