@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+
+from talentgrid.sources.batches import lean, slices
 
 SKIPPED = ("script", "style", "nav", "header", "footer", "aside", "form", "noscript")
 CHUNK, OVERLAP = 1000, 200
@@ -40,16 +41,17 @@ class _Text(HTMLParser):
 def page_texts(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """(key, title, text) of each page, without scripts, navigation, headers and footers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             out = []
-            for page in batch[html]:
+            for page in batch.column(1).to_pylist():
                 reader = _Text()
                 reader.feed(page or "")
                 out.append("\n".join(reader.parts))
-            yield pd.DataFrame({key: batch[key], "title": batch["title"], "text": out})
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.string())], [key, "title", "text"])
 
-    return pages.select(key, html, title(F.col(html)).alias("title")).mapInPandas(run, f"`{key}` {dict(pages.dtypes)[key]}, title string, text string")
+    lean(pages.sparkSession)
+    return pages.select(key, html, title(F.col(html)).alias("title")).mapInArrow(run, f"`{key}` {dict(pages.dtypes)[key]}, title string, text string")
 
 
 def pieces(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
@@ -71,12 +73,16 @@ def pieces(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     return out
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def pieces_of(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: pieces(t or ""))
-
-
 def chunks(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, chunk_id, chunk, total) of each text."""
-    cut = df.select(key, pieces_of(F.col(text)).alias("_c"))
-    return cut.select(key, F.size("_c").alias("total"), F.posexplode("_c").alias("chunk_id", "chunk")).select(key, "chunk_id", "chunk", "total")
+    """(key, chunk_id, chunk, total) of each text. Pieces leave a worker slice by slice, so no column of lists is built."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            cut = [pieces(t or "") for t in batch.column(1).to_pylist()]
+            owner = pa.array([i for i, ps in enumerate(cut) for _ in ps], pa.int32())
+            numbers, totals = [i for ps in cut for i in range(len(ps))], [len(ps) for ps in cut for _ in ps]
+            columns = [batch.column(0).take(owner), pa.array(numbers, pa.int32()), pa.array([p for ps in cut for p in ps], pa.string()), pa.array(totals, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "chunk_id", "chunk", "total"])
+
+    lean(df.sparkSession)
+    return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, chunk_id int, chunk string, total int")
