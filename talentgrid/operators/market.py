@@ -93,10 +93,15 @@ def whole(pattern: Column) -> Column:
     return F.concat(F.lit("(?<![a-z0-9])(?:"), pattern, F.lit(")(?![a-z0-9])"))
 
 
+def words_of(skill: Column) -> Column:
+    """The words of a skill between separators; the skill itself where there are none."""
+    words = F.filter(F.split(skill, r"[/\-\s_]+"), lambda w: w != "")
+    return F.when(F.size(words) > 0, words).otherwise(F.array(skill))
+
+
 def flexible(skill: Column) -> Column:
     """The pattern of a skill in running text: any separators between its words or none, a plural s."""
-    words = F.filter(F.split(skill, r"[/\-\s_]+"), lambda w: w != "")
-    words = F.transform(F.when(F.size(words) > 0, words).otherwise(F.array(skill)), literal)
+    words = F.transform(words_of(skill), literal)
     return whole(F.concat(F.array_join(words, r"[\s\-/_]+"), F.lit("s?|"), F.array_join(words, ""), F.lit("s?")))
 
 
@@ -133,12 +138,14 @@ def aligned(pairs: DataFrame, candidates: DataFrame, markets: DataFrame, least:
     closest = closest.groupBy("candidate_id", "title").agg(F.collect_set("hit.skill").alias("near"))
     rows = rows.join(closest, ["candidate_id", "title"], "left").withColumn("near", F.coalesce("near", none))
 
-    held = lambda skill: F.exists("parts", lambda p: F.rlike(p, whole(literal(skill))))
+    # a pattern that differs from row to row is compiled each time, so it is only made where the string it needs is there
+    held = lambda skill: F.exists("parts", lambda p: F.contains(p, skill) & F.rlike(p, whole(literal(skill))))
+    told = lambda skill: F.contains(F.col("haystack"), F.get(words_of(skill), F.lit(0))) & F.rlike("haystack", flexible(skill))
     expanded = F.filter("market", lambda m: F.array_contains("near", m) | held(m))
     rows = rows.withColumn("own", F.when(F.size(expanded) > 0, expanded).otherwise(F.col("listed")))
     other_text = F.lit(False)
     named = lambda table, hit: lambda m: _any([(m == skill) & hit(pattern) for skill, pattern in table.items()], other_text)
-    in_text = F.filter("market", lambda m: F.rlike("haystack", flexible(m)) | named(V.SKILLS_IN_TEXT, lambda p: F.rlike("haystack", F.lit(p)))(m))
+    in_text = F.filter("market", lambda m: told(m) | named(V.SKILLS_IN_TEXT, lambda p: F.rlike("haystack", F.lit(p)))(m))
     rows = rows.withColumn("own", F.array_union("own", in_text))
     alias = F.filter("market", lambda m: named(V.SKILL_ALIASES, lambda p: F.exists("own", lambda s: F.rlike(s, F.lit(p))))(m))
     rows = rows.withColumn("own", F.array_union("own", alias))

@@ -5,6 +5,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from talentgrid.functions import vocabulary as V
 from talentgrid.operators import market, nearmatch
@@ -147,3 +148,15 @@ def test_near_terms_of_tables(spark):
     got = QUERIES["near_terms"](spark, d).collect()
     assert len(got) == len(want) and {(r.term, r.spelling) for r in got} == want
     assert all(r.documents == sum(r.spelling in own for own in docs) for r in got)
+
+
+def test_patterns_are_made_only_where_their_string_is(spark):
+    from talentgrid.operators import market
+
+    asked = spark.createDataFrame([(1, "t")], "candidate_id int, title string")
+    people = spark.createDataFrame([(1, ["machine tools", "c plus"], "we dye blue - green, and red.")], "candidate_id int, skills array<string>, text string")
+    wanted = spark.createDataFrame([("t", ["machine", "blue green", "achin", "rust"])], "title string, skills array<string>")
+    found = market.aligned(asked, people, wanted).first()
+    assert found.matching_skills == ["blue green", "machine"] and found.missing_skills == ["achin", "rust"]
+    words = spark.createDataFrame([("node-js",), ("- ",)], "s string").select(market.words_of(F.col("s")))
+    assert [r[0] for r in words.collect()] == [["node", "js"], ["- "]]
