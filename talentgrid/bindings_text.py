@@ -15,7 +15,7 @@ from talentgrid.functions import sections as S
 from talentgrid.functions import service
 from talentgrid.sources import pages as P
 from talentgrid.sources.structs import JOB, Field, structs
-from talentgrid.sources.tables import table
+from talentgrid.sources.tables import spread, table
 
 #: First letters of lines of at most 90 characters, and the headings that take the lines' place.
 HEADED = (
@@ -76,7 +76,7 @@ def spoiled(spark, d):
     text = F.col("text")
     for a, b in SPOILED:
         text = F.replace(text, F.lit(a), F.lit(b))
-    return table(spark, d, "documents").select("doc_id", text.alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.alias("text"))
 
 
 def _clean_sql() -> str:
@@ -95,7 +95,7 @@ def _clean_sql() -> str:
 
 @query("clean_deep", f"WITH {_clean_sql()} SELECT doc_id, x AS cleaned, length(original) - length(x) AS char_reduction FROM s{len(C.STEPS)}")
 def clean_deep(spark, d):
-    found = C.cleaned(spoiled(spark, d))
+    found = C.cleaned(spoiled(spark, d), counts=False)
     return found.select("doc_id", "cleaned", C.quality(F.col("original"), F.col("cleaned"))["char_reduction"].cast("long").alias("char_reduction"))
 
 

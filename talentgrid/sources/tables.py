@@ -18,6 +18,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Tasks a core that rows of costly work are dealt to.
+TASKS = 4
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to tasks by their key: a file's row group is read by one task, however many texts it holds."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * TASKS, key)
+
+
 def jdbc(spark: SparkSession, url: str, name: str, column: str, low: int, high: int, parts: int) -> DataFrame:
     """A database table, read in parallel ranges of a numeric column."""
     return spark.read.jdbc(url, name, column=column, lowerBound=low, upperBound=high, numPartitions=parts)

@@ -68,3 +68,24 @@ def test_of_tables(spark):
         assert (got[i].word_count_original, got[i].word_count_cleaned) == (len(text.split()), len(clean.split()))
         seen = {n: (seen[n] or 0) + changes[n] for n in seen}
     assert all(seen[n] for n in ("financial", "merged", "terms", "phrases", "deep", "normal"))  # merged words are split before companies are looked for
+
+
+def test_strings_that_rules_need(spark):
+    from functools import reduce
+
+    texts = ["DEVELOPandexecute", "BUİLTAND deveſignedand buıltand maİntaıning75", "ſpendfrom Kelvin xſKillſy mysKillsy", "hireſD hİresd", "éskıllsé xskıllsy", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    state = lambda rule: C._ruled(F.struct(F.col("text"), F.lit(0).alias("n"), C.lowered(F.col("text")).alias("low")), *rule, rule[0] in C.NEEDED_LOW, True)
+    for rule in [r for _, rules, _ in C.STEPS for r in rules if r[0] in C.NEEDED_LOW]:
+        java = C.unicode(rule[0])
+        for r in df.select("text", state(rule).alias("s"), F.regexp_replace("text", java, rule[1]).alias("put"), F.regexp_count("text", F.lit(java)).alias("n")).collect():
+            assert r.s.text == r.put and (r.text is None or r.s.n == r.n), (rule, r.text)
+    odd = spark.range(128, 0x10000).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c")).where(F.col("c").rlike("(?iU)^[a-z]$"))
+    assert {r.c for r in odd.collect()} == set(C.ALSO_ASCII)
+    assert all(reduce(lambda a, b: a + b, [p in t for t in (C.NEEDED, C.NEEDED_LOW)]) < 2 for _, rules, _ in C.STEPS for p, _ in rules)
+
+
+def test_texts_of_one_row_group_are_many_tasks(spark):
+    from talentgrid import bindings_text as B
+
+    assert B.spoiled(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
