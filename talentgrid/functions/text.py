@@ -24,15 +24,6 @@ def scrubbed(c: Column, name_parts: tuple[str, ...] = ()) -> Column:
     return c
 
 
-def scrub_counts(c: Column) -> Column:
-    """How many addresses, links and phone numbers ``scrubbed`` replaces."""
-    emails = F.regexp_count(c, F.lit(V.EMAIL))
-    c = F.regexp_replace(c, V.EMAIL, V.EMAIL_GONE)
-    links = F.regexp_count(c, F.lit(V.LINK))
-    phones = F.regexp_count(F.regexp_replace(c, V.LINK, V.LINK_GONE), F.lit(V.PHONE))
-    return F.struct(emails.alias("emails"), links.alias("links"), phones.alias("phones"))
-
-
 def name_parts(c: Column) -> Column:
     """The full name and its parts of two characters or more."""
     parts = F.filter(F.transform(F.split(F.trim(c), r"[\s,.]+"), lambda p: F.regexp_replace(p, r"^[()'\"]+|[()'\"]+$", "")), lambda p: F.length(p) >= 2)

@@ -36,17 +36,17 @@ def rewritten(c: Column, kind: Ty.DataType, f: Callable[[Column], Column]) -> Co
     return c
 
 
-def strings_of(c: Column, kind: Ty.DataType) -> Column:
-    """All strings of a value, as one array; keys of maps are none of them."""
-    none = F.array().cast("array<string>")
+def strings_of(c: Column, kind: Ty.DataType, leaf: str = "string") -> Column:
+    """All strings of a value, as one array; keys of maps are none of them. ``leaf`` is the type of what stands where kind has strings."""
+    none = F.array().cast(f"array<{leaf}>")
     if isinstance(kind, Ty.StringType):
         out = F.array(c)
     elif isinstance(kind, Ty.ArrayType):
-        out = F.flatten(F.transform(c, lambda x: strings_of(x, kind.elementType)))
+        out = F.flatten(F.transform(c, lambda x: strings_of(x, kind.elementType, leaf)))
     elif isinstance(kind, Ty.MapType):
-        out = F.flatten(F.transform(F.map_values(c), lambda x: strings_of(x, kind.valueType)))
+        out = F.flatten(F.transform(F.map_values(c), lambda x: strings_of(x, kind.valueType, leaf)))
     elif isinstance(kind, Ty.StructType) and kind.fields:
-        out = F.concat(*[strings_of(c[x.name], x.dataType) for x in kind.fields])
+        out = F.concat(*[strings_of(c[x.name], x.dataType, leaf) for x in kind.fields])
     else:
         return none
     return F.coalesce(F.filter(out, lambda s: s.isNotNull()), none)
@@ -79,6 +79,27 @@ def people_exchanged(c: Column, people: Column) -> Column:
     return let(entries, lambda es: let(F.map_from_entries(first(es)), lambda to: exchanged(c, names_pattern(F.map_keys(to)), to)))
 
 
+# ---------------------------------------------------------------- one string
+#: What ``scrub`` gives for a string.
+SCRUBBED = "struct<text: string, names: int, emails: int, links: int, phones: int>"
+
+
+def scrub(s: Column, pattern: Column) -> Column:
+    """The string without the names of a pattern, addresses, links and phone numbers, and how many of each there were; null for null.
+    Each search runs once, only where the string holds what a match needs, and counts where it changed something."""
+    replaced = lambda c, held, what, mark: F.when(held, F.regexp_replace(c, what, mark)).otherwise(c)
+    marks = lambda after, mark: ((F.length(after) - F.length(F.replace(after, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
+    # no mark overlaps itself, so where there was none before, those that are there now are the places that changed
+    places = lambda c, after, what, mark: F.when(F.contains(c, F.lit(mark)), F.regexp_count(c, what)).when(after == c, 0).otherwise(marks(after, mark))
+    names = lambda y: F.when(pattern.isNull(), 0).otherwise(places(s, y, pattern, V.NAME_GONE))
+    found = let(F.when(pattern.isNull(), s).otherwise(F.regexp_replace(s, pattern, F.lit(V.NAME_GONE))), lambda y: let(
+        replaced(y, F.contains(y, F.lit("@")), V.EMAIL, V.EMAIL_GONE), lambda e: let(
+            replaced(e, F.contains(e, F.lit(".")) | F.contains(e, F.lit("/")), V.LINK, V.LINK_GONE), lambda n: let(
+                replaced(n, F.rlike(n, F.lit(r"\d{4}")), V.PHONE, V.PHONE_GONE), lambda p: F.struct(
+                    p.alias("text"), names(y).alias("names"), places(y, e, F.lit(V.EMAIL), V.EMAIL_GONE).alias("emails"), places(e, n, F.lit(V.LINK), V.LINK_GONE).alias("links"), places(n, p, F.lit(V.PHONE), V.PHONE_GONE).alias("phones"))))))
+    return F.when(s.isNotNull(), found)
+
+
 # ---------------------------------------------------------------- whole rows
 def anonymized(df: DataFrame, key: str, personal: str = "personal_info") -> DataFrame:
     """(key, safe, report): the row's other columns as one struct without identifying fields, every string scrubbed of the
@@ -96,15 +117,15 @@ def anonymized(df: DataFrame, key: str, personal: str = "personal_info") -> Data
     pattern = names_pattern(F.array_distinct(T.name_parts(name)))
     rows = df.select(F.col(key), safe.alias("_safe"), pattern.alias("_pattern"), F.col(personal).alias("_personal"))
 
-    def nameless(s: Column) -> Column:
-        return F.when(F.col("_pattern").isNull(), s).otherwise(F.regexp_replace(s, F.col("_pattern"), F.lit(V.NAME_GONE)))
-
     removed = F.filter(F.array(*[F.when(F.coalesce(F.col("_personal")[f], F.lit("")) != "", F.lit(f)) for f in IDENTIFYING if f in fields]), lambda f: f.isNotNull())
-    total = lambda xs, n: F.aggregate(xs, F.lit(0), lambda a, s: a + n(s))
-    mentions = lambda s: F.when(F.col("_pattern").isNull(), 0).otherwise(F.regexp_count(s, F.col("_pattern")))
-    found = let(strings_of(F.col("_safe"), kind), lambda xs: F.struct(
-        total(xs, mentions).alias("names"), F.transform(xs, lambda s: T.scrub_counts(nameless(s))).alias("counts")))
-    counted = let(found, lambda x: F.struct(
-        removed.alias("identifying_fields_removed"), x["names"].alias("name_mentions_scrubbed"), total(x["counts"], lambda c: c["emails"]).alias("emails_scrubbed"),
-        total(x["counts"], lambda c: c["phones"]).alias("phones_scrubbed"), total(x["counts"], lambda c: c["links"]).alias("links_scrubbed")))
-    return rows.select(key, rewritten(F.col("_safe"), kind, lambda s: T.scrubbed(nameless(s))).alias("safe"), counted.alias("report"))
+    total = lambda xs, n: F.aggregate(xs, F.lit(0), lambda a, s: a + s[n])
+
+    def counted(marked: Column) -> Column:
+        return let(strings_of(marked, kind, SCRUBBED), lambda xs: F.struct(
+            removed.alias("identifying_fields_removed"), total(xs, "names").alias("name_mentions_scrubbed"), total(xs, "emails").alias("emails_scrubbed"),
+            total(xs, "phones").alias("phones_scrubbed"), total(xs, "links").alias("links_scrubbed")))
+
+    # every string is searched once: what stands in its place holds both its text and its counts
+    both = lambda marked: F.struct(rewritten(marked, kind, lambda s: s["text"]).alias("safe"), counted(marked).alias("report"))
+    done = let(rewritten(F.col("_safe"), kind, lambda s: scrub(s, F.col("_pattern"))), both)
+    return rows.select(key, done.alias("_done")).select(key, "_done.safe", "_done.report")

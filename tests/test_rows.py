@@ -172,3 +172,16 @@ def test_merged_documents(spark):
     got = {r.id: (json.loads(r.document), r.replaced) for r in merging.merged_documents(side(stored), twice, "id").collect()}
     assert got == want
     assert merging.merged_documents(side(stored).limit(0), side(confirmed), "id").count() == 0
+
+
+def test_each_string_is_searched_once(spark):
+    rows = [(f"The Candidate{x} the candidate [email removed] a@b.co [phone removed] 415-555-0142, www.a.b [link removed] [link removed]",) for x in ("", " Ann", " ann's anne")] + [("",), (None,), ("ANN" * 3,), ("Ann-Ann",)]
+    df = spark.createDataFrame(rows, "s string")
+    for names in (["Ann"], ["the candidate"], None):
+        pattern = privacy.names_pattern(F.array(*map(F.lit, names))) if names else F.lit(None).cast("string")
+        for r in df.select("s", privacy.scrub(F.col("s"), pattern).alias("x")).collect():
+            counts = dict.fromkeys(("names", "emails", "links", "phones"), 0)
+            want = r.s
+            for key, what, mark in (*([("names", r"(?i)\b" + names[0] + r"\b", V.NAME_GONE)] if names else []), ("emails", V.EMAIL, V.EMAIL_GONE), ("links", V.LINK, V.LINK_GONE), ("phones", V.PHONE, V.PHONE_GONE)):
+                want, counts[key] = re.subn(what, mark, want) if want is not None else (None, 0)
+            assert r.x is None if r.s is None else (r.x.text, {k: r.x[k] for k in counts}) == (want, counts)
