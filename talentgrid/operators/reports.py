@@ -65,12 +65,21 @@ def lasted(rows: DataFrame) -> DataFrame:
 
 def funnel(rows: DataFrame, one_job: bool = False) -> DataFrame:
     """Per round: how many applications ever reached it, how many are there now, and the share of all applications."""
-    total = rows.agg(F.count_distinct("application_id").alias("total"))
-    reached = F.when(F.col("status").isin(*V.REACHED), F.col("application_id"))
-    here = F.when((F.col("status") == "in_progress") & (F.col("application_status") == "active"), F.col("application_id"))
-    by = rows.where("stage_kind = 'round'").groupBy("stage_key").agg(F.min("position").alias("position"), F.min("stage_name").alias("stage_name"), F.count_distinct(reached).alias("ever"), F.count_distinct(here).alias("here"))
+    known, rounds = F.col("application_id").isNotNull(), F.col("stage_kind") == "round"
+    reached = known & rounds & F.col("status").isin(*V.REACHED)
+    here = known & rounds & (F.col("status") == "in_progress") & (F.col("application_status") == "active")
+    # an application's rows of one stage become one by a sort, which spills, where distinct counts would keep every application in a hash map for
+    # each of them; what is sorted has no more columns than it needs
+    flags = F.when(rounds, 1).otherwise(0).bitwiseOR(F.when(reached, 2).otherwise(0)).bitwiseOR(F.when(here, 4).otherwise(0))
+    lean = rows.select("application_id", "stage_key", F.when(rounds, F.col("stage_name")).alias("stage_name"), F.when(rounds, F.col("position")).alias("position"), flags.alias("_flags"))
+    each = lean.groupBy("application_id", "stage_key").agg(F.min("position").alias("position"), F.min("stage_name").alias("stage_name"), F.bit_or("_flags").alias("_flags"))
+    has = lambda flag: F.col("_flags").bitwiseAND(F.lit(flag)) != 0
+    first = F.row_number().over(Window.partitionBy("application_id").orderBy("stage_key")) == 1
+    by = each.withColumn("first", first & known).groupBy("stage_key").agg(
+        F.max(has(1)).alias("round"), F.min("position").alias("position"), F.min("stage_name").alias("stage_name"), counted(has(2)).alias("ever"), counted(has(4)).alias("here"), counted(F.col("first")).alias("first"))
+    by = by.withColumn("total", F.sum("first").over(Window.partitionBy())).where("round")  # as many rows as there are stages
     share = F.when(F.col("total") > 0, F.round(F.col("ever") / F.col("total"), 3)).otherwise(0.0)
-    return by.join(F.broadcast(total)).select("stage_key", L.stage_name(F.col("stage_key"), F.col("stage_name"), one_job).alias("stage_name"), "position", "ever", "here", share.alias("share")).orderBy("position", "stage_key")
+    return by.select("stage_key", L.stage_name(F.col("stage_key"), F.col("stage_name"), one_job).alias("stage_name"), "position", "ever", "here", share.alias("share")).orderBy("position", "stage_key")
 
 
 def time_in_stage(rows: DataFrame) -> DataFrame:

@@ -89,3 +89,13 @@ def test_rank_of_nulls(spark):
     got = {r.i: r["rank"] for r in ranking.ranked(spark.createDataFrame(rows, "i int, v double"), None, "v", "i").collect()}
     order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {i: n for n, (i, _) in enumerate(order, 1)}
+
+
+def test_funnel_counts_by_a_sort(spark):
+    cols = "application_id long, stage_key string, stage_kind string, status string, application_status string, position int, stage_name string"
+    data = [(1, "a", "round", "passed", "active", 2, "B"), (1, "a", "round", "in_progress", "active", 1, "C"), (1, "a", "other", "passed", "active", 0, "A"), (2, "a", "round", "pending", "active", 3, None),
+            (2, "b", "other", "passed", "active", 0, "x"), (None, "a", "round", "passed", "active", 4, "D"), (3, "c", "round", "in_progress", "hired", 5, "E"), (None, "d", "round", "passed", "active", 6, "F")]
+    found = R.funnel(spark.createDataFrame(data, cols))
+    assert [(r.stage_key, r.position, r.ever, r.here, r.share) for r in found.collect()] == [("a", 1, 1, 1, 0.333), ("c", 5, 1, 0, 0.333), ("d", 6, 0, 0, 0.0)]
+    assert R.funnel(spark.createDataFrame(data[:0], cols)).count() == 0
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
