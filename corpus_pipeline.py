@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talentgrid.llm import bpe, decontam, jaccard, quality, secrets
-from talentgrid.llm.common import stored
+from talentgrid.llm.common import release, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -66,4 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        release(spark)  # models, plans and shuffle files of the stage
     return docs

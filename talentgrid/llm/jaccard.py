@@ -225,17 +225,19 @@ def merged(found: DataFrame | None, new: DataFrame) -> DataFrame:
     """Components of what was found and of new links (a written table)."""
     if found is not None and new.isEmpty():
         return found
-    return components(new if found is None else found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(new.select("a", "b")))
+    links = new if found is None else found.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(new.select("a", "b"))
+    return stored(components(links), "components")
 
 
 def connected(members: DataFrame, held: DataFrame) -> DataFrame:
-    """(id, component_id) of every set that links with another; components are named by their smallest sid."""
+    """(id, component_id) of every set that links with another; components are named by their smallest sid. What a later
+    plan reads several times is written first: a plan that holds all steps so far would fill the driver."""
     found, last, step = None, None, 0
     while True:
         stars = members.join(pivots(members, step), "region").withColumn("b", F.col("sid")).where("a <> b")
         got = stored(measured(stars.select("a", "b").distinct(), held), "measured")
         found = merged(found, got.where("link").select("a", "b"))
-        stars = stars.join(got.select("a", "b", "d"), ["a", "b"])
+        stars = stored(stars.join(got.select("a", "b", "d"), ["a", "b"]), "stars")
         if step:  # what was cut before has several pivots
             settled = pivots(members, step).withColumnRenamed("a", "sid")
             rest = cut(stars).join(settled.select(F.col("region").alias("whole"), "sid"), ["whole", "sid"], "left_anti")
@@ -244,13 +246,14 @@ def connected(members: DataFrame, held: DataFrame) -> DataFrame:
         else:  # all but the pivot, whose part is done
             rest = undecided(stars.select("region", "sid", "n", "alone", "place", "d"), found).withColumn("before", F.lit(1 << 62))
         rest = stored(rest, "regions")
+        discard(stars)
         ends = (F.col("m") <= LEAF) | (F.col("m") > SHRUNK * F.col("before"))
         done = rest.where(ends).drop("m", "before", "comp")
         last = done if last is None else last.unionByName(done)
         members, step = rest.where(~ends).drop("before", "d", "comp"), step + 1
         if members.isEmpty():
             break
-    last = undecided(last, found).withColumn("cell", F.floor(F.col("d") * UNDER / (UNDER - OVER)))
+    last = stored(undecided(stored(last, "leaves"), found), "open").withColumn("cell", F.floor(F.col("d") * UNDER / (UNDER - OVER)))
     a, b = (last.select("region", *(F.col(c).alias(t + k) for c, t in (("sid", ""), ("comp", "c"), ("d", "d"), ("n", "n"), ("place", "p"))), "cell") for k in "ab")
     a = a.withColumn("cell", F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)))
     window = F.abs(F.col("da") - F.col("db")) <= (UNDER - OVER) / UNDER + EDGE

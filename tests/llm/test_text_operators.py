@@ -122,6 +122,28 @@ def test_jaccard_of_one_large_group(spark, monkeypatch):
     assert len(asked) >= 3 and 0 < sum(p.count() for p in asked[:2]) < 150 * 149 / 4
 
 
+def test_jaccard_plans_stay_small(spark, monkeypatch):
+    """No plan reads the tables of all steps of the recursion many times over: its size is the driver's memory."""
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    monkeypatch.setattr(jaccard, "SHRUNK", 0.99)
+    read, real = {}, jaccard.stored
+
+    def counted(df, name):
+        read.setdefault(name, []).append(df._jdf.queryExecution().analyzed().toString().count("Relation ["))
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    dice = random.Random(6)
+    texts = []
+    for _ in range(60):
+        own = [f"w{k}" for k in range(110)]
+        for k in dice.sample(range(110), dice.randint(1, 8)):
+            own[k] = f"x{dice.randint(0, 30)}"
+        texts.append(" ".join(own))
+    assert jaccard.classes(docs_of(spark, texts)).count() == len(texts)
+    assert len(read["regions"]) >= 2 and max(n for own in read.values() for n in own) <= 24, read
+
+
 def test_components_of_paths(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (5, 5), (None, 3)], "a long, b long")
     got = {r.id: r.component_id for r in components(links).collect()}
