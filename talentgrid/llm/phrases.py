@@ -5,12 +5,14 @@ class of phrases that end at the same places, a state's link leads to the class
 that has more places. It is built level by level for all places at once: places whose last k words agree are one node,
 and a node that has as many places as the one it grew from is the same state.
 
-Every phrase of a frequent phrase is frequent. So the automata grow in rounds (words, then depths 2, 3 and 5), and in each round only
-runs of words are read whose phrases of the round before can be frequent. This is asked of a filter of bounded size
-that knows every frequent phrase and some others by accident: it saves work and never decides a result.
+Every phrase of a frequent phrase is frequent. So the automata grow in rounds (words, then depths 3 and 5), and in each round only
+runs of words are read whose phrases of the round before can be frequent. Frequent words are known exactly, frequent phrases
+by a filter of bounded size that knows all of them and some others by accident: it saves work and never decides a result.
+Pairs don't decide what the round of triples reads: how many of them are frequent grows faster than the corpus, and so would its rows.
 
 Words are named by 64-bit hashes of language and word. All words of the corpus are counted by their text first, and where a
-frequent name is shared by two words another seed is taken; so names are exact in all that follows.
+frequent name is shared by two words another seed is taken; so names are exact. In all that follows a frequent word is its place
+among the sorted names, from 1, and a phrase is packed into as few longs as these places need, three words each below two million.
 
 Defined results: null texts are empty, null languages are ``und``. Repeated rows count as often as they stand. Equal
 scores rank by count, then by the phrase's bytes. An empty table, or one without frequent phrases, gives no rows.
@@ -24,14 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentgrid.llm.common import BROADCAST_ROWS, discard, hashes, long_of, mixed, offsets_of, slices, stored
 
 LEAST, TOP, LONGEST = 100, 2000, 5
 #: Depths of the automata, round by round.
-ROUNDS = (2, 3, 5)
+ROUNDS = (3, 5)
 #: Words of a shard, and bytes of text that are cut into words at once.
 SHARD_WORDS, TEXT_BYTES = 1 << 18, 2 << 20
 #: Bits of the filter of frequent phrases, at most (8 MB), and bits for each phrase below that.
@@ -72,15 +74,24 @@ class Words:
         self.lang = lang.indices.to_numpy()[self.owner]
         self.names, self.code = coded.dictionary, coded.indices.to_numpy()
 
-    def symbols(self, seed: int) -> np.ndarray:
-        """The name of each word in its language."""
-        return named(hashes(self.names)[self.code], hashes(self.lang_names)[self.lang], seed)
+    def symbols(self, vocabulary: np.ndarray, seed: int) -> np.ndarray:
+        """The number of each word in its language, 0 for words that aren't frequent."""
+        word, lang = hashes(self.names), hashes(self.lang_names)
+        if len(word) * len(lang) > len(self.code):
+            return numbers(named(word[self.code], lang[self.lang], seed), vocabulary)
+        return numbers(named(word[None, :], lang[:, None], seed).ravel(), vocabulary)[self.lang.astype(np.int64) * len(word) + self.code]
 
 
 def named(word: np.ndarray, lang: np.ndarray, seed: int) -> np.ndarray:
     return mixed(word * _MIX[0] + mixed(lang + np.uint64(seed)))
 
 
+def numbers(names: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Places of names in the sorted vocabulary, from 1; 0 for those it lacks."""
+    at = np.minimum(np.searchsorted(vocabulary, names), max(0, len(vocabulary) - 1))
+    return np.where(vocabulary[at] == names, at + 1, 0).astype(np.uint64) if len(vocabulary) else np.zeros(len(names), np.uint64)
+
+
 def batches_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch in batches:
         for part in slices(batch, "text", TEXT_BYTES):
@@ -134,6 +145,30 @@ class Automaton:
         return np.stack(out[::-1], 1)
 
 
+# ---------------------------------------------------------------- phrases as longs
+def width(size: int) -> int:
+    """Bits of a word's number where there are ``size`` frequent words."""
+    return max(1, int(size).bit_length())
+
+
+def packed(rows: np.ndarray, bits: int, columns: int) -> list[np.ndarray]:
+    """``columns`` longs for each phrase (a row of numbers); the first word is in the lowest bits, what a phrase lacks is 0."""
+    each, out = 63 // bits, []
+    for c in range(columns):
+        total = np.zeros(len(rows), np.uint64)
+        for j, number in enumerate(rows[:, c * each : (c + 1) * each].T):
+            total |= number.astype(np.uint64) << np.uint64(j * bits)
+        out.append(long_of(total))
+    return out
+
+
+def unpacked(names: list[str], bits: int, depth: int) -> Column:
+    """The array of the numbers of a phrase that was packed into these columns."""
+    each = 63 // bits
+    number = lambda j: F.shiftright(names[j // each], j % each * bits).bitwiseAND((1 << bits) - 1)
+    return F.filter(F.array(*map(number, range(depth))), lambda x: x != 0)
+
+
 # ---------------------------------------------------------------- filters of frequent phrases
 def bucket_keys(symbols: np.ndarray, k: int) -> np.ndarray:
     """A hash of every run of k symbols, by where it begins."""
@@ -158,45 +193,45 @@ class Filter:
 
 
 def filter_of(frequent: DataFrame, k: int) -> Filter:
-    """The filter of all phrases in ``frequent`` (columns w1 to wk); it is put together by Spark and has a bounded size."""
+    """The filter of all phrases in ``frequent`` (arrays p of k numbers); it is put together by Spark and has a bounded size."""
     size = frequent.count()
     bits = min(FILTER_BITS, max(10, int(size * BITS_EACH).bit_length()))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            symbols = np.stack([batch.column(j).to_numpy().view(np.uint64) for j in range(k)])
-            total = np.zeros(symbols.shape[1], np.uint64)
+            symbols = batch.column(0).flatten().to_numpy().view(np.uint64).reshape(-1, k)
+            total = np.zeros(len(symbols), np.uint64)
             for j in range(k):
-                total += symbols[j] * _MIX[j]
+                total += symbols[:, j] * _MIX[j]
             slot = mixed(total) & np.uint64((1 << bits) - 1)
             yield pa.RecordBatch.from_pydict({"word": (slot >> np.uint64(6)).astype(np.int32), "bit": long_of(np.uint64(1) << (slot & np.uint64(63)))})
 
-    words = frequent.select(*[f"w{j + 1}" for j in range(k)]).mapInArrow(slots, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = frequent.select("p").mapInArrow(slots, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
     found = words.toArrow()  # 12 bytes for each 64 bits at most
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return Filter(out, k)
 
 
-def runs_of(words: Words, seed: int, known: list[Filter]) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, whether a run begins there) of the runs in which all phrases may be frequent that the last filter knows;
-    runs that are no longer than that filter's phrases are left out, their counts are known."""
-    symbols, opens = words.symbols(seed), words.opens
-    last = known[-1]
-    for i, f in enumerate(known):  # the short filters clear most of the ground
-        n, k = len(symbols), f.k
+def runs_of(words: Words, seed: int, vocabulary: np.ndarray, known: list[Filter]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, whether a run begins there) of the runs in which all words are frequent and all phrases may be that the last
+    filter knows; runs that are no longer than its phrases (than one word) are left out, their counts are known."""
+    symbols, opens = words.symbols(vocabulary, seed), words.opens
+    for i in range(len(known) + 1):  # words clear most of the ground
+        k = known[i - 1].k if i else 1
+        n = len(symbols)
         if n < k:
             return symbols[:0], opens[:0]
         inside = np.ones(n - k + 1, bool)
         for j in range(1, k):
             inside &= ~opens[j : j + n - k + 1]
         good = np.zeros(n, bool)
-        good[: n - k + 1] = inside & f.has(symbols)
+        good[: n - k + 1] = inside & (known[i - 1].has(symbols) if i else symbols != 0)
         # a run is a stretch of places at which good phrases begin, and the k - 1 words behind it
         begins = good & (opens | ~np.concatenate([[False], good[:-1]]))
         ends = good & np.concatenate([opens[1:] | ~good[1:], [True]])
         start, size = np.flatnonzero(begins), np.flatnonzero(ends) - np.flatnonzero(begins) + k
-        if f is last:
+        if i == len(known):
             start, size = start[size > k], size[size > k]
         total = np.cumsum(size)
         take = np.arange(total[-1] if len(total) else 0) - np.repeat(total - size - start, size)
@@ -221,22 +256,23 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word string, w1 long, f long").groupBy("lang", "word", "w1").agg(F.sum("f").alias("f"))
 
 
-def phrase_counts(docs: DataFrame, seed: int, known: list[Filter], depth: int) -> DataFrame:
-    """(w1 .. w<depth>, f): every phrase longer than the last filter's, of at most ``depth`` words, that can be frequent, with its count."""
-    least = known[-1].k + 1
+def phrase_counts(docs: DataFrame, seed: int, vocabulary: np.ndarray, known: list[Filter], depth: int) -> DataFrame:
+    """(p, f): every phrase longer than the last filter's, of at most ``depth`` words, that can be frequent, with its count."""
+    least = known[-1].k + 1 if known else 2
+    bits = width(len(vocabulary))
+    names = [f"p{c + 1}" for c in range(-(-depth // (63 // bits)))]
 
     def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         shard = Automaton(np.concatenate([s for s, _ in parts]), np.concatenate([o for _, o in parts]), depth)
         for k in range(least, depth + 1):
             rows, count = shard.phrases(k), shard.levels[k - 1]["count"]
             if len(rows):
-                cols = {f"w{j + 1}": long_of(np.ascontiguousarray(rows[:, j])) if j < k else pa.nulls(len(rows), pa.int64()) for j in range(depth)}
-                yield pa.RecordBatch.from_pydict(cols | {"f": count.astype(np.int64)})
+                yield pa.RecordBatch.from_arrays([*map(pa.array, packed(rows, bits, len(names))), pa.array(count.astype(np.int64))], [*names, "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held = [], 0
         for w in batches_of_words(batches):
-            waiting.append(runs_of(w, seed, known))
+            waiting.append(runs_of(w, seed, vocabulary, known))
             held += len(waiting[-1][0])
             if held >= SHARD_WORDS:
                 yield from counted(waiting)
@@ -244,9 +280,20 @@ def phrase_counts(docs: DataFrame, seed: int, known: list[Filter], depth: int) -
         if held:
             yield from counted(waiting)
 
-    names = [f"w{j + 1}" for j in range(depth)]
-    rows = docs.mapInArrow(run, ", ".join(f"{w} long" for w in names) + ", f long")
-    return rows.groupBy(*names).agg(F.sum("f").alias("f"))
+    rows = docs.mapInArrow(run, ", ".join(f"{p} long" for p in names) + ", f long")
+    return rows.groupBy(*names).agg(F.sum("f").alias("f")).select(unpacked(names, bits, depth).alias("p"), "f")
+
+
+def numbered(common: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """The frequent words with their numbers as w1, and their sorted names: eight bytes for each go to the driver and to all tasks."""
+    vocabulary = np.sort(common.select("w1").toArrow()["w1"].to_numpy().view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = numbers(batch.column("w1").to_numpy().view(np.uint64), vocabulary)
+            yield batch.set_column(batch.schema.get_field_index("w1"), "w1", pa.array(long_of(number)))
+
+    return common.mapInArrow(run, common.schema), vocabulary
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -260,15 +307,16 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int) -> tuple[DataFra
         seed += 1
         discard(words)
     sizes = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
-    common = stored(words.where(F.col("f") >= least), "common")
+    named_words = stored(words.where(F.col("f") >= least), "named")
     discard(words)
+    common, vocabulary = numbered(named_words)
+    common = stored(common, "common")
+    discard(named_words)
     found = [common.select(F.array("w1").alias("p"), "f")]
-    known = [filter_of(common, 1)]
+    known: list[Filter] = []
     for depth in sorted({min(d, longest) for d in ROUNDS}):
-        counts = phrase_counts(docs, seed, known, depth).where(F.col("f") >= least)
-        names = [f"w{j + 1}" for j in range(depth)]
-        counts = stored(counts.withColumn("p", F.array_compact(F.array(*names))), f"phrases{depth}")
-        found.append(counts.select("p", "f"))
+        counts = stored(phrase_counts(docs, seed, vocabulary, known, depth).where(F.col("f") >= least), f"phrases{depth}")
+        found.append(counts)
         if depth < longest:
             known.append(filter_of(counts.where(F.size("p") == depth), depth))
     table = found[0]

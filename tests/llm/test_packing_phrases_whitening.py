@@ -155,6 +155,31 @@ def test_collocations(spark, monkeypatch, shard, top):
     assert len(got) == len(set(got)) and set(got) == plain_collocations(rows, 8, top)
 
 
+@pytest.mark.parametrize("bits", [25, 40])
+def test_phrases_in_several_longs(spark, monkeypatch, bits):
+    monkeypatch.setattr(phrases, "width", lambda size: bits)
+    rows = phrase_rows()[:120]
+    df = spark.createDataFrame([(i, t, g, 1, 2) for i, (t, g) in enumerate(rows)], DOCS)
+    assert {tuple(r) for r in phrases.collocations(df, least=6).collect()} == plain_collocations(rows, 6, 2000)
+
+
+def test_rows_of_a_round_grow_with_the_texts(spark, monkeypatch):
+    """Nearly all pairs are frequent in the larger table and none in the smaller one; the rounds' rows are in proportion to the words."""
+    made, real = {}, phrases.phrase_counts
+
+    def counted(*args):
+        found = real(*args)
+        made.setdefault(args[-1], []).append(found.count())
+        return found
+
+    monkeypatch.setattr(phrases, "phrase_counts", counted)
+    dice = np.random.default_rng(5)
+    for size in (80, 400):
+        texts = [" ".join(f"w{k}" for k in dice.integers(0, 40, 100)) for _ in range(size)]
+        phrases.collocations(spark.createDataFrame([(i, t, "en", 1, 2) for i, t in enumerate(texts)], DOCS), least=20)
+    assert made[3][1] > 20_000 and made[3][1] <= 6 * made[3][0], made
+
+
 def test_collocations_of_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([], DOCS)).count() == 0
     assert phrases.collocations(spark.createDataFrame([(1, "few words here", "en", 1, 1)], DOCS)).count() == 0
