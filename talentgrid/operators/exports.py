@@ -10,10 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from talentgrid.sources.tables import spread
+
 #: Why columns of a type are left out, and which columns name a member of the staff (fixed values).
 VECTOR = "search vector derived from the profile"
 BINARY = "binary data"
@@ -57,7 +59,7 @@ def owned(sections: list[Section]) -> dict[str, DataFrame]:
         parent = s.parent or first.name
         if parent not in out:
             raise ValueError(f"section {s.name} comes before its parent {parent}")
-        out[s.name] = s.rows.join(out[parent].select(F.col("id").alias(s.owner), _OWNER), s.owner)
+        out[s.name] = spread(s.rows, s.owner).join(out[parent].select(F.col("id").alias(s.owner), _OWNER), s.owner)
     return out
 
 
@@ -90,18 +92,33 @@ def kind_of(column: str) -> str | None:
     return {"job_id": "jobs", "stage_id": "stages"}.get(column) or ("staff" if column in STAFF else None)
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """Each (candidate_id, id) once, by a sort: a hash table of nearly all rows takes more memory than their sort. They are dealt anew
+    before it, so that a task holds this sort or those of the joins before, not both, and to a number of tasks: such lean rows
+    shuffle in few bytes, by which Spark would put many partitions into one task."""
+    n = F.row_number().over(Window.partitionBy("candidate_id", "id").orderBy("id"))
+    return spread(df, "candidate_id", "id").withColumn("_n", n).where("_n = 1").drop("_n")
+
+
 def references(sections: list[Section], names: dict[str, DataFrame]) -> DataFrame:
-    """(candidate_id, kind, id, name) of the ids that a person's records point at, where names (id, name) of that kind know them."""
-    rows, parts = owned(sections), []
+    """(candidate_id, kind, id, name) of the ids that a person's records point at, where names (id, name) of that kind know them.
+    Whole numbers stay numbers until each is there once: rows are lean where they are many."""
+    rows, kinds = owned(sections), {}
     for s in sections:
         hidden = left_out(s)
-        for c in s.rows.columns:
-            if c not in hidden and kind_of(c) in names:
-                parts.append(rows[s.name].where(F.col(c).isNotNull()).select(F.col(_OWNER).alias("candidate_id"), F.lit(kind_of(c)).alias("kind"), F.col(c).cast("string").alias("id")))
-    if not parts:
+        for f in s.rows.schema:
+            if f.name not in hidden and kind_of(f.name) in names:
+                id_ = F.col(f.name) if isinstance(f.dataType, Ty.IntegralType) else F.col(f.name).cast("string")
+                own = rows[s.name].where(F.col(f.name).isNotNull()).select(F.col(_OWNER).alias("candidate_id"), id_.alias("id"))
+                kinds.setdefault(kind_of(f.name), []).append(_once(own).withColumn("id", F.col("id").cast("string")))
+    if not kinds:
         return sections[0].rows.select(F.col("id").alias("candidate_id"), *(F.lit("").alias(c) for c in ("kind", "id", "name"))).limit(0)
-    known = reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.coalesce("name", F.lit("")).alias("name")) for kind, df in names.items()])
-    return reduce(DataFrame.unionByName, parts).distinct().join(known, ["kind", "id"]).select("candidate_id", "kind", "id", "name")
+    parts = []
+    for kind, found in kinds.items():
+        found = found[0] if len(found) == 1 else _once(reduce(DataFrame.unionByName, found))
+        known = names[kind].select(F.col("id").cast("string").alias("id"), F.coalesce("name", F.lit("")).alias("name"))
+        parts.append(found.join(known, "id").select("candidate_id", F.lit(kind).alias("kind"), "id", "name"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def field_label(column: str) -> str:

@@ -22,9 +22,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 TASKS = 4
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """Rows dealt to tasks by their key: a file's row group is read by one task, however many texts it holds."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * TASKS, key)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * TASKS, *key)
 
 
 def jdbc(spark: SparkSession, url: str, name: str, column: str, low: int, high: int, parts: int) -> DataFrame:

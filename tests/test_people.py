@@ -42,6 +42,16 @@ def test_omissions_and_references(spark):
     assert exports.omissions(bare).count() == exports.references(bare, names(spark)).count() == 0
 
 
+def test_references_of_lean_rows(spark):
+    """Whole numbers are made texts after each is there once, dealt by number of tasks; two columns of a kind give a reference once."""
+    twice = spark.createDataFrame([(5, 1, "u1", None), (6, 1, "u1", "u1"), (7, 2, None, "u1"), (8, 2, "u1", "nobody")], "id long, candidate_id long, author_id string, user_id string")
+    own = [*sections(spark), exports.Section("notes", "Notes", twice)]
+    got = sorted(tuple(r) for r in exports.references(own, names(spark)).collect())
+    assert got == [(1, "jobs", "7", "Chef"), (1, "staff", "u1", "Una"), (1, "stages", "1", "Call"), (2, "staff", "u1", "Una")]
+    plan = exports.references(sections(spark), names(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [candidate_id" in plan and "Aggregate" not in plan
+
+
 def test_lines_read_as_a_document(spark):
     rows = exports.lines(sections(spark), names(spark)).orderBy("candidate_id", "place", "id", "position").collect()
     told = {c: [r.line for r in rows if r.candidate_id == c] for c in (1, 2, 3)}
