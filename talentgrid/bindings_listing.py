@@ -12,23 +12,24 @@ from talentgrid.functions import labels as L
 from talentgrid.functions import profiles as P
 from talentgrid.functions import text as T
 from talentgrid.operators import listing, reports, search, stages, transitions
-from talentgrid.sources.tables import kind_of, table
+from talentgrid.sources.tables import kind_of, spread, table
 
 STATES = {1: "passed", 2: "in_progress", 3: "pending", 4: "failed"}
 STATES_SQL = "CASE l_linenumber WHEN 1 THEN 'passed' WHEN 2 THEN 'in_progress' WHEN 3 THEN 'pending' WHEN 4 THEN 'failed' ELSE 'skipped' END"
 
 
 def rows(spark, d):
-    """Stage rows with a status by line number; stage R is an outcome, every other supplier's rows are of a switched-off stage."""
+    """Stage rows with a status by line number; stage R is an outcome, every other supplier's rows are of a switched-off stage.
+    What a row's columns say is spelled out behind the join, so that it sorts and moves lean rows; tasks take equal shares."""
     n, flag = F.col("l_linenumber"), F.col("l_returnflag")
     status = F.when(n == 1, "passed").when(n == 2, "in_progress").when(n == 3, "pending").when(n == 4, "failed").otherwise("skipped")
     a = applications(spark, d).select(F.col("id").alias("application_id"), F.col("status").alias("application_status"), "candidate_id")
-    li = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("application_id"), flag.alias("stage_key"), F.when(flag == "R", "outcome").otherwise("round").alias("stage_kind"), status.alias("status"),
+    li = spread(table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "application_id"), "application_id")
+    return li.join(a, "application_id").select(
+        "application_id", flag.alias("stage_key"), F.when(flag == "R", "outcome").otherwise("round").alias("stage_kind"), status.alias("status"),
         F.when(flag == "A", 1).when(flag == "N", 2).otherwise(3).alias("position"), (F.col("l_suppkey") % 2 == 0).alias("enabled"), F.col("l_suppkey").alias("interviewer_id"),
-        "l_quantity", "l_linenumber", "l_shipdate", "l_partkey",
+        "l_quantity", "l_linenumber", "l_shipdate", "l_partkey", "application_status", "candidate_id",
     )
-    return li.join(a, "application_id")
 
 
 ROWS_SQL = f"""(SELECT l_orderkey AS application_id, l_returnflag AS stage_key, CASE WHEN l_returnflag = 'R' THEN 'outcome' ELSE 'round' END AS stage_kind, {STATES_SQL} AS status, {POSITION_SQL} AS position,
@@ -46,8 +47,14 @@ def public_views(spark, d):
     SELECT application_id, new_status, count(*) AS n, count(*) FILTER (WHERE moved) AS notes FROM (SELECT *, CASE WHEN moved THEN 'skipped' ELSE status END AS new_status FROM (
       SELECT *, coalesce(application_status = 'active' AND status = 'pending' AND stage_kind = 'round' AND position < min(CASE WHEN status = 'in_progress' THEN position END) OVER (PARTITION BY application_id), false) AS moved FROM {ROWS_SQL})) GROUP BY 1, 2""")
 def rows_left_behind(spark, d):
+    """An application's rows are counted for all states at once, so a task holds one small row for each application."""
     found = transitions.left_behind(rows(spark, d))
-    return found.groupBy("application_id", "new_status").agg(F.count("*").alias("n"), F.count("note").alias("notes"))
+    states = (*STATES.values(), "skipped")
+    counts = [reports.counted(F.col("new_status") == s).alias(s) for s in states]
+    noted = [reports.counted(F.col("note").isNotNull()).alias("notes")]  # only rows that become skipped have one
+    by = found.groupBy("application_id").agg(*counts, *noted)
+    each = F.array(*(F.struct(F.lit(s).alias("new_status"), F.col(s).alias("n"), (F.col("notes") if s == "skipped" else F.lit(0).cast("long")).alias("notes")) for s in states))
+    return by.select("application_id", F.inline(each)).where("n > 0")
 
 
 KEYS = ("resume_submitted", "hm_review", "offer", "custom_panel")

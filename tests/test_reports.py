@@ -99,3 +99,14 @@ def test_funnel_counts_by_a_sort(spark):
     assert [(r.stage_key, r.position, r.ever, r.here, r.share) for r in found.collect()] == [("a", 1, 1, 1, 0.333), ("c", 5, 1, 0, 0.333), ("d", 6, 0, 0, 0.0)]
     assert R.funnel(spark.createDataFrame(data[:0], cols)).count() == 0
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_left_behind_moves_lean_rows(spark):
+    """What a stage row's columns say is spelled out behind the join, and the states of an application are counted in one row."""
+    from talentgrid.bindings import QUERIES
+
+    plan = QUERIES["rows_left_behind"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join "):]
+    assert "in_progress" not in below and "round" not in below
+    grouped = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(grouped) == 1 and "Aggregate [application_id" in grouped[0] and "new_status" not in grouped[0].split("]")[0]
