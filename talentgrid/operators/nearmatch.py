@@ -3,7 +3,8 @@
 The ratio is that of ``difflib``: twice the characters in matching blocks over the characters of both strings. Two strings of
 s characters in all whose ratio reaches ``least`` have a matching block of some length that s alone decides, so they share
 a gram of that length: candidates come from an equi-join on grams, and only they are compared. Grams are taken as long as
-the lengths allow, so no pair is lost and no pair of tables is crossed.
+the lengths allow, so no pair is lost and no pair of tables is crossed. A pair that shares a gram leaves the join only if its
+characters differ by no more than the ratio allows, as far as 64 bits tell: that needs no pair to be shuffled or compared.
 """
 
 from __future__ import annotations
@@ -48,13 +49,24 @@ def keys(text: str, least: float) -> set[str]:
     return out
 
 
+def mark(text: str) -> int:
+    """64 bits, one for each character with how often it stood before. Where two strings' marks differ in a bit, one of them has
+    a character that matches nothing in the other, another one for each bit."""
+    seen: dict[str, int] = {}
+    out = 0
+    for c in text:
+        seen[c] = k = seen.get(c, -1) + 1
+        out |= 1 << (ord(c) + 27 * k) % 64
+    return out - (1 << 64) if out >> 63 else out
+
+
 def near_matches(texts: DataFrame, entries: DataFrame, least: float = LEAST, text: str = "text", entry: str = "entry") -> DataFrame:
     """(text, entry, ratio) of all pairs of distinct strings whose ratio is at least ``least``. Null and empty strings match nothing."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(s, k) for s in batch.column(0).to_pylist() for k in keys(s, least)]
-            yield pa.RecordBatch.from_pydict({"s": pa.array([s for s, _ in rows], pa.string()), "key": pa.array([k for _, k in rows], pa.string())})
+            rows = [(s, k, m) for s in batch.column(0).to_pylist() for m in [mark(s)] for k in keys(s, least)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["s", "key", "mark"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = difflib.SequenceMatcher(None)
@@ -71,8 +83,10 @@ def near_matches(texts: DataFrame, entries: DataFrame, least: float = LEAST, tex
 
     def side(df: DataFrame, column: str, name: str) -> DataFrame:
         own = df.select(F.col(column).cast("string").alias("s")).where("s <> ''").distinct()
-        return own.mapInArrow(keyed, "s string, key string").withColumnRenamed("s", name)
+        return own.mapInArrow(keyed, "s string, key string, mark long").withColumnsRenamed({"s": name, "mark": f"{name}_mark"})
 
-    pairs = side(texts, text, "text").join(side(entries, entry, "entry"), "key").select("text", "entry").distinct()
-    lengths = F.least(F.length("text"), F.length("entry")) * 2 >= F.lit(least) * (F.length("text") + F.length("entry")) - 1e-9
-    return pairs.where(lengths).mapInArrow(compared, "text string, entry string, ratio double")
+    total = F.length("text") + F.length("entry")
+    lengths = F.least(F.length("text"), F.length("entry")) * 2 >= F.lit(least) * total - 1e-9
+    alike = F.bit_count(F.col("text_mark").bitwiseXOR(F.col("entry_mark"))) <= F.lit(1 - least) * total + 1e-9
+    met = side(texts, text, "text").join(side(entries, entry, "entry"), "key").where(lengths & alike)
+    return met.select("text", "entry").distinct().mapInArrow(compared, "text string, entry string, ratio double")

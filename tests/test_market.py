@@ -2,6 +2,7 @@
 
 import difflib
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,6 +23,28 @@ def test_near_strings_share_a_key(text, edits):
         assert nearmatch.keys(text, nearmatch.LEAST) & nearmatch.keys(other, nearmatch.LEAST)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcdeé", min_size=1, max_size=14), st.lists(st.tuples(st.integers(0, 14), st.sampled_from("abz")), max_size=2))
+def test_near_strings_have_like_marks(text, edits):
+    other = text
+    for at, c in edits:
+        other = other[:at] + c + other[at + 1 :]
+    bits = bin((nearmatch.mark(text) ^ nearmatch.mark(other)) & (1 << 64) - 1).count("1")
+    same = 2 * sum((Counter(text) & Counter(other)).values())
+    assert bits <= len(text) + len(other) - same
+    if nearmatch.ratio(other, text) >= nearmatch.LEAST:
+        assert bits <= (1 - nearmatch.LEAST) * (len(text) + len(other)) + 1e-9
+
+
+def test_unlike_strings_leave_the_join(spark):
+    """All share a gram and a length; the join itself drops them, before pairs are made distinct."""
+    texts = spark.createDataFrame([(f"abc{'defghijk'[i:]}{'qrstuvwx'[:i]}",) for i in range(9)], "text string")
+    found = nearmatch.near_matches(texts, spark.createDataFrame([("abcdefghijk",)], "entry string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join " in line)
+    assert "bit_count" in join and {r.text for r in found.collect()} == {"abcdefghijk", "abcefghijkq"}
+
+
 def test_near_matches(spark):
     texts = ["machine learning", "machine-learning", "machin lerning", "kubernetes", "kubernets", "sql", "sq", "a", "", None, "postgre sql", "abcdefg", "abcdefgh" * 40]
     entries = ["machine learning", "kubernetes", "sql", "a", "postgresql", "bcdefga", "abcdefg", "abcdefgh" * 38, "", None, "machine learning"]
