@@ -240,7 +240,7 @@ def connected(members: DataFrame, held: DataFrame) -> DataFrame:
         stars = stored(stars.join(got.select("a", "b", "d"), ["a", "b"]), "stars")
         if step:  # what was cut before has several pivots
             settled = pivots(members, step).withColumnRenamed("a", "sid")
-            rest = cut(stars).join(settled.select(F.col("region").alias("whole"), "sid"), ["whole", "sid"], "left_anti")
+            rest = stored(cut(stars).join(settled.select(F.col("region").alias("whole"), "sid"), ["whole", "sid"], "left_anti"), "cells")
             sizes = members.select(F.col("region").alias("whole"), F.col("m").alias("before")).distinct()
             rest = undecided(rest, found).join(sizes, "whole").drop("whole")
         else:  # all but the pivot, whose part is done

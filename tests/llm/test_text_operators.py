@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 import public_tokenizers
 from talentgrid.llm import bpe, decontam, jaccard, langid, quality, secrets, substrings
 from talentgrid.llm.common import shingle_sets
+from talentgrid.llm import components as components_of
 from talentgrid.llm.components import components
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -150,6 +151,22 @@ def test_components_of_paths(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_start_few_tasks(spark, monkeypatch):
+    """Stars are seen to be stars without a round, a path takes no round that changes nothing, and a round makes no broadcasts:
+    what the driver keeps grows with the rounds, their stages and tasks."""
+    rounds, real = [], components_of.stored
+    monkeypatch.setattr(components_of, "stored", lambda df, name: rounds.append(df) or real(df, name))
+    stars = spark.createDataFrame([(i % 7, i) for i in range(7, 90)], "a long, b long")
+    assert {r.id: r.component_id for r in components(stars).collect()} == {i: i % 7 for i in range(90)}
+    assert len(rounds) == 1
+    rounds.clear()
+    path = spark.createDataFrame([(0, 1), (1, 2)], "a long, b long")
+    assert {r.id: r.component_id for r in components(path).collect()} == {0: 0, 1: 0, 2: 0}
+    assert len(rounds) == 2
+    plan = rounds[1]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 # ---------------------------------------------------------------- substrings
 def brute_removed(texts, length=50):
     seen, out = {}, {}
