@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.llm.common import _BYTE, discard, hashes, lean, mixed, offsets_of, places, slices, stored, words_of
+from talentgrid.llm.common import _BYTE, discard, hashes, lean, mixed, offsets_of, places, slices, stored, trim, words_of
 
 BITS = 16
 SIZES = (3, 4, 5)
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     rows.sort(key=lambda r: r[0])
     model = train([r[2] for r in rows], [r[3] for r in rows], np.array([r[1] for r in rows], np.int64))
     del rows
-    pa.default_memory_pool().release_unused()
+    trim()
     return model
 
 

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from talentgrid.llm import bpe, decontam, jaccard, langid, quality, secrets, substrings
-from talentgrid.llm.common import shingle_sets
-from talentgrid.llm import components as components_of
+from talentgrid.llm import bpe, components as components_of, decontam, jaccard, langid, quality, secrets, substrings
+from talentgrid.llm.common import shingle_sets, trim
 from talentgrid.llm.components import components
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -167,6 +166,17 @@ def test_components_start_few_tasks(spark, monkeypatch):
     assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
 
 
+def test_freed_memory_goes_back():
+    """Small blocks between others that stay are freed, but only a trim gives their pages back."""
+    pages = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    blocks = [bytes(3000) for _ in range(40_000)]
+    held = blocks[::64]
+    del blocks
+    before = pages()
+    trim()
+    assert len(held) == 625 and before - pages() > 50_000_000
+
+
 # ---------------------------------------------------------------- substrings
 def brute_removed(texts, length=50):
     seen, out = {}, {}
