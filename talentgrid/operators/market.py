@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from talentgrid.functions import profiles as P
 from talentgrid.functions import text as T
 from talentgrid.functions import vocabulary as V
+from talentgrid.functions.sections import let
 from talentgrid.operators.nearmatch import LEAST, near_matches
 
 #: Comparable jobs of a title, market skills that count, and the fewest that need no list of the role.
@@ -81,7 +82,7 @@ def canonical(c: Column) -> Column:
     """A skill for comparison: lower case, separators as spaces, one name for what has several."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[./,+_]+", " "), r"\s+", " "))
     names = F.create_map(*[F.lit(x) for pair in V.SKILL_NAMES.items() for x in pair])
-    return F.coalesce(names[plain], plain)
+    return let(plain, lambda p: F.coalesce(names[p], p))
 
 
 def literal(c: Column) -> Column:
@@ -105,12 +106,17 @@ def flexible(skill: Column) -> Column:
     return whole(F.concat(F.array_join(words, r"[\s\-/_]+"), F.lit("s?|"), F.array_join(words, ""), F.lit("s?")))
 
 
-def parts_of(skills: Column) -> Column:
-    """The pieces of listed skills between separators and joining words."""
-    pieces = F.flatten(F.transform(skills, lambda s: F.split(canonical(s), V.SKILL_BREAKS)))
+def pieces_of(plain: Column) -> Column:
+    """The pieces of canonical skills between separators and joining words."""
+    pieces = F.flatten(F.transform(plain, lambda s: F.split(s, V.SKILL_BREAKS)))
     return F.array_distinct(F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != ""))
 
 
+def parts_of(skills: Column) -> Column:
+    """The pieces of listed skills."""
+    return pieces_of(F.transform(skills, canonical))
+
+
 def market_list(skills: Column, most: int = MARKET) -> Column:
     """The first ``most`` different canonical skills of a list."""
     own = F.array_distinct(F.filter(F.transform(skills, canonical), lambda s: s != ""))
@@ -125,28 +131,39 @@ def aligned(pairs: DataFrame, candidates: DataFrame, markets: DataFrame, least:
     equal to it (one near match a piece, the closest), where the text names it, or by one of its other names. Nulls are
     empty lists and texts."""
     none = F.array().cast("array<string>")
-    people = candidates.select("candidate_id", F.coalesce("skills", none).alias("skills"), canonical(F.col("text")).alias("haystack"))
-    people = people.select("candidate_id", "haystack", F.array_distinct(F.filter(F.transform("skills", canonical), lambda s: s != "")).alias("listed"), parts_of(F.col("skills")).alias("parts"))
+    skills = F.coalesce("skills", none)
     wanted = markets.select("title", market_list(F.coalesce("skills", none)).alias("market"))
-    rows = pairs.select("candidate_id", "title").distinct().join(people, "candidate_id").join(wanted, "title")
-
-    # near matches: distinct pieces against distinct market skills, then the closest of each piece within its own market
-    near = near_matches(people.select(F.explode("parts").alias("part")), wanted.select(F.explode("market").alias("skill")), least, "part", "skill")
-    near = near.select(F.col("text").alias("part"), F.struct("ratio", F.col("entry").alias("skill")).alias("hit"))
-    asked = rows.select("candidate_id", "title", "market", F.explode("parts").alias("part")).join(near, "part").where(F.array_contains("market", F.col("hit.skill")))
-    closest = asked.groupBy("candidate_id", "title", "part").agg(F.max("hit").alias("hit"))
-    closest = closest.groupBy("candidate_id", "title").agg(F.collect_set("hit.skill").alias("near"))
-    rows = rows.join(closest, ["candidate_id", "title"], "left").withColumn("near", F.coalesce("near", none))
-
+    rows = pairs.select("candidate_id", "title").distinct().join(wanted, "title")
+
+    # near matches: distinct pieces against distinct market skills; a candidate gets those of each of its pieces, the closest first
+    spelled = candidates.select(F.explode(skills).alias("skill")).distinct()
+    near = near_matches(spelled.select(F.explode(parts_of(F.array("skill"))).alias("part")), wanted.select(F.explode("market").alias("skill")), least, "part", "skill")
+    closest = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("ratio", "entry")))), lambda h: h["entry"])
+    hits = near.groupBy(F.col("text").alias("part")).agg(closest.alias("hit"))
+    asked = candidates.select("candidate_id", F.explode(parts_of(skills)).alias("part")).join(hits, "part")
+    asked = asked.groupBy("candidate_id").agg(F.collect_set("hit").alias("hits"))
+
+    # what a market may ask of a candidate is looked for once, whatever the titles: neither text nor pieces are joined to a title
+    sought = rows.select("candidate_id", F.explode("market").alias("skill")).groupBy("candidate_id").agg(F.collect_set("skill").alias("sought"))
+    plain = F.transform(skills, canonical)
+    people = candidates.select("candidate_id", canonical(F.col("text")).alias("haystack"), plain.alias("plain"))
+    people = people.join(sought, "candidate_id", "left").withColumn("sought", F.coalesce("sought", none)).withColumn("parts", pieces_of(F.col("plain")))
     # a pattern that differs from row to row is compiled each time, so it is only made where the string it needs is there
     held = lambda skill: F.exists("parts", lambda p: F.contains(p, skill) & F.rlike(p, whole(literal(skill))))
     told = lambda skill: F.contains(F.col("haystack"), F.get(words_of(skill), F.lit(0))) & F.rlike("haystack", flexible(skill))
-    expanded = F.filter("market", lambda m: F.array_contains("near", m) | held(m))
-    rows = rows.withColumn("own", F.when(F.size(expanded) > 0, expanded).otherwise(F.col("listed")))
     other_text = F.lit(False)
     named = lambda table, hit: lambda m: _any([(m == skill) & hit(pattern) for skill, pattern in table.items()], other_text)
-    in_text = F.filter("market", lambda m: told(m) | named(V.SKILLS_IN_TEXT, lambda p: F.rlike("haystack", F.lit(p)))(m))
-    rows = rows.withColumn("own", F.array_union("own", in_text))
+    in_text = F.filter("sought", lambda m: told(m) | named(V.SKILLS_IN_TEXT, lambda p: F.rlike("haystack", F.lit(p)))(m))
+    listed = F.array_distinct(F.filter("plain", lambda s: s != ""))
+    people = people.select("candidate_id", listed.alias("listed"), F.filter("sought", held).alias("held"), in_text.alias("in_text"))
+    people = people.join(asked, "candidate_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<array<string>>")))
+
+    rows = rows.join(people, "candidate_id")
+    nearest = F.transform("hits", lambda hit: F.get(F.filter(hit, lambda s: F.array_contains("market", s)), F.lit(0)))
+    rows = rows.withColumn("near", F.filter(nearest, lambda s: s.isNotNull()))
+    expanded = F.filter("market", lambda m: F.array_contains("near", m) | F.array_contains("held", m))
+    rows = rows.withColumn("own", F.when(F.size(expanded) > 0, expanded).otherwise(F.col("listed")))
+    rows = rows.withColumn("own", F.array_union("own", F.array_intersect("market", "in_text")))
     alias = F.filter("market", lambda m: named(V.SKILL_ALIASES, lambda p: F.exists("own", lambda s: F.rlike(s, F.lit(p))))(m))
     rows = rows.withColumn("own", F.array_union("own", alias))
 

@@ -183,3 +183,22 @@ def test_patterns_are_made_only_where_their_string_is(spark):
     assert found.matching_skills == ["blue green", "machine"] and found.missing_skills == ["achin", "rust"]
     words = spark.createDataFrame([("node-js",), ("- ",)], "s string").select(market.words_of(F.col("s")))
     assert [r[0] for r in words.collect()] == [["node", "js"], ["- "]]
+
+
+def test_texts_and_pieces_meet_no_title(spark):
+    """A candidate's text and pieces go through no join that also carries titles, so they aren't multiplied by these."""
+    asked = spark.createDataFrame([(1, "t"), (1, "u"), (2, "t"), (2, "u")], "candidate_id int, title string")
+    people = spark.createDataFrame([(1, ["rust and go"], "rust, and blue-green"), (2, ["bakng"], "rust")], "candidate_id int, skills array<string>, text string")
+    wanted = spark.createDataFrame([("t", ["rust", "blue green"]), ("u", ["baking", "go"])], "title string, skills array<string>")
+    found = market.aligned(asked, people, wanted)
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    joins = [n for n in nodes(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
+    names = [{n.output().apply(i).name() for i in range(n.output().size())} for n in joins]
+    assert names and not any("title" in own and own & {"text", "haystack", "skills", "parts", "part"} for own in names)
+    got = sorted((r.candidate_id, r.title, r.matching_skills) for r in found.collect())
+    assert got == [(1, "t", ["blue green", "rust"]), (1, "u", ["go"]), (2, "t", ["rust"]), (2, "u", ["baking"])]
