@@ -95,3 +95,38 @@ def test_entries_are_computed_once(spark):
 
     plan = B.QUERIES["service_entries"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in plan[plan.index("Generate") :]  # a filter below the rows would run the whole cascade again
+
+
+def test_patterns_are_only_skipped_where_they_have_no_match(spark):
+    """Every character that (?iU) takes for a letter becomes that letter; every alternative of a pattern needs a string of its own."""
+    from pyspark.sql import functions as F
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    chars = spark.createDataFrame([(chr(k),) for k in range(128, 0x20000) if not 0xD800 <= k < 0xE000], "c string")
+    taken = chars.select("c", F.array(*[F.when(F.rlike("c", F.lit(f"(?iU)^{x}$")), x) for x in letters]).alias("x"), S.lowered(F.col("c")).alias("low"))
+    found = taken.select("c", F.explode("x").alias("x"), "low").where("x IS NOT NULL").collect()
+    assert {r.c for r in found} == set("ſKıİ") and all(r.low == r.x for r in found)
+    assert S.needed(r"u\.?s\.?\s*army|\busa\b|ts/sci|1st\s+lieutenant|\bFort Bragg\b") == ("army", "usa", "ts/sci", "lieutenant", "fort bragg")
+    every = [*S.BRANCHES.values(), *S.RANKS.values(), *S.CLEARANCES, *S.AWARDS, *S.TRAINING]
+    assert not any(re.search(r"[(\[{]|\w[?*+{]", re.sub(r"\\.[*+?]?", "", p)) for p in every)  # what ``needed`` takes for granted
+    odd = ["uſ army of one, 2001-2003", "NATIONAL İNDUSTRY AİR  FORCE SERİOUS", "marınes TOP ſECRET tſ/sci", "AİRBORNE KEEPERS usmc sgt", "service\n\n  army captain  "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id int, text string")
+    got = {r.doc_id: [e.branch for e in r.entries] for r in S.service_entries(df).collect()}
+    assert got[0] == ["Army"] and got[1] == ["Air Force"] and got[2] == ["Marines"] and got[3] == ["Marines"]
+
+
+def test_rows_are_dealt_to_tasks(spark):
+    """A file's row group of texts is read by one task, but its texts are searched by many."""
+    from talentgrid import bindings_text as B
+
+    d = "/root/testdata/sf0.001"
+    assert table(spark, d, "documents").rdd.getNumPartitions() == 1 < B.served(spark, d).rdd.getNumPartitions()
+    assert "RepartitionByExpression" in B.QUERIES["service_entries"](spark, d)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_names_anywhere(spark):
+    """Entries and tasks are there once, the first of equal ones in any case, also in texts of very many."""
+    blocks = [f"Army sergeant {1900 + k % 90}-{1990 + k % 7}\n- task {k % 5} one\n- TASK {k % 5} ONE\n- other {k}" for k in range(700)]
+    df = spark.createDataFrame([(0, "\n\n".join(["MILITARY SERVICE", *blocks]))], "doc_id int, text string")
+    got = [e.asDict() for e in S.service_entries(df).first().entries]
+    assert got == plain("\n\n".join(["MILITARY SERVICE", *blocks])) and len(got) == 630
