@@ -431,3 +431,17 @@ def test_lexicon_stays_sparse(spark, monkeypatch):
     for capacity, want in ((3, {"often", "seldom", "twice"}), (2, {"often", "seldom"}), (1, set())):
         monkeypatch.setattr(secrets, "CAPACITY", capacity)
         assert {r.w for r in secrets.frequent(counts).collect()} == want
+
+
+def test_no_word_is_left_out_of_the_lexicon(spark, monkeypatch):
+    """More words than a part of the filter holds, nearly all of them equally seldom: all count, and other strings stay uncovered."""
+    monkeypatch.setattr(secrets, "CAPACITY", 1000)
+    monkeypatch.setattr(secrets.Lexicon, "BITS", 15)
+    dice = np.random.default_rng(3)
+    words = sorted({"".join(w) for w in np.array(list("abcdefghijklmnopqrstuvwxyz"))[dice.integers(0, 26, (7300, 9))]})
+    texts = [" ".join(words[k % 73 :: 73]) for k in range(146)] + ["often " * 9, None]
+    known = secrets.fit(docs_of(spark, texts)).describer.words
+    assert known.has(pa.array([*words, "often", "about"])).all() and len(known.filter) == 8 << 9
+    own = secrets.Lexicon([*secrets.COMMON_WORDS, *words, "often"], 8)
+    assert (known.filter == own.filter).all() and (known.bigrams == own.bigrams).all()
+    assert known.has(pa.array([w + "xq" for w in words])).mean() < 0.002
